@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,19 @@ def query(name: str, sql: str | None = None, recursive: bool = False, views: dic
     return register
 
 
+_TABLES: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The views of a folder; their plans (not their rows) are kept for the session."""
+    return _TABLES.setdefault(spark, {}).setdefault(sf_dir, Tables(spark, sf_dir))
+
+
 def _bound(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(Tables(spark, sf_dir))
+        return fn(tables(spark, sf_dir))
 
     return run
 

@@ -73,7 +73,7 @@ VIEWS = {
  WHEN 2 THEN 'Yes, but ' || line || ' so NO.' WHEN 3 THEN 'the large one, not small: ' || line
  WHEN 4 THEN 'small or Large ' || line || '</think> yes' WHEN 5 THEN 'This was not found in your documents. ' || line
  ELSE CASE WHEN line_no % 2 = 0 THEN line END END AS response FROM fx_lines""",
-    "fx_events": "SELECT * EXCLUDE (ts), ts, epoch_ms(ts) AS ms FROM events",
+    "fx_events": "SELECT * EXCLUDE (ts), ts, epoch_us(ts) // 1000 AS ms FROM events",
     "fx_token_log": """SELECT event_id, 'b' || (user_id % 3) AS bucket, ms // 1000 AS ms,
  CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END::BIGINT AS cost FROM fx_events""",
     "fx_credit_log": """SELECT event_id, user_id, ms, CASE WHEN event_type = 'purchase' THEN 'consume' ELSE 'refund' END AS op
