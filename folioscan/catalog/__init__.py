@@ -44,7 +44,7 @@ def _bound(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import accounts, condensing, filters, ingestion, joins, routing, scalars, search, sources, streams  # noqa: F401
+    from . import accounts, condensing, filters, ingestion, joins, routing, search, sources, streams  # noqa: F401
 
     return {name: _bound(fn) for name, fn in REGISTRY.items()}
 

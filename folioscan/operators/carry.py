@@ -81,3 +81,32 @@ def previous(df: DataFrame, keys: list[str], block: str, order: list[str], value
     for name in values:
         out = out.withColumn(name, F.col("_prev")[name])
     return out.drop("_self", "_tail", "_prev")
+
+
+def handed_on(
+    df: DataFrame, keys: list[str], block: str, order: list[str], fresh: str, text: str, name: str
+) -> DataFrame:
+    """Adds the text each row is handed by the rows before it.
+
+    A ``fresh`` row hands on its own ``text``; any other row hands on what it was
+    handed with its own text appended. The first row of a sequence must be fresh.
+    """
+    inside = _inside(keys, block, order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_run", F.sum(F.col(fresh).cast("int")).over(upto))
+    run = Window.partitionBy(*keys, block, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_said", F.array_join(F.collect_list(text).over(run), " "))
+    blocks = rows.groupBy(*keys, block).agg(
+        F.max(F.col(fresh).cast("int")).alias("_any"),
+        F.max_by("_said", F.struct(*[F.col(c) for c in order])).alias("_end"),
+    )
+    by_block = Window.partitionBy(*keys).orderBy(block)
+    blocks = blocks.withColumn("_chain", F.sum("_any").over(by_block))
+    chain = Window.partitionBy(*keys, "_chain").orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("_left", F.array_join(F.collect_list("_end").over(chain), " "))
+    blocks = blocks.select(*keys, block, F.lag("_left").over(by_block).alias("_enter"))
+    out = rows.join(blocks, keys + [block])
+    whole = F.when(F.col("_run") == 0, F.concat_ws(" ", "_enter", "_said")).otherwise(F.col("_said"))
+    out = out.withColumn("_whole", whole)
+    handed = F.when(F.row_number().over(inside) == 1, F.col("_enter")).otherwise(F.lag("_whole").over(inside))
+    return out.withColumn(name, handed).drop("_run", "_said", "_enter", "_whole")

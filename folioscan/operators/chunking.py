@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import last_sentence, sentence_count, strip
@@ -115,21 +115,11 @@ def bridged(passages: DataFrame, keys: list[str], block: str) -> DataFrame:
         & F.col("raw").rlike(r"^\p{IsLowercase}")
     )
     runs_on = opens & (sentence_count(F.col("raw")) == 1) & ~F.col("_before").rlike(r"[.!?]$")
-    out = out.withColumn("_opens", opens).withColumn("_fresh", F.when(runs_on, 0).otherwise(1))
-    out = carry.with_block_totals(out, keys, block, {"_runs": F.col("_fresh")})
-    inside = Window.partitionBy(*keys, block).orderBy(*ORDER)
-    out = out.withColumn("_run", F.col("_runs") + F.sum("_fresh").over(inside))
-    own = F.when(F.col("_fresh") == 1, last_sentence(F.col("raw"))).otherwise(F.col("raw"))
-    run = Window.partitionBy(*keys, "_run").orderBy(*ORDER)
-    out = out.withColumn(
-        "_last",
-        F.when(
-            F.count("*").over(Window.partitionBy(*keys, "_run")) == 1, own
-        ).otherwise(F.array_join(F.collect_list(own).over(run.rowsBetween(Window.unboundedPreceding, 0)), " ")),
-    )
-    out = carry.previous(out, keys, block, ORDER, {"_carried": F.col("_last")})
+    out = out.withColumn("_opens", opens).withColumn("_fresh", ~runs_on)
+    own = F.when(F.col("_fresh"), last_sentence(F.col("raw"))).otherwise(F.col("raw"))
+    out = carry.handed_on(out.withColumn("_own", own), keys, block, ORDER, "_fresh", "_own", "_carried")
     text = F.when(F.col("_opens"), F.concat_ws(" ", "_carried", "raw")).otherwise(F.col("raw"))
-    return out.withColumn("raw", text).drop("_before", "_opens", "_fresh", "_runs", "_run", "_last", "_carried")
+    return out.withColumn("raw", text).drop("_before", "_opens", "_fresh", "_own", "_carried")
 
 
 def passage_content(page_number: Column, heading: Column, raw: Column) -> Column:

@@ -126,25 +126,41 @@ def _tail_step(acc: Column, p: Column) -> Column:
     )
 
 
-def page_carry(summaries: DataFrame, keys: list[str]) -> DataFrame:
-    """Per page: heading_in, sentence_in and base, the number of passages before it."""
-    order = ["page_number"]
-    rows = summaries.select(*keys, "page_number", "last_heading", "n_passages", "through", "tail").withColumn(
+def page_carry(staged: DataFrame, keys: list[str]) -> DataFrame:
+    """Per page: heading_in, sentence_in and base, the number of passages before it.
+
+    Two rounds over narrow page rows, each with one summary row per block of
+    pages; the rows between the rounds are written, so neither is run twice.
+    """
+    rows = staged.select(*keys, "page_number", "last_heading", "n_passages", "through", "tail").withColumn(
         "_block", F.floor(F.col("page_number") / SUMMARY_BLOCK)
     )
-    rows = carry.filled(rows, keys, "_block", order, "last_heading", "heading_in", inclusive=False)
-    rows = carry.running_before(rows, keys, "_block", order, F.col("n_passages"), "base")
-    spoken = rows.where(F.col("n_passages") > 0)
-    spoken = carry.previous(spoken, keys, "_block", order, {"_before": F.col("tail")})
-    fresh = ~(F.col("through") & F.col("_before").isNotNull() & ~F.col("_before").rlike(r"[.!?]$"))
-    spoken = spoken.withColumn("_fresh", F.when(fresh, 1).otherwise(0))
-    spoken = carry.running_before(spoken, keys, "_block", order, F.col("_fresh"), "_runs")
-    spoken = spoken.withColumn("_run", F.col("_runs") + F.col("_fresh"))
-    run = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spoken = spoken.withColumn("_said", F.array_join(F.collect_list("tail").over(run), " "))
-    spoken = carry.previous(spoken, keys, "_block", order, {"sentence_in": F.col("_said")})
-    told = spoken.select(*keys, "page_number", "sentence_in")
-    return rows.select(*keys, "page_number", "heading_in", "base").join(told, keys + ["page_number"], "left")
+    page = F.col("page_number")
+    blocks = rows.groupBy(*keys, "_block").agg(
+        F.max_by("last_heading", F.when(F.col("last_heading").isNotNull(), page)).alias("_heading"),
+        F.max_by("tail", F.when(F.col("tail").isNotNull(), page)).alias("_tail"),
+        F.sum("n_passages").alias("_count"),
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        *keys, "_block", F.last("_heading", True).over(earlier).alias("_heading"),
+        F.last("_tail", True).over(earlier).alias("_tail"),
+        F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_count"),
+    )
+    before = Window.partitionBy(*keys, "_block").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.join(blocks, keys + ["_block"]).select(
+        *keys, "_block", "page_number", "through", "tail",
+        F.coalesce(F.last("last_heading", True).over(before), F.col("_heading")).alias("heading_in"),
+        F.coalesce(F.last("tail", True).over(before), F.col("_tail")).alias("_before"),
+        (F.col("_count") + F.coalesce(F.sum("n_passages").over(before), F.lit(0))).alias("base"),
+    )
+    first = write_table(first, "page-carry")
+    goes_on = F.col("through") & F.col("_before").isNotNull() & ~F.col("_before").rlike(r"[.!?]$")
+    spoken = first.where(F.col("tail").isNotNull()).withColumn("_fresh", ~F.coalesce(goes_on, F.lit(False)))
+    spoken = carry.handed_on(spoken, keys, "_block", ["page_number"], "_fresh", "tail", "sentence_in")
+    return first.select(*keys, "page_number", "heading_in", "base").join(
+        spoken.select(*keys, "page_number", "sentence_in"), keys + ["page_number"], "left"
+    )
 
 
 def _bridge(passages: Column, sentence_in: Column) -> Column:
@@ -161,15 +177,15 @@ def _bridge(passages: Column, sentence_in: Column) -> Column:
 def finished(staged: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     """Passage rows. Copies share a page, because the page number is part of the text."""
     rows = staged.join(carried, keys + ["page_number"])
-    rows = rows.withColumn("_texts", _bridge(F.col("passages"), F.col("sentence_in")))
-    whole = F.transform(
-        "passages",
-        lambda p, i: F.struct(
-            (F.col("base") + i).alias("chunk_index"), p["section_no"].alias("section_no"),
-            p["content_type"].alias("content_type"),
-            F.coalesce(p["heading"], F.col("heading_in")).alias("heading"),
+    placed = F.transform("passages", lambda p, i: F.struct(p.alias("p"), i.cast("bigint").alias("i")))
+    whole = F.zip_with(
+        placed, _bridge(F.col("passages"), F.col("sentence_in")),
+        lambda q, text: F.struct(
+            (F.col("base") + q["i"]).alias("chunk_index"), q["p"]["section_no"].alias("section_no"),
+            q["p"]["content_type"].alias("content_type"),
+            F.coalesce(q["p"]["heading"], F.col("heading_in")).alias("heading"),
             passage_content(
-                F.col("page_number"), F.coalesce(p["heading"], F.col("heading_in")), F.get("_texts", i)
+                F.col("page_number"), F.coalesce(q["p"]["heading"], F.col("heading_in")), text
             ).alias("content"),
         ),
     )

@@ -60,8 +60,7 @@ def retrieve(
         ).drop("query_embedding").join(second_pass.select("query_id", "query_embedding"), "query_id")
         second = write_table(fusion.hybrid_search(chunks, again, match_count).select(*columns), "second-pass")
         kept = fusion.better_run(kept, second).drop("run")
-    ranked = write_table(found.unionByName(kept), "candidates")
-    with_vectors = with_passages(ranked, chunks, ["embedding", "content", "page_number", "filename", "heading"])
+    with_vectors = with_passages(found.unionByName(kept), chunks, ["embedding", "content", "page_number", "filename", "heading"])
     body = write_table(with_vectors, "candidate-passages")
     picked = mmr.rerank(body, asked)
     selected = body.drop("embedding").join(picked, ["query_id", "id"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.fusion import hybrid_search
+from ..session import write_table
 from ..sizing import join_sized
 
 
@@ -29,8 +30,10 @@ def with_passages(ranked: DataFrame, chunks: DataFrame, columns: list[str]) -> D
 
     The list (questions x match count) is the small side. It also carries the
     document, so stored passages that are clustered by document are read only
-    where a ranked row points.
+    where a ranked row points. The list is written first: it is read by the size
+    check and by the join, and must not be searched for twice.
     """
+    ranked = write_table(ranked, "ranked")
     body = chunks.select("document_id", "id", *columns)
     return join_sized(body, ranked, ["document_id", "id"], spread=F.xxhash64("id"))
 
