@@ -10,7 +10,9 @@ from ..functions import routing as R
 from ..operators import scope
 from . import query
 
-Q = F.col("question")
+def Q():
+    return F.col("question")
+
 WS = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
 
 
@@ -29,24 +31,25 @@ CLASS = f"CASE WHEN {_has(R.DOCUMENT_SIGNS)} THEN 'document' WHEN {_has(R.GENERA
 
 @query("rt_conversational", f"SELECT question_id, {OPENING} OR {SHORT} AS small_talk FROM {LOWER}")
 def _(t):
-    return t.questions.select("question_id", R.is_small_talk(Q).alias("small_talk"))
+    return t.questions.select("question_id", R.is_small_talk(Q()).alias("small_talk"))
 
 
 @query("rt_response_key", f"SELECT question_id, CASE WHEN {OPENING} THEN {REPLY} WHEN {SHORT} THEN 'default' END AS reply_key FROM {LOWER}")
 def _(t):
-    return t.questions.select("question_id", R.small_talk_key(Q).alias("reply_key"))
+    return t.questions.select("question_id", R.small_talk_key(Q()).alias("reply_key"))
 
 
 @query("rt_doc_or_general", f"SELECT question_id, CASE WHEN {OPENING} OR {SHORT} THEN 'conversational' ELSE {CLASS} END AS class FROM {LOWER}")
 def _(t):
-    return t.questions.select("question_id", R.question_class(Q).alias("class"))
+    return t.questions.select("question_id", R.question_class(Q()).alias("class"))
 
 
 PAGE = r"TRY_CAST(regexp_extract(question, '(?i)\b(?:page|pg)\.?\s*(?:number\s*|#\s*)?(\d+)\b', 1) AS BIGINT)"
+QUOTE = "[\"'']"  # one of the two quote marks, the single one doubled for SQL
 SECTION = (
-    r"regexp_replace(regexp_replace(trim(regexp_extract(question, '(?i)\b(?:section|chapter|part|unit|module|topic)\s+"
-    r"([""'']?[\p{L}\p{N}_\s\-\.]{2,60}[""'']?)', 1)), '^[""'']+', ''), '[""'']+$', '')"
-).replace('""', '"')
+    rf"regexp_replace(regexp_replace(trim(regexp_extract(question, '(?i)\b(?:section|chapter|part|unit|module|topic)\s+"
+    rf"({QUOTE}?[\p{{L}}\p{{N}}_\s\-\.]{{2,60}}{QUOTE}?)', 1)), '^{QUOTE}+', ''), '{QUOTE}+$', '')"
+)
 
 
 @query("rt_structured", f"""SELECT question_id, page, CASE WHEN page IS NULL AND s <> '' THEN s END AS section,
@@ -54,7 +57,7 @@ SECTION = (
  FROM (SELECT question_id, {PAGE} AS page, {SECTION} AS s FROM fx_questions)""")
 def _(t):
     return t.questions.select(
-        "question_id", R.lookup_page(Q).alias("page"), R.lookup_section(Q).alias("section"), R.lookup_kind(Q).alias("kind")
+        "question_id", R.lookup_page(Q()).alias("page"), R.lookup_section(Q()).alias("section"), R.lookup_kind(Q()).alias("kind")
     )
 
 
@@ -68,7 +71,7 @@ ALL_WORDS = r"regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')"
 @query("set_word_overlap", f"""SELECT question_id, list_has_any({ALL_WORDS}, {_sql_words(R.PRONOUNS)}) AS pronoun,
  list_has_any({ALL_WORDS}, {_sql_words(R.VAGUE_WORDS)}) AS vague FROM fx_questions""")
 def _(t):
-    return t.questions.select("question_id", R.mentions_pronoun(Q).alias("pronoun"), R.is_vague(Q).alias("vague"))
+    return t.questions.select("question_id", R.mentions_pronoun(Q()).alias("pronoun"), R.is_vague(Q()).alias("vague"))
 
 
 @query("rt_rewrite_gate", f"""SELECT question_id, turn > 0 AND (len({WORDS}) <= 10 OR list_has_any({ALL_WORDS}, {_sql_words(R.PRONOUNS)})
@@ -79,7 +82,7 @@ def _(t):
     turn = F.col("turn")
     said = F.when(turn % 6 == 2, F.lit("  ")).otherwise(F.repeat("question", F.when(turn % 6 == 4, 10).otherwise(1)))
     return t.questions.select(
-        "question_id", R.needs_rewrite(Q, turn).alias("rewrite"), R.accepted_rewrite(Q, said).alias("accepted")
+        "question_id", R.needs_rewrite(Q(), turn).alias("rewrite"), R.accepted_rewrite(Q(), said).alias("accepted")
     )
 
 
@@ -98,24 +101,26 @@ def _(t):
     return t.responses.select("response_id", R.final_path(path, F.col("response")).alias("path"))
 
 
-RESP = F.col("response")
+def RESP():
+    return F.col("response")
+
 
 
 @query("out_strip_think", "SELECT response_id, " + WS.format(x="regexp_replace(coalesce(response, ''), '(?s)<think>.*?</think>', '', 'g')") + " AS answer FROM fx_responses")
 def _(t):
-    return t.responses.select("response_id", O.strip_think(RESP).alias("answer"))
+    return t.responses.select("response_id", O.strip_think(RESP()).alias("answer"))
 
 
 @query("out_last_verdict", r"""SELECT response_id, coalesce(regexp_extract_all(upper(response), '\b(?:YES|NO)\b')[-1] = 'YES', true) AS retrieve FROM fx_responses""")
 def _(t):
-    return t.responses.select("response_id", O.last_verdict(RESP).alias("retrieve"))
+    return t.responses.select("response_id", O.last_verdict(RESP()).alias("retrieve"))
 
 
 @query("out_last_label", """SELECT response_id, CASE WHEN response IS NULL THEN 'none' WHEN greatest(a, b) = 0 THEN 'none' WHEN a > b THEN 'small' ELSE 'large' END AS label
  FROM (SELECT *, length(lower(response)) - coalesce(nullif(instr(reverse(lower(response)), 'llams'), 0), length(response)) AS a,
  length(lower(response)) - coalesce(nullif(instr(reverse(lower(response)), 'egral'), 0), length(response)) AS b FROM fx_responses)""")
 def _(t):
-    label = O.last_label(F.coalesce(RESP, F.lit("")), ("small", "large"), F.lit("none"))
+    label = O.last_label(F.coalesce(RESP(), F.lit("")), ("small", "large"), F.lit("none"))
     return t.responses.select("response_id", label.alias("label"))
 
 
@@ -124,7 +129,7 @@ def _(t):
 def _(t):
     clean = F.coalesce(F.regexp_replace("response", r'["\\\x00-\x1f]', " "), F.lit("none"))
     packed = F.concat(F.lit('{"answer": "'), clean, F.lit('", "sources": [{"chunk_id": "c1", "page_number": 2}]}'))
-    value = F.when(F.col("response_id") % 3 == 1, packed).otherwise(F.coalesce(RESP, F.lit("")))
+    value = F.when(F.col("response_id") % 3 == 1, packed).otherwise(F.coalesce(RESP(), F.lit("")))
     return t.responses.select(
         "response_id", O.cached_answer(value).alias("answer"), F.size(O.cached_sources(value)).cast("int").alias("n_sources")
     )
@@ -150,7 +155,7 @@ def _(t):
     out = scope.resolved_scope(asked, t.conversations, t.conversation_documents)
     part = K.document_part(F.col("doc_ids"), F.col("doc_id"))
     style = F.when(F.col("turn") % 4 == 0, "concise").otherwise("explanatory")
-    return out.select("question_id", K.cache_key(F.col("user_id"), part, style, Q).alias("cache_key"))
+    return out.select("question_id", K.cache_key(F.col("user_id"), part, style, Q()).alias("cache_key"))
 
 
 @query("key_object", """SELECT id, 'uploads/' || user_id || '/' || id || '/' || filename AS object_key, user_id::VARCHAR AS user_part,

@@ -35,7 +35,7 @@ def _(t):
     return out.select("id", "document_id", "chunk_index", "content_type", "heading", "content")
 
 
-@query("st_embed")
+@query("st_embed", "SELECT id, document_id, 64 AS dimension FROM fx_chunks WHERE embedding IS NULL")
 def _(t):
     chunks = replay(t, t.chunks.select("id", "document_id", "content", "embedding"), "chunks")
     out = appended(jobs.embedded_stream(chunks, hashed_vectors(64), "long"), "vectors")

@@ -25,10 +25,13 @@ def _first_by_index(hits: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("rrf_score", F.lit(CONSTANT_SCORE))
 
 
-_VISIBLE = in_scope(F.col("document_id"), F.col("doc_ids"), F.col("doc_id"))
 _CARRIED = ["query_id", "id", "document_id", "chunk_index"]
 
 
+def _visible():
+    return in_scope(F.col("document_id"), F.col("doc_ids"), F.col("doc_id"))
+
+
 def by_page(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Passages on the asked page, in document order.
 
@@ -44,7 +47,7 @@ def by_page(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame
     asked = _asked(queries, "asked_page")
     hits = join_sized(spread, asked, ["user_id", "asked_page"], spread=F.xxhash64("id"))
     return _first_by_index(
-        hits.where(_VISIBLE & on_page(F.col("pages"), F.col("page_number"), F.col("asked_page"))).select(*_CARRIED),
+        hits.where(_visible() & on_page(F.col("pages"), F.col("page_number"), F.col("asked_page"))).select(*_CARRIED),
         limit,
     )
 
@@ -63,4 +66,4 @@ def by_section(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     )
     body = chunks.select("id", "document_id", "user_id", "chunk_index", "heading")
     hits = join_sized(body, matched, ["user_id", "heading"], spread=F.xxhash64("id"))
-    return _first_by_index(hits.where(_VISIBLE).select(*_CARRIED), limit)
+    return _first_by_index(hits.where(_visible()).select(*_CARRIED), limit)
