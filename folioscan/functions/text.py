@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 # Whitespace and line ends as the page text defines them.
 SPACE = r"[\s\x1c-\x1f]"
 LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
 
 
 def strip(value: Column) -> Column:
     """Remove leading and trailing whitespace of any kind (``trim`` only knows blanks)."""
-    return F.regexp_replace(value, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def rstrip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(value, F.lit(SPACES))
 
 
 def squeeze(value: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,18 +102,21 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
 
 
 def _scan(shared, k: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = shared.value
         best: dict = {}
         for part in parts:
-            if part.empty:
+            if part.num_rows == 0:
                 continue
-            vectors = np.array(part["embedding"].tolist(), dtype=np.float64)
-            ids = part["id"].to_numpy(np.int64)
-            docs = part["document_id"].to_numpy(np.int64)
-            users = part["user_id"].to_numpy(np.int64)
+            # All vectors have the dimension of the questions, so their values form one block.
+            vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = vectors.reshape(part.num_rows, -1).astype(np.float64)
+            ids, docs, users = (
+                part.column(name).to_numpy(zero_copy_only=False) for name in ("id", "document_id", "user_id")
+            )
             if batch["by_cell"]:
-                for cell, rows in _groups(part["cell"].to_numpy(np.int64)):
+                cells = part.column("cell").to_numpy(zero_copy_only=False)
+                for cell, rows in _groups(cells):
                     for user, inner in _groups(users[rows]):
                         pick = rows[inner]
                         open_to, limited = [], []
@@ -138,10 +141,19 @@ def _scan(shared, k: int):
                         if members:
                             pick = rows[inner]
                             _meet(best, batch, members, vectors[pick], ids[pick], docs[pick], k)
-        for member, (dist, pid, pdoc) in best.items():
-            yield pd.DataFrame({
-                "query_id": batch["ids"][member], "id": pid, "document_id": pdoc, "distance": dist,
-            })
+        if not best:
+            return
+        members = list(best)
+        sizes = [len(best[m][0]) for m in members]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(batch["ids"][members], sizes)),
+                pa.array(np.concatenate([best[m][1] for m in members]).astype(np.int64)),
+                pa.array(np.concatenate([best[m][2] for m in members]).astype(np.int64)),
+                pa.array(np.concatenate([best[m][0] for m in members]).astype(np.float64)),
+            ],
+            names=["query_id", "id", "document_id", "distance"],
+        )
 
     return run
 
@@ -154,6 +166,10 @@ def _one_block(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     wanted = {d for r in scoped for d in r["doc_ids"]}
     if len(scoped) == len(rows) and len(wanted) <= PUSHED_IDS:
         chunks = chunks.where(F.col("document_id").isin(*wanted) if wanted else F.lit(False))
+    sizes = {len(r["query_embedding"]) for r in rows}
+    if len(sizes) > 1:
+        raise ValueError(f"questions have vectors of different lengths: {sorted(sizes)}")
+    chunks = chunks.where(F.size("embedding") == sizes.pop())
     users = {r["user_id"] for r in rows}
     if len(users) <= PUSHED_IDS:
         chunks = chunks.where(F.col("user_id").isin(*users))
@@ -161,7 +177,7 @@ def _one_block(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if probed and len(probed) <= PUSHED_IDS:
         chunks = chunks.where(F.col("cell").isin(*probed))
     shared = chunks.sparkSession.sparkContext.broadcast(_batch(rows))
-    return chunks.mapInPandas(_scan(shared, k), OUT_SCHEMA)
+    return chunks.mapInArrow(_scan(shared, k), OUT_SCHEMA)
 
 
 def nearest(

@@ -24,19 +24,32 @@ def trailing_sum(
 ) -> DataFrame:
     """Adds ``used``: the sum of ``value`` over the other rows of the key in the last ``window_ms``.
 
-    Time is cut into blocks. Rows near the end of a block are also handed to the
-    next one as context, so a window never leaves its block and the busiest key
-    is spread over as many tasks as it has blocks.
+    Every row enters the sum at its time and leaves it one window later, so a
+    plain running sum gives the trailing one at the cost of two rows each,
+    however many rows a window holds. Time is cut into blocks; rows that are
+    still inside the window when the next block begins are handed to it as
+    context, so the busiest key is spread over as many tasks as it has blocks.
     """
-    block_ms = block_ms or 60 * window_ms
-    block = F.floor(F.col(ms) / block_ms)
+    block_ms = block_ms or 10 * window_ms
+    own = F.floor(F.col(ms) / block_ms)
     spill = F.floor((F.col(ms) + window_ms - 1) / block_ms)
-    rows = log.withColumn("_own", block).withColumn("_block", F.explode(F.array_distinct(F.array(block, spill))))
-    frame = Window.partitionBy(key, "_block").orderBy(ms).rangeBetween(-(window_ms - 1), 0)
+    copies = F.filter(
+        F.array(
+            F.struct(own.alias("b"), F.col(ms).alias("at"), F.col(value).alias("v"), F.lit(True).alias("keep")),
+            F.struct(own.alias("b"), (F.col(ms) + window_ms).alias("at"), (-F.col(value)).alias("v"), F.lit(False).alias("keep")),
+            F.struct(spill.alias("b"), F.col(ms).alias("at"), F.col(value).alias("v"), F.lit(False).alias("keep")),
+            F.struct(spill.alias("b"), (F.col(ms) + window_ms).alias("at"), (-F.col(value)).alias("v"), F.lit(False).alias("keep")),
+        ),
+        lambda c, i: (i < 2) | (spill > own),
+    )
+    rows = log.withColumn("_c", F.explode(copies)).select(
+        *log.columns, F.col("_c.b").alias("_b"), F.col("_c.at").alias("_at"), F.col("_c.v").alias("_v"), F.col("_c.keep").alias("_keep")
+    )
+    frame = Window.partitionBy(key, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("used", F.sum(value).over(frame) - F.col(value))
-        .where(F.col("_own") == F.col("_block"))
-        .drop("_own", "_block")
+        rows.withColumn("used", F.sum("_v").over(frame) - F.col(value))
+        .where("_keep")
+        .drop("_b", "_at", "_v", "_keep")
     )
 
 
