@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, strip
+from .text import strip
 
 # What counts as a heading, table row, code line and list item.
 # A heading is matched on the stripped line and only below 120 characters.
@@ -30,19 +30,23 @@ def _matches(value: Column, pattern: str) -> Column:
     return value.rlike("(?U)" + pattern)
 
 
-def is_heading(line: Column) -> Column:
-    bare = strip(line)
-    any_form = F.lit(False)
-    for pattern in (NUMBERED_HEADING, LETTERED_HEADING, HASH_HEADING, CAPITALS_HEADING, NAMED_HEADING):
-        any_form = any_form | _matches(bare, pattern)
-    return (F.length(bare) < HEADING_MAX) & any_form
+def is_heading(bare: Column) -> Column:
+    """Whether a stripped line has one of the heading forms."""
+    named = "(?i:" + NAMED_HEADING.removeprefix("(?i)^") + ")"
+    forms = [p.removeprefix("^") for p in (NUMBERED_HEADING, LETTERED_HEADING, HASH_HEADING, CAPITALS_HEADING)]
+    return (F.length(bare) < HEADING_MAX) & _matches(bare, "^(?:" + "|".join([*forms, named]) + ")")
 
 
-def line_type(line: Column) -> Column:
-    """heading, table, code, list or prose; tested in that order, blank lines are prose."""
+def line_type(line: Column, bare: Column | None = None) -> Column:
+    """heading, table, code, list or prose; tested in that order, blank lines are prose.
+
+    ``line`` has no trailing whitespace; ``bare`` is the same line without
+    leading whitespace, if the caller has it at hand.
+    """
+    bare = strip(line) if bare is None else bare
     return (
-        F.when(is_blank(line), "prose")
-        .when(is_heading(line), "heading")
+        F.when(bare == "", "prose")
+        .when(is_heading(bare), "heading")
         .when(_matches(line, PIPE_ROW) | _matches(line, TAB_ROW), "table")
         .when(_matches(line, INDENTED) | _matches(line, CODE_WORD), "code")
         .when(_matches(line, LIST_ITEM), "list")

@@ -90,7 +90,7 @@ def _contains_any(value: Column, parts) -> Column:
 
 
 def looks_like_question(question: Column) -> Column:
-    first = F.element_at(words(F.lower(question)), 1)
+    first = F.get(words(F.lower(question)), 0)
     return F.coalesce(first.isin(*QUESTION_WORDS), F.lit(False)) | question.contains("?")
 
 

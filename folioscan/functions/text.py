@@ -24,6 +24,10 @@ def rstrip(value: Column) -> Column:
     return F.rtrim(value, F.lit(SPACES))
 
 
+def lstrip(value: Column) -> Column:
+    return F.ltrim(value, F.lit(SPACES))
+
+
 def squeeze(value: Column) -> Column:
     """Collapse whitespace runs to one blank and strip the ends."""
     return F.trim(F.regexp_replace(value, rf"(?U){SPACE}+", " "))

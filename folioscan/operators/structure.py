@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import FENCE, line_type
-from ..functions.text import is_blank, lines_keeping_ends, rstrip, strip
+from ..functions.text import is_blank, lines_keeping_ends, lstrip, rstrip, strip
 from . import carry
 
 MIN_PAGE_CHARS = 50
@@ -86,13 +86,18 @@ def _sections_of(text: Column) -> Column:
     section = "struct<kind:string,text:string>"
     none = F.array().cast(f"array<{section}>")
 
-    def describe(raw: Column) -> Column:
-        bare = rstrip(raw)
+    def trimmed(raw: Column) -> Column:
+        return F.struct(raw.alias("raw"), rstrip(raw).alias("line"))
+
+    def bared(x: Column) -> Column:
+        return F.struct(x["raw"].alias("raw"), x["line"].alias("line"), lstrip(x["line"]).alias("bare"))
+
+    def described(x: Column) -> Column:
         return F.struct(
-            raw.alias("raw"),
-            bare.startswith(FENCE).alias("fence"),
-            is_blank(raw).alias("blank"),
-            line_type(bare).alias("kind"),
+            x["raw"].alias("raw"),
+            x["line"].startswith(FENCE).alias("fence"),
+            (x["bare"] == "").alias("blank"),
+            line_type(x["line"], x["bare"]).alias("kind"),
         )
 
     start = F.struct(
@@ -129,8 +134,9 @@ def _sections_of(text: Column) -> Column:
             )
         )
 
-    described = F.transform(lines_keeping_ends(text), describe)
-    return F.aggregate(described, start, step, lambda acc: closed(acc, acc["kind"]))
+    # One transform per step: inside a lambda nothing is computed once and shared.
+    lines = F.transform(F.transform(F.transform(lines_keeping_ends(text), trimmed), bared), described)
+    return F.aggregate(lines, start, step, lambda acc: closed(acc, acc["kind"]))
 
 
 def page_sections(pages: DataFrame, keep: list[str]) -> DataFrame:

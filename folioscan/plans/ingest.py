@@ -154,7 +154,7 @@ def page_carry(staged: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.last("tail", True).over(before), F.col("_tail")).alias("_before"),
         (F.col("_count") + F.coalesce(F.sum("n_passages").over(before), F.lit(0))).alias("base"),
     )
-    first = write_table(first, "page-carry")
+    first = write_table(first, "page-heads")
     goes_on = F.col("through") & F.col("_before").isNotNull() & ~F.col("_before").rlike(r"[.!?]$")
     spoken = first.where(F.col("tail").isNotNull()).withColumn("_fresh", ~F.coalesce(goes_on, F.lit(False)))
     spoken = carry.handed_on(spoken, keys, "_block", ["page_number"], "_fresh", "tail", "sentence_in")
@@ -218,7 +218,7 @@ def ingest(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
     kept = classified_pages(pages).where(F.col("skip_reason").isNull())
     keep = ["document_id", "user_id", "filename"]
     staged = write_table(page_passages(kept, keep, size, overlap), "staged-pages")
-    carried = page_carry(staged, ["document_id"])
+    carried = write_table(page_carry(staged, ["document_id"]), "page-carry")
     return _final_columns(finished(staged, carried, ["document_id"]), keep)
 
 
@@ -237,7 +237,8 @@ def ingest_by_window(
     placed = page_windows(kept, window_pages, window_overlap)
     staged = write_table(page_passages(placed, keep, size, overlap), "staged-pages")
     keys = ["document_id", "window_no"]
-    rows = write_table(_final_columns(finished(staged, page_carry(staged, keys), keys), keep), "window-passages")
+    carried = write_table(page_carry(staged, keys), "page-carry")
+    rows = write_table(_final_columns(finished(staged, carried, keys), keep), "window-passages")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("document_id").orderBy("window_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
