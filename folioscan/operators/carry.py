@@ -5,6 +5,9 @@ a sequence in order. Partitioning a window by the sequence alone would put the
 largest document or user on one task. Here every sequence is cut into blocks of
 its order column, the window runs per (sequence, block), and what one block owes
 the next is passed on through one summary row per block.
+
+Sequence keys and order columns are never NULL in the stored tables. The input is
+read twice, for the blocks and for the rows, so callers pass a stored table.
 """
 
 from __future__ import annotations

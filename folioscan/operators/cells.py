@@ -23,11 +23,13 @@ def fit_centres(chunks: DataFrame, cells: int, sample: float = 1.0, seed: int =
     return [[float(x) for x in c] for c in model.clusterCenters()]
 
 
-def _nearest_cells(centres: np.ndarray, n: int):
+def _nearest_cells(spark, centres: np.ndarray, n: int):
+    shared = spark.sparkContext.broadcast(centres)  # cells x dimension, chosen by the caller
+
     @F.pandas_udf("array<long>")
     def assign(vectors: pd.Series) -> pd.Series:
         unit = np.array(vectors.tolist(), dtype=np.float64)
-        order = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :n]
+        order = np.argsort(-(unit @ shared.value.T), axis=1, kind="stable")[:, :n]
         return pd.Series(list(order))
 
     return assign
@@ -40,7 +42,7 @@ def _unit(centres: list[list[float]]) -> np.ndarray:
 
 def with_cell(chunks: DataFrame, centres: list[list[float]]) -> DataFrame:
     """Passages with a vector and their cell; stored that way, partitioned by cell."""
-    assign = _nearest_cells(_unit(centres), 1)
+    assign = _nearest_cells(chunks.sparkSession, _unit(centres), 1)
     return chunks.where(F.col("embedding").isNotNull()).withColumn("cell", F.get(assign("embedding"), 0))
 
 
@@ -52,6 +54,6 @@ def nearest_in_cells(
     ``chunks`` carries its cell. Questions are sent to the passages, so a cell
     that holds a third of all passages is still read by all its tasks.
     """
-    probe = _nearest_cells(_unit(centres), probes)
+    probe = _nearest_cells(queries.sparkSession, _unit(centres), probes)
     asked = queries.where(F.col("query_embedding").isNotNull()).withColumn("cells", probe("query_embedding"))
     return knn.nearest(chunks, asked, k)

@@ -55,15 +55,16 @@ def by_page(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame
 def by_section(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Passages whose heading holds the asked section text, in document order.
 
-    Headings repeat over many passages, so the pattern is tried once per distinct
-    (user, heading) and the matches are then joined back by equality.
+    Headings and asked texts both repeat, so a pattern is tried once per distinct
+    (user, heading, asked text); the matches are then joined back by equality.
     """
     asked = _asked(queries, "asked_section")
     headings = chunks.where(F.col("heading").isNotNull()).select("user_id", "heading").distinct()
-    matched = (
-        join_sized(headings, asked, ["user_id"], spread=F.xxhash64("heading"))
-        .where(heading_like(F.col("heading"), F.col("asked_section")))
+    patterns = asked.select("user_id", "asked_section").distinct()
+    matched = join_sized(headings, patterns, ["user_id"], spread=F.xxhash64("heading")).where(
+        heading_like(F.col("heading"), F.col("asked_section"))
     )
     body = chunks.select("id", "document_id", "user_id", "chunk_index", "heading")
-    hits = join_sized(body, matched, ["user_id", "heading"], spread=F.xxhash64("id"))
+    found = join_sized(body, matched, ["user_id", "heading"], spread=F.xxhash64("id"))
+    hits = join_sized(found, asked, ["user_id", "asked_section"], spread=F.xxhash64("id"))
     return _first_by_index(hits.where(_visible()).select(*_CARRIED), limit)

@@ -83,7 +83,7 @@ def resolved_scope(requests: DataFrame, conversations: DataFrame, links: DataFra
         F.sort_array(F.collect_set("document_id")).alias("_linked")
     )
     out = join_sized(requests, join_sized(owned, linked, ["conversation_id"], "left"),
-                     ["conversation_id", "user_id"], "left")
+                     ["conversation_id", "user_id"], "left", F.xxhash64(*requests.columns))
     some = F.when(F.size("request_ids") > 0, F.col("request_ids"))
     out = out.withColumn("doc_ids", F.coalesce(some, F.when(F.size("_linked") > 0, F.col("_linked"))))
     n_docs = F.when(F.col("doc_ids").isNotNull(), F.size("doc_ids")).otherwise(

@@ -78,65 +78,75 @@ def page_windows(
 def _sections_of(text: Column) -> Column:
     """Array of (type, text) sections of one page, headings included.
 
-    A fold over the lines of the page. Consecutive lines of one type form a
-    section. A fence line closes what is open and toggles code; a blank line
+    A fold over the lines of the page that carries line numbers, not text.
+    Consecutive lines of one type form a section. A fence line closes what is open and toggles code; a blank line
     joins whatever is open; a buffer of blanks alone is never emitted and stays
     at the head of the next section.
     """
-    section = "struct<kind:string,text:string>"
-    none = F.array().cast(f"array<{section}>")
+    span = "struct<kind:string,first:int,last:int>"
+    none, zero = F.array().cast(f"array<{span}>"), F.lit(0)
 
-    def trimmed(raw: Column) -> Column:
-        return F.struct(raw.alias("raw"), rstrip(raw).alias("line"))
+    def trimmed(raw: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("at"), rstrip(raw).alias("line"))
 
     def bared(x: Column) -> Column:
-        return F.struct(x["raw"].alias("raw"), x["line"].alias("line"), lstrip(x["line"]).alias("bare"))
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), lstrip(x["line"]).alias("bare"))
 
     def described(x: Column) -> Column:
         return F.struct(
-            x["raw"].alias("raw"),
+            x["at"].alias("at"),
             x["line"].startswith(FENCE).alias("fence"),
             (x["bare"] == "").alias("blank"),
             line_type(x["line"], x["bare"]).alias("kind"),
         )
 
-    start = F.struct(
-        F.lit("prose").alias("kind"), F.lit(False).alias("fenced"), F.lit("").alias("open"), none.alias("done")
-    )
-
-    def state(kind, fenced, open_, done):
+    # ``first`` is the first line with text in the open buffer (0: none yet), ``held`` whether it has any line.
+    def state(kind, fenced, first, held, at, done):
         return F.struct(
-            kind.alias("kind"), fenced.alias("fenced"), open_.alias("open"), done.alias("done")
+            kind.alias("kind"), fenced.alias("fenced"), first.alias("first"), held.alias("held"), at.alias("at"),
+            done.alias("done"),
         )
 
-    def closed(acc: Column, kind: Column) -> Column:
-        piece = F.struct(kind.alias("kind"), strip(acc["open"]).alias("text")).cast(section)
-        return F.when(is_blank(acc["open"]), acc["done"]).otherwise(F.concat(acc["done"], F.array(piece)))
+    start = state(F.lit("prose"), F.lit(False), zero, F.lit(False), zero, none)
 
-    def left_open(acc: Column) -> Column:
-        return F.when(is_blank(acc["open"]), acc["open"]).otherwise(F.lit(""))
+    def closed(acc: Column, kind: Column) -> Column:
+        piece = F.struct(kind.alias("kind"), acc["first"].alias("first"), acc["at"].alias("last")).cast(span)
+        return F.when(acc["first"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(piece)))
 
-    code, prose = F.lit("code"), F.lit("prose")
+    code, prose, yes, no = F.lit("code"), F.lit("prose"), F.lit(True), F.lit(False)
 
     def step(acc: Column, line: Column) -> Column:
-        grown = F.concat(acc["open"], line["raw"])
+        only_blanks = acc["held"] & (acc["first"] == 0)
+        own = F.when(line["blank"], zero).otherwise(line["at"])
         return (
-            F.when(line["fence"] & ~acc["fenced"], state(code, F.lit(True), left_open(acc), closed(acc, acc["kind"])))
-            .when(line["fence"], state(prose, F.lit(False), left_open(acc), closed(acc, code)))
-            .when(
-                acc["fenced"] | (line["kind"] == acc["kind"]) | (line["blank"] & (acc["open"] != "")),
-                state(acc["kind"], acc["fenced"], grown, acc["done"]),
+            F.when(
+                line["fence"] & ~acc["fenced"],
+                state(code, yes, zero, only_blanks, line["at"], closed(acc, acc["kind"])),
             )
-            .otherwise(
+            .when(line["fence"], state(prose, no, zero, only_blanks, line["at"], closed(acc, code)))
+            .when(
+                acc["fenced"] | (line["kind"] == acc["kind"]) | (line["blank"] & acc["held"]),
                 state(
-                    line["kind"], acc["fenced"], F.concat(left_open(acc), line["raw"]), closed(acc, acc["kind"])
-                )
+                    acc["kind"], acc["fenced"], F.when(acc["first"] > 0, acc["first"]).otherwise(own), yes,
+                    line["at"], acc["done"],
+                ),
             )
+            .otherwise(state(line["kind"], acc["fenced"], own, yes, line["at"], closed(acc, acc["kind"])))
         )
 
     # One transform per step: inside a lambda nothing is computed once and shared.
-    lines = F.transform(F.transform(F.transform(lines_keeping_ends(text), trimmed), bared), described)
-    return F.aggregate(lines, start, step, lambda acc: closed(acc, acc["kind"]))
+    raw = lines_keeping_ends(text)
+    described_lines = F.transform(F.transform(F.transform(raw, trimmed), bared), described)
+    spans = F.aggregate(described_lines, start, step, lambda acc: closed(acc, acc["kind"]))
+    # The lines ride along as an argument, so they are split once and not per section.
+    packed = F.transform(F.array(F.struct(raw.alias("raw"), spans.alias("spans"))), lambda p: F.transform(
+        p["spans"],
+        lambda s: F.struct(
+            s["kind"].alias("kind"),
+            strip(F.array_join(F.slice(p["raw"], s["first"], s["last"] - s["first"] + 1), "")).alias("text"),
+        ),
+    ))
+    return F.get(packed, 0)
 
 
 def page_sections(pages: DataFrame, keep: list[str]) -> DataFrame:
