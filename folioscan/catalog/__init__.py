@@ -34,10 +34,18 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _TABLES.setdefault(spark, {}).setdefault(sf_dir, Tables(spark, sf_dir))
 
 
+def _settle(spark: SparkSession) -> None:
+    """UTC times for every session; as many shuffle partitions as cores where a local one kept the default."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+
+
 def _bound(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        _settle(spark)
         return fn(tables(spark, sf_dir))
 
     return run

@@ -1,0 +1,102 @@
+"""Optional stems of search terms (Porter 1980), for English passages and questions alike."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The suffix tables of the published algorithm, tried longest first.
+STEP_2 = (
+    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous "
+    "ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+)
+STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+
+
+def _table(pairs: str) -> list[tuple[str, str]]:
+    split = [(p.partition(":")[0], p.partition(":")[2]) for p in pairs.split()]
+    return sorted(split, key=lambda p: -len(p[0]))
+
+
+_SECOND, _THIRD, _FOURTH = _table(STEP_2), _table(STEP_3), _table(STEP_4)
+
+
+def _shape(word: str) -> str:
+    """v for vowels and c for consonants; y is a vowel after a consonant."""
+    out = ""
+    for letter in word:
+        vowel = letter in "aeiou" or (letter == "y" and out[-1:] == "c")
+        out += "v" if vowel else "c"
+    return out
+
+
+def _measure(stem: str) -> int:
+    return len(re.findall("v+c+", _shape(stem)))
+
+
+def _doubled(word: str) -> bool:
+    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
+
+
+def _short(word: str) -> bool:
+    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+
+
+def _replaced(word: str, table: list[tuple[str, str]], least: int) -> str:
+    for suffix, new in table:
+        if word.endswith(suffix):
+            stem = word[: -len(suffix)]
+            if suffix == "ion" and stem[-1:] not in ("s", "t"):
+                return word
+            return stem + new if _measure(stem) > least else word
+    return word
+
+
+@lru_cache(maxsize=200_000)
+def stem(word: str) -> str:
+    if len(word) < 3 or not word.isascii() or not word.isalpha():
+        return word
+    for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if word.endswith(suffix):
+            word = word[: -len(suffix)] + new
+            break
+    if word.endswith("eed"):
+        if _measure(word[:-3]) > 0:
+            word = word[:-1]
+    else:
+        for suffix in ("ed", "ing"):
+            base = word[: -len(suffix)]
+            if word.endswith(suffix) and "v" in _shape(base):
+                word = base
+                if word.endswith(("at", "bl", "iz")):
+                    word += "e"
+                elif _doubled(word) and word[-1] not in "lsz":
+                    word = word[:-1]
+                elif _measure(word) == 1 and _short(word):
+                    word += "e"
+                break
+    if word.endswith("y") and "v" in _shape(word[:-1]):
+        word = word[:-1] + "i"
+    word = _replaced(_replaced(_replaced(word, _SECOND, 0), _THIRD, 0), _FOURTH, 1)
+    if word.endswith("e"):
+        base = word[:-1]
+        if _measure(base) > 1 or (_measure(base) == 1 and not _short(base)):
+            word = base
+    if _measure(word) > 1 and word.endswith("ll"):
+        word = word[:-1]
+    return word
+
+
+def stemmed(terms: Column) -> Column:
+    """Stems of an array of terms, in Arrow batches; each worker remembers the words it has seen."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if ts is None else [stem(t) for t in ts] for ts in lists], dtype=object)
+
+    return run(terms)

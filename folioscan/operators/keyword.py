@@ -11,28 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stemmed
 from ..functions.terms import anchor_term, matches_all, query_terms, term_frequency, terms
 from ..sizing import join_sized
 from .toplists import top_per
 
 
-def with_terms(chunks: DataFrame) -> DataFrame:
-    """Passages with their terms; computed once at ingest and stored."""
-    return chunks if "terms" in chunks.columns else chunks.withColumn("terms", terms(F.col("content")))
+def with_terms(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """Passages with their terms; computed once at ingest and stored. Stored terms are taken as they are."""
+    if "terms" in chunks.columns:
+        return chunks
+    found = terms(F.col("content"))
+    return chunks.withColumn("terms", stemmed(found) if stem else found)
 
 
-def anchored(queries: DataFrame) -> DataFrame:
-    wanted = queries.withColumn("wanted", query_terms(F.col("query_text")))
+def anchored(queries: DataFrame, stem: bool = False) -> DataFrame:
+    found = query_terms(F.col("query_text"))
+    if stem:
+        found = F.array_sort(F.array_distinct(stemmed(found)))
+    wanted = queries.withColumn("wanted", found)
     keep = ["query_id", F.col("user_id").alias("_user"), "wanted", anchor_term(F.col("wanted")).alias("term")]
     keep.append(F.col("doc_ids") if "doc_ids" in queries.columns else F.lit(None).cast("array<long>").alias("doc_ids"))
     return wanted.select(*keep).where(F.col("term").isNotNull())
 
 
-def matching(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """All (question, passage) matches with their score, the number of term occurrences."""
-    stored = with_terms(chunks).select("id", "document_id", "user_id", "terms")
+def matching(chunks: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """All (question, passage) matches with their score, the number of term occurrences.
+
+    With ``stem`` both sides are reduced to stems; stored terms must then be stems.
+    """
+    stored = with_terms(chunks, stem).select("id", "document_id", "user_id", "terms")
     by_term = stored.withColumn("term", F.explode(F.array_distinct("terms")))
-    met = join_sized(by_term, anchored(queries), ["term"], spread=F.xxhash64("id"))
+    met = join_sized(by_term, anchored(queries, stem), ["term"], spread=F.xxhash64("id"))
     visible = (F.col("user_id") == F.col("_user")) & (
         F.col("doc_ids").isNull() | F.array_contains("doc_ids", F.col("document_id"))
     )
@@ -42,10 +52,10 @@ def matching(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def ranked(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def ranked(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: bool = False) -> DataFrame:
     """The ``k`` best matches of every question by score, ties by id."""
     order = [F.col("score").desc_nulls_last(), F.col("id").asc()]
-    return top_per(matching(chunks, queries), ["query_id"], order, k)
+    return top_per(matching(chunks, queries, stem), ["query_id"], order, k)
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
