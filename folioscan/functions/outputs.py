@@ -27,7 +27,7 @@ def last_verdict(text: Column) -> Column:
 
 def last_label(text: Column, labels: tuple[str, str], fallback: Column) -> Column:
     """The label whose last occurrence comes later, else the fallback."""
-    hit = F.regexp_extract(F.lower(text), r"(?s).*(" + "|".join(labels) + ")", 1)
+    hit = F.regexp_extract(F.lower(text), r"(?s)\A.*(" + "|".join(labels) + ")", 1)
     return F.when(hit == "", fallback).otherwise(hit)
 
 

@@ -58,8 +58,8 @@ def test_cleaning_of_responses(one):
         "x y", "<think>open", "", "a"]
     assert one(outputs.last_verdict, ["<think>yes</think> No.", "no YES", "nothing", "", "yesterday", "NO\nyes!"]) == [
         False, True, True, True, True, True]
-    labels = one(lambda c: outputs.last_label(c, ("kim", "lam"), F.lit("none")), ["kim lam", "LAM\nkim", "", "lamkim"])
-    assert labels == ["lam", "kim", "none", "kim"]
+    labels = one(lambda c: outputs.last_label(c, ("big", "tiny"), F.lit("none")), ["big tiny", "TINY\nbig", "", "tinybig"])
+    assert labels == ["tiny", "big", "none", "big"]
 
 
 def test_card_parsing(one):
