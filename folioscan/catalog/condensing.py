@@ -15,9 +15,9 @@ def PART():
 
 
 @query("agg_chunk_count", """SELECT d.id, count(c.id) AS chunk_count FROM fx_documents d LEFT JOIN fx_chunks c
- ON c.document_id = d.id AND c.chunk_index > 1 GROUP BY 1""")
+ ON c.document_id = d.id AND length(c.content) > 100 GROUP BY 1""")
 def _(t):
-    return reports.chunk_counts(t.documents, t.chunks.where(F.col("chunk_index") > 1)).select("id", "chunk_count")
+    return reports.chunk_counts(t.documents, t.chunks.where(F.length("content") > 100)).select("id", "chunk_count")
 
 
 @query("agg_embedding_coverage", """SELECT user_id, count(*) AS total, count(embedding) AS with_embedding,
@@ -143,7 +143,7 @@ def _(t):
     return out.select("document_id", "batch", "n_batches", "strategy", "input")
 
 
-FLASH = r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:3], lambda x: regexp_replace(substring(x, 1, 60), '["\\\[\]]', '', 'g')) AS w FROM documents),
+FLASH = r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '["\\\[\]\x00-\x1f]', '', 'g')) AS w FROM documents),
  fx_made AS (SELECT doc_id, 'Flashcard Deck' AS title, count(*) AS stored_cards FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM fx_w WHERE doc_id % 4 <> 3)
  WHERE (doc_id + i) % 4 <> 1 GROUP BY 1), fx_opening AS (SELECT document_id, content FROM fx_chunks QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) <= 100),
  fx_texts AS (SELECT d.user_id, 'document' AS source_type, d.id AS source_id, sum(length(c.content) + 2)::BIGINT - 2 AS source_chars FROM fx_documents d
@@ -164,7 +164,7 @@ def _(t):
     )
 
 
-CARDS = r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:3], lambda x: regexp_replace(substring(x, 1, 60), '["\\\[\]]', '', 'g')) AS w FROM documents),
+CARDS = r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '["\\\[\]\x00-\x1f]', '', 'g')) AS w FROM documents),
  fx_c AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM fx_w WHERE doc_id % 4 <> 3)
  SELECT doc_id AS source_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS card_no,
  regexp_replace('Q ' || w, '\s+$', '') AS question, regexp_replace('A ' || w, '\s+$', '') AS answer FROM fx_c WHERE (doc_id + i) % 4 <> 1"""

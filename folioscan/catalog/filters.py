@@ -42,7 +42,7 @@ def _(t):
 
 
 @query("prj_evidence", """SELECT m.id AS message_id, e.position, e.chunk_id, e.document_id, e.page_number, e.filename, e.section,
- e.content AS snippet FROM fx_messages m JOIN fx_evidence e ON e.message_id = m.id WHERE m.turn % 3 > 0""")
+ e.content AS snippet FROM fx_messages m JOIN fx_evidence e ON e.message_id = m.id WHERE m.turn % 3 > 0 OR e.position = 0""")
 def _(t):
     rows = t.evidence.select(
         "message_id",
@@ -55,7 +55,7 @@ def _(t):
     )
     held = conversations.sources_of(F.col("retrieved_chunks"))
     given = stored.withColumn("sources", F.when(F.col("turn") % 3 == 0, F.slice(held, 1, 1)))
-    shown = conversations.with_sources(given).where(F.col("turn") % 3 > 0)
+    shown = conversations.with_sources(given)
     return shown.select(F.col("id").alias("message_id"), F.posexplode("sources").alias("position", "s")).select(
         "message_id", F.col("position").cast("long"), "s.*"
     )
@@ -81,12 +81,13 @@ def _(t):
 @query("flt_job_live", """SELECT e.event_id AS job_id, CASE WHEN r.written_ms <= e.ms + 1800000 * (e.event_id % 4) AND
  r.written_ms + 3600000 > e.ms + 1800000 * (e.event_id % 4) THEN r.status ELSE 'not_found' END AS status
  FROM fx_events e LEFT JOIN (SELECT job_id, arg_max(status, seq) AS status, max(written_ms) AS written_ms FROM fx_result_log
- WHERE job_id % 9 > 0 GROUP BY 1) r ON r.job_id = e.event_id""")
+ WHERE job_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view') GROUP BY 1) r ON r.job_id = e.event_id""")
 def _(t):
     asked = t.events.select(F.col("event_id").alias("job_id"), (F.col("ms") + 1800000 * (F.col("event_id") % 4)).alias("asked_ms"))
     from ..sources.sinks import current_results
 
-    held = current_results(t.result_log.where(F.col("job_id") % 9 > 0))
+    silent = t.events.where(F.col("event_type") == "view").select(F.col("event_id").alias("job_id"))
+    held = current_results(t.result_log.join(silent, "job_id", "left_anti"))
     return usage.polled(asked, held).select("job_id", "status")
 
 

@@ -81,18 +81,19 @@ VIEWS = {
     "fx_job_log": """SELECT event_id AS job_id, user_id, ts, ms, event_type, value * 100 AS duration_ms,
  CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END AS status FROM fx_events""",
     "fx_reuse_log": """SELECT 'cache:' || (user_id % 20) || ':' || event_type AS cache_key, event_id, ms FROM fx_events""",
-    "fx_result_log": """SELECT * FROM (
- SELECT event_id AS job_id, user_id, ms AS written_ms, 0::BIGINT AS seq, 'pending' AS status FROM fx_events
- UNION ALL SELECT event_id, user_id, ms + 5000, 1, CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END
- FROM fx_events) WHERE seq = 0 OR job_id % 6 > 0""",
-    "fx_summary_log": """SELECT doc_id * 10 + line_no AS id, doc_id % 5 AS user_id, 'document' AS source_type,
+    "fx_result_log": """SELECT * EXCLUDE (open) FROM (
+ SELECT event_id AS job_id, user_id, ms AS written_ms, 0::BIGINT AS seq, 'pending' AS status, false AS open FROM fx_events
+ UNION ALL SELECT event_id, user_id, ms + 5000, 1, CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END, event_type = 'signup'
+ FROM fx_events) WHERE NOT open""",
+    "fx_summary_log": """SELECT doc_id * 100000 + line_no AS id, doc_id % 5 AS user_id, 'document' AS source_type,
  NULL::BIGINT AS conversation_id, doc_id AS document_id, line AS content, doc_id * 50 + line_no AS created_ms
- FROM fx_lines WHERE line_no < 2 UNION ALL
+ FROM fx_lines UNION ALL
  SELECT -1 - id, user_id, 'conversation', id, NULL, coalesce(question, ''), created_ms FROM fx_conversations""",
     "fx_decks": """SELECT id, user_id, 'document' AS source_type, NULL::BIGINT AS conversation_id, id AS document_id,
- 'Flashcard Deck' AS title, created_ms FROM fx_documents WHERE id % 3 <> 2""",
+ 'Flashcard Deck' AS title, created_ms FROM fx_documents WHERE status = 'ready'""",
     "fx_cards": """SELECT doc_id * 100000 + line_no AS id, doc_id AS deck_id, substring(line, 1, 40) AS question,
- substring(line, 41, 40) AS answer, 10 - line_no AS created_ms FROM fx_lines WHERE doc_id % 3 = 0 AND line_no < 6""",
+ substring(line, 41) AS answer, 100000 - line_no AS created_ms FROM fx_lines WHERE doc_id IN (SELECT id FROM fx_decks)
+ AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""",
 }
 
 

@@ -147,7 +147,7 @@ def _(t):
     return sinks.current_summaries(t.summary_log).select("user_id", "source_type", "conversation_id", "document_id", "id", "content")
 
 
-@query("sink_deck", r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:3], lambda x: regexp_replace(substring(x, 1, 60), '["\\\[\]]', '', 'g')) AS w FROM documents),
+@query("sink_deck", r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '["\\\[\]\x00-\x1f]', '', 'g')) AS w FROM documents),
  fx_c AS (SELECT doc_id, w, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS card_no, count(*) OVER (PARTITION BY doc_id) AS n_cards FROM
  (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM fx_w WHERE doc_id % 4 <> 3) WHERE (doc_id + i) % 4 <> 1)
  SELECT sha256((doc_id % 5) || '|document|' || doc_id) AS deck_id, doc_id % 5 AS user_id, 'document' AS source_type, doc_id AS source_id, 'Flashcard Deck' AS title,

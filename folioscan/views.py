@@ -233,7 +233,7 @@ class Tables:
     def card_responses(self) -> DataFrame:
         """Responses that should hold a card array, one per document."""
         d = F.col("doc_id")
-        words = F.transform(F.slice("_l", 1, 3), lambda x: F.regexp_replace(F.substring(x, 1, 60), r'["\\\[\]]', ""))
+        words = F.transform("_l", lambda x: F.regexp_replace(x, r'["\\\[\]\x00-\x1f]', ""))
         cards = F.transform(
             words,
             lambda w, i: F.concat(
@@ -285,22 +285,23 @@ class Tables:
 
     @cached_property
     def result_log(self) -> DataFrame:
-        """pending and, for most jobs, a later final row of every job."""
+        """pending and, for all jobs but sign-ups, a later final row."""
         e = F.col("event_id")
         final = F.when(F.col("event_type") == "error", "error").otherwise("done")
         rows = F.array(
             F.struct(F.col("ms").alias("written_ms"), F.lit(0).cast("long").alias("seq"), F.lit("pending").alias("status")),
             F.struct((F.col("ms") + 5000).alias("written_ms"), F.lit(1).cast("long").alias("seq"), final.alias("status")),
         )
-        return self.events.select(e.alias("job_id"), "user_id", F.explode(rows).alias("_r")).select(
-            "job_id", "user_id", "_r.*"
-        ).where((F.col("seq") == 0) | (F.col("job_id") % 6 > 0))
+        opened = self.events.select(
+            e.alias("job_id"), "user_id", (F.col("event_type") == "signup").alias("open"), F.explode(rows).alias("_r")
+        )
+        return opened.select("job_id", "user_id", "open", "_r.*").where((F.col("seq") == 0) | ~F.col("open")).drop("open")
 
     @cached_property
     def summary_log(self) -> DataFrame:
-        """Two summaries of every document and one of every conversation."""
-        docs = self.lines.where(F.col("line_no") < 2).select(
-            (F.col("doc_id") * 10 + F.col("line_no")).alias("id"), (F.col("doc_id") % 5).alias("user_id"),
+        """Successive summaries of every document, one per line, and one of every conversation."""
+        docs = self.lines.select(
+            (F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), (F.col("doc_id") % 5).alias("user_id"),
             F.lit("document").alias("source_type"), F.lit(None).cast("long").alias("conversation_id"),
             F.col("doc_id").alias("document_id"), F.col("line").alias("content"),
             (F.col("doc_id") * 50 + F.col("line_no")).alias("created_ms"),
@@ -314,16 +315,18 @@ class Tables:
 
     @cached_property
     def decks(self) -> DataFrame:
-        return self.documents.where(F.col("id") % 3 != 2).select(
+        return self.documents.where(F.col("status") == "ready").select(
             "id", "user_id", F.lit("document").alias("source_type"), F.lit(None).cast("long").alias("conversation_id"),
             F.col("id").alias("document_id"), F.lit("Flashcard Deck").alias("title"), "created_ms",
         )
 
     @cached_property
     def cards(self) -> DataFrame:
-        """Cards of two thirds of the decks, newest line first in creation order."""
+        """Cards of the English decks, one per line, last line first in creation order."""
         d, n = F.col("doc_id"), F.col("line_no")
-        return self.lines.where((d % 3 == 0) & (n < 6)).select(
+        english = self.raw("documents").where(F.col("lang") == "en").select("doc_id")
+        decks = self.decks.select(F.col("id").alias("doc_id"))
+        return self.lines.join(english, "doc_id", "left_semi").join(decks, "doc_id", "left_semi").select(
             (d * 100000 + n).alias("id"), d.alias("deck_id"), F.substring("line", 1, 40).alias("question"),
-            F.substring("line", 41, 40).alias("answer"), (10 - n).alias("created_ms"),
+            F.expr("substring(line, 41)").alias("answer"), (100000 - n).alias("created_ms"),
         )
