@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import audio_key
 from ..functions.text import normalise
+from ..session import write_table
 from ..sizing import join_sized
 from .toplists import best_row, top_per
 
@@ -70,8 +71,9 @@ def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     lost = (
         tables["conversations"].join(docs, "document_id", "left_semi").select(F.col("id").alias("conversation_id"))
     )
-    left["conversations"] = tables["conversations"].join(
-        lost.withColumnRenamed("conversation_id", "id"), "id", "left_anti"
+    docs, lost = write_table(docs, "gone-documents"), write_table(lost, "gone-conversations")
+    left["conversations"] = join_sized(
+        tables["conversations"], lost.withColumnRenamed("conversation_id", "id"), ["id"], "left_anti", F.xxhash64("id")
     )
 
     def without(name: str) -> DataFrame:
@@ -82,8 +84,9 @@ def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     left["messages"] = join_sized(tables["messages"], lost, ["conversation_id"], "left_anti", F.xxhash64("id"))
     left["summaries"] = without("summaries")
     left["flashcard_decks"] = without("flashcard_decks")
-    lost_decks = tables["flashcard_decks"].join(left["flashcard_decks"], "id", "left_anti").select(
-        F.col("id").alias("deck_id")
+    lost_decks = write_table(
+        tables["flashcard_decks"].join(left["flashcard_decks"], "id", "left_anti").select(F.col("id").alias("deck_id")),
+        "gone-decks",
     )
     left["flashcards"] = join_sized(tables["flashcards"], lost_decks, ["deck_id"], "left_anti", F.xxhash64("id"))
     return left

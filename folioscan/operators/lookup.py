@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from ..sizing import join_sized
 from .scope import heading_like, in_scope, on_page
 from .toplists import top_per
@@ -64,6 +65,7 @@ def by_section(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     matched = join_sized(headings, patterns, ["user_id"], spread=F.xxhash64("heading")).where(
         heading_like(F.col("heading"), F.col("asked_section"))
     )
+    matched = write_table(matched, "matched-headings")  # comes from a scan of all headings, is read twice below
     body = chunks.select("id", "document_id", "user_id", "chunk_index", "heading")
     found = join_sized(body, matched, ["user_id", "heading"], spread=F.xxhash64("id"))
     hits = join_sized(found, asked, ["user_id", "asked_section"], spread=F.xxhash64("id"))

@@ -74,16 +74,19 @@ def resolved_scope(requests: DataFrame, conversations: DataFrame, links: DataFra
     """Effective documents of each request.
 
     Ids sent along win; otherwise the documents linked to the conversation, but
-    only if the asking user owns it; otherwise its single legacy document.
+    only if the asking user owns it; otherwise its single legacy document. Only
+    the conversations of the batch are looked at.
     """
-    owned = conversations.select(
-        F.col("id").alias("conversation_id"), "user_id", F.col("document_id").alias("_legacy")
+    asked = requests.select("conversation_id").distinct()
+    owned = join_sized(
+        conversations.select(F.col("id").alias("conversation_id"), "user_id", F.col("document_id").alias("_legacy")),
+        asked, ["conversation_id"], "left_semi",
     )
-    linked = links.groupBy("conversation_id").agg(
-        F.sort_array(F.collect_set("document_id")).alias("_linked")
-    )
-    out = join_sized(requests, join_sized(owned, linked, ["conversation_id"], "left"),
-                     ["conversation_id", "user_id"], "left", F.xxhash64(*requests.columns))
+    linked = join_sized(links, asked, ["conversation_id"], "left_semi", F.xxhash64("document_id")).groupBy(
+        "conversation_id"
+    ).agg(F.sort_array(F.collect_set("document_id")).alias("_linked"))
+    known = owned.join(linked, "conversation_id", "left")
+    out = requests.join(known, ["conversation_id", "user_id"], "left")
     some = F.when(F.size("request_ids") > 0, F.col("request_ids"))
     out = out.withColumn("doc_ids", F.coalesce(some, F.when(F.size("_linked") > 0, F.col("_linked"))))
     n_docs = F.when(F.col("doc_ids").isNotNull(), F.size("doc_ids")).otherwise(

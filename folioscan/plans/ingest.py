@@ -234,7 +234,8 @@ def ingest_by_window(
     """
     kept = classified_pages(pages).where(F.col("skip_reason").isNull())
     keep = ["document_id", "user_id", "filename", "window_no"]
-    placed = page_windows(kept, window_pages, window_overlap)
+    spots = page_windows(kept.select("document_id", "page_number"), window_pages, window_overlap)
+    placed = kept.join(spots, ["document_id", "page_number"])
     staged = write_table(page_passages(placed, keep, size, overlap), "staged-pages")
     keys = ["document_id", "window_no"]
     carried = write_table(page_carry(staged, keys), "page-carry")
