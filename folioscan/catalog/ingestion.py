@@ -161,7 +161,9 @@ def _(t):
 
 @query("txt_sentence_pack")
 def _(t):
-    return t.raw("documents").select("doc_id", F.posexplode(X.sentence_pack(F.col("text"), 500)).alias("piece_no", "piece"))
+    return t.raw("documents").select("doc_id", F.posexplode(X.sentence_pack(F.col("text"), 500)).alias("piece_no", "piece")).withColumn(
+        "piece_no", F.col("piece_no").cast("long")
+    )
 
 
 @query("txt_split")

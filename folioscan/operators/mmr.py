@@ -18,9 +18,14 @@ def picks_for(n_docs: Column, base: int = 5) -> Column:
     return F.when(n_docs <= 1, F.lit(base)).otherwise(F.least(4 * n_docs, F.lit(12))).cast("long")
 
 
+def _dots(vectors: np.ndarray, one: np.ndarray) -> np.ndarray:
+    # Row by row, so that equal vectors get equal values; a matrix product may round them apart.
+    return (vectors * one).sum(axis=1)
+
+
 def greedy_order(query: np.ndarray, vectors: np.ndarray, k: int, lam: float) -> list[int]:
     """Row numbers in selection order; the earlier candidate wins ties."""
-    relevance = lam * (vectors @ query)
+    relevance = lam * _dots(vectors, query)
     closest = np.full(len(vectors), -np.inf)
     taken: list[int] = []
     for _ in range(min(k, len(vectors))):
@@ -29,7 +34,7 @@ def greedy_order(query: np.ndarray, vectors: np.ndarray, k: int, lam: float) ->
         score[taken] = -np.inf
         best = int(np.argmax(score))
         taken.append(best)
-        closest = np.maximum(closest, vectors @ vectors[best])
+        closest = np.maximum(closest, _dots(vectors, vectors[best]))
     return taken
 
 
