@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, repetition, secrets, simhash
+from . import decontaminate, host_text, perspectives, pieces, repetition, secrets, simhash, token_files
 from .common import table
 
 WORD_MODEL = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_patched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL))
+
+
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.digest(table(spark, sf_dir, "conversations"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,10 @@ def op6_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op8_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -35,6 +47,10 @@ def op10_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_suffix_repeats, op5_pivot_simhash, op6_randomness_secrets, op8_piece_scan, op10_prefix_windows)
+    f.__name__: f
+    for f in (
+        op1_patched_tokens, op2_perspectives, op4_suffix_repeats, op5_pivot_simhash, op6_randomness_secrets, op7_host_paths,
+        op8_piece_scan, op10_prefix_windows,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_perspectives": perspectives.ORACLE}
