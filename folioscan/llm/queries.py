@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_text, perspectives, pieces, repetition, secrets, simhash, token_files
+from . import decontaminate, host_text, passages, perspectives, pieces, repetition, secrets, simhash, token_files, toxicity
 from .common import table
 
 WORD_MODEL = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.digest(table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op8_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op9_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,8 +57,8 @@ def op10_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_patched_tokens, op2_perspectives, op4_suffix_repeats, op5_pivot_simhash, op6_randomness_secrets, op7_host_paths,
-        op8_piece_scan, op10_prefix_windows,
+        op1_patched_tokens, op2_perspectives, op3_toxicity, op4_suffix_repeats, op5_pivot_simhash, op6_randomness_secrets, op7_host_paths,
+        op8_piece_scan, op9_chained_passages, op10_prefix_windows,
     )
 }
 ORACLES: dict[str, str] = {"op2_perspectives": perspectives.ORACLE}

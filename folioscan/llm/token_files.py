@@ -15,7 +15,10 @@ renamed, so a task that runs again replaces its files by equal ones.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,27 +31,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
-from .common import column
+from .common import column, slices
 
-BLOCK = 256
+BLOCK = 512
 SHARE = 0.9
 SHARD_TOKENS = 1 << 20
 END_ID = 1
 MAGIC = b"PFB1"
 _FOOT = "<qqqqq"  # tokens, blocks, documents, offset of block starts, offset of documents
-_HEAD = "<IBBH"  # minimum, width, width of the high bits, exceptions
+_HEAD = "<IBBH"  # minimum, width, bytes of an exception's high bits, exceptions
 _NO_ID = -(1 << 63)  # a null doc_id
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values, each packed at ``width`` bits, low bit first."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of values, each packed at ``width`` bits, low bit first; eight values make ``width`` bytes."""
+    rows, count = values.shape
+    kind = np.uint32 if width <= 25 else np.uint64  # holds a value behind a shift of up to 7 bits
+    full = np.zeros((rows, -(-count // 8) * 8), kind)
+    full[:, :count] = values & kind((1 << width) - 1)
+    eights = full.reshape(rows, -1, 8)
+    out = np.zeros((rows, eights.shape[1], width), np.uint8)
+    for i in range(8):
+        byte, shift = divmod(i * width, 8)
+        moved = eights[:, :, i] << kind(shift)
+        for j in range((shift + width + 7) // 8):
+            out[:, :, byte + j] |= (moved >> kind(8 * j)).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : (count * width + 7) // 8]
 
 
 def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little").reshape(len(data), count, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+    rows = len(data)
+    whole = np.zeros((rows, -(-count // 8) * width), np.uint8)
+    whole[:, : data.shape[1]] = data
+    eights = whole.reshape(rows, -1, width)
+    kind = np.uint32 if width <= 25 else np.uint64
+    out = np.empty((rows, eights.shape[1], 8), np.uint32)
+    for i in range(8):
+        byte, shift = divmod(i * width, 8)
+        value = np.zeros(eights.shape[:2], kind)
+        for j in range((shift + width + 7) // 8):
+            value |= eights[:, :, byte + j].astype(kind) << kind(8 * j)
+        out[:, :, i] = (value >> kind(shift)) & kind((1 << width) - 1)
+    return out.reshape(rows, -1)[:, :count]
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -69,7 +93,7 @@ def _pack_rows(rows: np.ndarray, share: float) -> list[bytes]:
     width = _widths(np.partition(rest, int(share * (count - 1)), axis=1)[:, int(share * (count - 1))])
     high = rest >> np.minimum(width, 31).astype(np.uint32)[:, None]
     high[width >= 32] = 0
-    high_width = _widths(high.max(axis=1))
+    high_bytes = np.array([1, 1, 2, 4, 4])[(_widths(high.max(axis=1)) + 7) // 8]
     packed: list[bytes] = [b""] * len(rows)
     for w in np.unique(width):
         some = np.flatnonzero(width == w)
@@ -77,13 +101,14 @@ def _pack_rows(rows: np.ndarray, share: float) -> list[bytes]:
         for i, row in zip(some, data):
             packed[i] = row.tobytes()
     out = []
-    odd = high > 0
+    odd_row, odd_at = np.nonzero(high)
+    bounds = np.searchsorted(odd_row, np.arange(len(rows) + 1)).tolist()
     for i in range(len(rows)):
-        at = np.flatnonzero(odd[i])
+        at = odd_at[bounds[i] : bounds[i + 1]]
         extra = b""
         if len(at):
-            extra = at.astype("<u2").tobytes() + _pack(high[i, at][None, :], int(high_width[i])).tobytes()
-        out.append(struct.pack(_HEAD, int(low[i]), int(width[i]), int(high_width[i]), len(at)) + packed[i] + extra)
+            extra = at.astype("<u2").tobytes() + high[i, at].astype(f"<u{high_bytes[i]}").tobytes()
+        out.append(struct.pack(_HEAD, int(low[i]), int(width[i]), int(high_bytes[i]), len(at)) + packed[i] + extra)
     return out
 
 
@@ -98,8 +123,9 @@ def unpack_blocks(data: bytes, starts: np.ndarray, tokens: int, block: int = BLO
         some = np.flatnonzero((width == w) & (np.arange(len(starts)) < full))
         size = (block * int(w) + 7) // 8
         if len(some) and w:
-            at = (np.asarray(starts)[some] + struct.calcsize(_HEAD))[:, None] + np.arange(size)
-            out[: full * block].reshape(-1, block)[some] = _unpack(buffer[at], block, int(w))
+            begin = np.asarray(starts)[some] + struct.calcsize(_HEAD)
+            rows = np.stack([buffer[a : a + size] for a in begin.tolist()])
+            out[: full * block].reshape(-1, block)[some] = _unpack(rows, block, int(w))
         elif len(some):
             out[: full * block].reshape(-1, block)[some] = 0
     for i, (s, (low, w, hw, many)) in enumerate(zip(starts, heads)):
@@ -110,8 +136,8 @@ def unpack_blocks(data: bytes, starts: np.ndarray, tokens: int, block: int = BLO
             out[a:b] = _unpack(buffer[s : s + size][None, :], b - a, w)[0] if w else 0
         if many:
             at = np.frombuffer(data, "<u2", many, s + size).astype(np.int64)
-            bits = buffer[s + size + 2 * many : s + size + 2 * many + (many * hw + 7) // 8]
-            out[a + at] |= _unpack(bits[None, :], many, hw)[0] << np.uint32(w)
+            high = np.frombuffer(data, f"<u{hw}", many, s + size + 2 * many).astype(np.uint32)
+            out[a + at] |= high << np.uint32(w)
         out[a:b] += np.uint32(low)
     return out
 
@@ -157,39 +183,113 @@ class Shard:
         return ids[a - lo * BLOCK : b - lo * BLOCK]
 
 
+#: lower-case letters whose case and composition need no context: a-z and Latin-1 and Latin Extended-A
+PLAIN = re.compile("[a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as themselves
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The model's rules never join characters over ASCII white space, so a text is encoded by its
-    words between white space, and the ids of short words are kept for the next time.
+    The model's rules never join characters over ASCII white space and treat A-Z as a-z, so a text is
+    encoded by its words between white space. Words that were not met before are handed to the
+    library together, without the ASCII punctuation behind a last letter (which it splits
+    off as well), and their ids are kept for the next time.
     """
 
-    KEPT, SHORT = 200_000, 48
+    KEPT, SHORT, GROUP = 600_000, 48, 4096
+    TAIL = b".,;:!?%$#&*|+=/()[]{}<>-_~"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.kept: dict[bytes, list[int]] = {}
-
-    def __call__(self, data: bytes | None) -> np.ndarray:
-        words = data.split() if data else []
-        missing = {w for w in words if w not in self.kept}
+        self.kept: dict[bytes, bytes] = {}  # ids as 32-bit numbers
+        self.parts: dict[bytes, bytes] = {}
+        self.plain = Tokenizer.from_file(path)  # the same model over words that need no rule but byte letters
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        probe = [w.encode() for w in "a word größe œuvre niñas ÉTÉ thththing Ŵ".split()]
+        ways: list[dict[bytes, bytes]] = [{}, {}]
+        self._encode_slow(probe, ways[0])
+        self._encode_plain([(w, w.decode().lower()) for w in probe], ways[1])
+        self.has_plain = ways[0] == ways[1]
+
+    def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        plain, rest = [], []
+        for w in words:
+            text = w.decode()
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).lower()
+            if self.has_plain and PLAIN.fullmatch(text):
+                plain.append((w, text))
+            else:
+                rest.append(w)
+        self._encode_plain(plain, into)
+        self._encode_slow(rest, into)
+
+    def _encode_plain(self, words: list[tuple[bytes, str]], into: dict[bytes, bytes]) -> None:
+        """Words of letters only, many in one text: each ends with a piece that ends a word."""
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            text = " ".join(t.encode().decode("latin-1").translate(BYTE_LETTERS) for _, t in some)
+            made = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data, ends = made.tobytes(), (4 * (np.flatnonzero(self.last[made]) + 1)).tolist()
+            if len(ends) != len(some):
+                self._encode_slow([w for w, _ in some], into)
+                continue
+            into.update((w, data[a:b]) for (w, _), a, b in zip(some, [0, *ends], ends))
+
+    def _encode_slow(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for at in range(0, len(words), self.GROUP):
+            some = words[at : at + self.GROUP]
+            made = self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            into.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(some, made))
+
+    def __call__(self, documents: list[bytes | None]) -> list[np.ndarray]:
+        lists = [d.lower().split() if d else [] for d in documents]
+        missing = set().union(*lists).difference(self.kept)
+        if len(self.parts) > self.KEPT:
+            self.parts = {}
         if len(self.kept) + len(missing) > self.KEPT:
             self.kept = {}
-            missing = set(words)
-        order = list(missing)
-        made = self.model.encode_batch([w.decode() for w in order], add_special_tokens=False) if order else []
-        once = {w: m.ids for w, m in zip(order, made)}
-        own = self.kept
-        own.update(once)
-        ids = [i for w in words for i in own[w]]
-        for w in order:
-            if len(w) > self.SHORT:
-                del own[w]
-        ids.append(END_ID)
-        return np.array(ids, np.uint32)
+            missing = set().union(*lists)
+        cut, whole = {}, []
+        for w in missing:
+            core = w.rstrip(self.TAIL)
+            if len(core) < len(w) and (not core or core.decode()[-1].isalpha()):
+                cut[w] = (core, w[len(core) :])
+            else:
+                whole.append(w)
+        own, parts = self.kept, self.parts
+        pieces = {p for two in cut.values() for p in two if p}
+        self._encode(list(pieces.difference(parts)), parts)
+        self._encode([w for w in whole if w not in parts], own)
+        own.update((w, parts[w]) for w in whole if w in parts)
+        parts[b""] = b""
+        own.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
+        end = np.array([END_ID], "<u4").tobytes()
+        out = [np.frombuffer(b"".join(map(own.__getitem__, words)) + end, "<u4") for words in lists]
+        for held in (own, parts):
+            for w in [w for w in (missing | pieces) if len(w) > self.SHORT]:
+                held.pop(w, None)
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each process, so its words are kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_shards(docs: DataFrame, path: str, model_path: str, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
@@ -208,17 +308,18 @@ def write_shards(docs: DataFrame, path: str, model_path: str, doc_id: str = "doc
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = Encoder(model_path)
+        encode = encoder(model_path)
         fs, root = pafs.FileSystem.from_uri(path)
         held, size, shard = [], 0, 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = encode(t.as_py())
-                if held and size + len(ids) > SHARD_TOKENS:
-                    yield _written(fs, root, part, shard, held, size)
-                    held, size, shard = [], 0, shard + 1
-                held.append((_NO_ID if i is None else i, ids))
-                size += len(ids)
+            owners, data = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in slices(len(x or b"") for x in data):
+                for i, ids in zip(owners[a:b], encode(data[a:b])):
+                    if held and size + len(ids) > SHARD_TOKENS:
+                        yield _written(fs, root, part, shard, held, size)
+                        held, size, shard = [], 0, shard + 1
+                    held.append((_NO_ID if i is None else i, ids))
+                    size += len(ids)
         if held:
             yield _written(fs, root, part, shard, held, size)
 
@@ -280,4 +381,5 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
     based = shards.withColumn("inside", inside).join(before, "part").select("file", (F.col("before") + F.col("inside")).alias("base"))
-    return read_shards(based.repartition(F.col("file")), target)
+    readers = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: few rows, but much to read
+    return read_shards(based.repartition(readers, "file"), target)
