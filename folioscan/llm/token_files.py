@@ -16,9 +16,7 @@ renamed, so a task that runs again replaces its files by equal ones.
 from __future__ import annotations
 
 import os
-import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -183,23 +181,34 @@ class Shard:
         return ids[a - lo * BLOCK : b - lo * BLOCK]
 
 
-#: lower-case letters whose case and composition need no context: a-z and Latin-1 and Latin Extended-A
-PLAIN = re.compile("[a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+")
+#: letters whose case and composition need no context, beside a-z: Latin-1 and Latin Extended-A
+PLAIN = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as themselves
-BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SHOWN_AS = np.arange(256, dtype="<u4")
+_SHOWN_AS[[b for b in range(256) if b not in _SHOWN]] = 256 + np.arange(256 - len(_SHOWN))
+_SHOWN_AS[32] = 32  # stays the gap between cuts
+
+_OTHER, _DIGIT, _LETTER, _ODD = 1, 2, 3, 4
+_KIND = np.array([
+    _LETTER if 97 <= c <= 122 or c >= 128 else _DIGIT if 48 <= c <= 57 else _OTHER if 33 <= c < 127 and c != 39 and not 65 <= c <= 90 else _ODD
+    for c in range(256)
+], np.uint8)
+_PAIR = np.zeros(1 << 16, bool)  # the two bytes of each letter of PLAIN
+_PAIR[[int.from_bytes(c.encode(), "big") for c in PLAIN]] = True
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The model's rules never join characters over ASCII white space and treat A-Z as a-z, so a text is
-    encoded by its words between white space. Words that were not met before are handed to the
-    library together, without the ASCII punctuation behind a last letter (which it splits
-    off as well), and their ids are kept for the next time.
+    The model's rules never join characters over ASCII white space and ignore case, so a text is
+    encoded by its lower-case words between white space. The ids of words are kept; words that
+    were not met before are handed to the library many at a time. Of these, the ones made of
+    plain letters, digits and signs are cut where the model's rules cut them (a run of
+    letters, one digit, a run of signs) and need only its merges; each cut ends with a piece that
+    is marked as the end of a word. Any other word goes through all of the model's rules.
     """
 
-    KEPT, SHORT, GROUP = 600_000, 48, 4096
-    TAIL = b".,;:!?%$#&*|+=/()[]{}<>-_~"
+    KEPT, LONG, GROUP = 500_000, 64, 4096
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -208,77 +217,82 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
         self.kept: dict[bytes, bytes] = {}  # ids as 32-bit numbers
-        self.parts: dict[bytes, bytes] = {}
-        self.plain = Tokenizer.from_file(path)  # the same model over words that need no rule but byte letters
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.model.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        probe = [w.encode() for w in "a word größe œuvre niñas ÉTÉ thththing Ŵ".split()]
+        probe = [w.encode() for w in "a word größe, œuvre. niñas!! thththing (ŵ7) 2024-11-03 x=y&&&z".split()]
         ways: list[dict[bytes, bytes]] = [{}, {}]
-        self._encode_slow(probe, ways[0])
-        self._encode_plain([(w, w.decode().lower()) for w in probe], ways[1])
-        self.has_plain = ways[0] == ways[1]
-
-    def _encode(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        plain, rest = [], []
-        for w in words:
-            text = w.decode()
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).lower()
-            if self.has_plain and PLAIN.fullmatch(text):
-                plain.append((w, text))
-            else:
-                rest.append(w)
-        self._encode_plain(plain, into)
-        self._encode_slow(rest, into)
-
-    def _encode_plain(self, words: list[tuple[bytes, str]], into: dict[bytes, bytes]) -> None:
-        """Words of letters only, many in one text: each ends with a piece that ends a word."""
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            text = " ".join(t.encode().decode("latin-1").translate(BYTE_LETTERS) for _, t in some)
-            made = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            data, ends = made.tobytes(), (4 * (np.flatnonzero(self.last[made]) + 1)).tolist()
-            if len(ends) != len(some):
-                self._encode_slow([w for w, _ in some], into)
-                continue
-            into.update((w, data[a:b]) for (w, _), a, b in zip(some, [0, *ends], ends))
+        self._by_rules(probe, ways[0])
+        self.cuts = True
+        self._by_cuts(probe, ways[1])
+        self.cuts = ways[0] == ways[1]  # else the model has other rules, and every word goes through them
 
-    def _encode_slow(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+    def _by_rules(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         for at in range(0, len(words), self.GROUP):
             some = words[at : at + self.GROUP]
             made = self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             into.update((w, np.array(m.ids, "<u4").tobytes()) for w, m in zip(some, made))
 
+    def _by_cuts(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for at in range(0, len(words), self.GROUP):
+            some = words[at : at + self.GROUP]
+            text = np.frombuffer(b" ".join(some) + b" ", np.uint8)
+            gap = np.flatnonzero(text == 32)
+            kind = _KIND[text]
+            kind[gap] = 0
+            high = text >= 128
+            lead = high & (text >= 0xC0)
+            pair = np.zeros(len(text), np.int64)
+            pair[:-1] = text[:-1].astype(np.int64) << 8 | text[1:]
+            fits = lead & _PAIR[pair]
+            fits[1:] |= fits[:-1]
+            odd = (kind == _ODD) | (high & ~fits)
+            begin = np.concatenate([[0], gap[:-1] + 1])
+            bad = np.logical_or.reduceat(odd, begin)
+            if bad.any():
+                rest = [some[i] for i in np.flatnonzero(bad)]
+                self._by_rules(rest, into)
+                self._by_cuts([some[i] for i in np.flatnonzero(~bad)], into)
+                continue
+            cut = np.zeros(len(text), bool)
+            cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+            pieces = np.add.reduceat(cut.astype(np.int64), begin) + 1
+            line = _SHOWN_AS[np.insert(text, np.flatnonzero(cut), 32)].tobytes().decode("utf-32-le")
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != pieces.sum():
+                self._by_rules(some, into)
+                continue
+            stop = (4 * ends[np.cumsum(pieces) - 1]).tolist()
+            data = ids.tobytes()
+            into.update(zip(some, [data[a:b] for a, b in zip([0, *stop], stop)]))
+
+    @staticmethod
+    def _lower(data: bytes | None) -> list[bytes]:
+        if not data:
+            return []
+        if data.isascii():
+            return data.lower().split()
+        return data.decode().replace("Σ", "σ").lower().encode().split()
+
     def __call__(self, documents: list[bytes | None]) -> list[np.ndarray]:
-        lists = [d.lower().split() if d else [] for d in documents]
+        lists = [self._lower(d) for d in documents]
         missing = set().union(*lists).difference(self.kept)
-        if len(self.parts) > self.KEPT:
-            self.parts = {}
         if len(self.kept) + len(missing) > self.KEPT:
             self.kept = {}
             missing = set().union(*lists)
-        cut, whole = {}, []
-        for w in missing:
-            core = w.rstrip(self.TAIL)
-            if len(core) < len(w) and (not core or core.decode()[-1].isalpha()):
-                cut[w] = (core, w[len(core) :])
-            else:
-                whole.append(w)
-        own, parts = self.kept, self.parts
-        pieces = {p for two in cut.values() for p in two if p}
-        self._encode(list(pieces.difference(parts)), parts)
-        self._encode([w for w in whole if w not in parts], own)
-        own.update((w, parts[w]) for w in whole if w in parts)
-        parts[b""] = b""
-        own.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
+        long_ = [w for w in missing if len(w) > self.LONG]
+        short = missing.difference(long_) if long_ else missing
+        self._by_rules(long_, self.kept)
+        (self._by_cuts if self.cuts else self._by_rules)(list(short), self.kept)
         end = np.array([END_ID], "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(own.__getitem__, words)) + end, "<u4") for words in lists]
-        for held in (own, parts):
-            for w in [w for w in (missing | pieces) if len(w) > self.SHORT]:
-                held.pop(w, None)
+        get = self.kept.__getitem__
+        out = [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in lists]
+        for w in long_:
+            del self.kept[w]
         return out
 
 
