@@ -208,7 +208,7 @@ class Encoder:
     is marked as the end of a word. Any other word goes through all of the model's rules.
     """
 
-    KEPT, LONG, GROUP = 500_000, 64, 4096
+    KEPT, LONG, GROUP = 1_000_000, 64, 4096
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
