@@ -18,16 +18,20 @@ its matrix is a column plus a row.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import write_table
 from .common import column, free_name, slices
 
+SLICE = 1 << 20  # bytes of text that are encoded at a time
+
 CHUNK = 16384  # code points; texts up to this length are encoded in one go
 BLOCK = 64  # chunk matrices that are multiplied in one step
 NONE = -np.inf
@@ -127,11 +131,10 @@ def matrix(model: Pieces, text: str, left: list[tuple[int, int]], right: list[tu
             path = model.pieces(text[a:first])
             if path and path[0][:2] == (0, b - a):
                 head[i] = sum(s for _, _, s in path[1:])
-        between = sum(s for _, _, s in model.pieces(text[first:last]))
         for j, (a, b) in enumerate(right):
             path = model.pieces(text[last:b])
             if path and path[-1][:2] == (a - last, b - last):
-                out[:, j] = head + between + sum(s for _, _, s in path)
+                out[:, j] = head + sum(s for _, _, s in path)  # what lies between is the same for all
         return out
     for i, (a, b) in enumerate(left):
         for j, (c, d) in enumerate(right):
@@ -161,6 +164,26 @@ def crossings(matrices: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return [int(np.argmax(a + b)) for a, b in zip(ahead[1:], behind[:-1])]
 
 
+def in_runs(df: DataFrame, many: int, keys: list[str], order: str, work, schema: str) -> DataFrame:
+    """``work`` on the rows (as dicts, in order) of each key; a key's rows are one run of a sorted partition."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        held: list[dict] = []
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if held and any(row[k] != held[0][k] for k in keys):
+                    out += work(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(work(held), schema=arrow)
+
+    return df.repartition(many, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def _packed(m: np.ndarray) -> bytes:
     return np.array(m.shape, "<i4").tobytes() + np.ascontiguousarray(m, "<f8").tobytes()
 
@@ -169,9 +192,10 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<f8", offset=8).reshape(np.frombuffer(b, "<i4", 2))
 
 
-def encoded(docs: DataFrame, model_path: str, text: str = "text", name: str = "ids", chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, model_path: str, text: str = "text", name: str = "ids", chunk: int = CHUNK, check: str | None = None) -> DataFrame:
     """``docs`` with an array ``name`` of piece ids, the same as the library gives for the whole text.
 
+    With ``check`` also a boolean of that name: whether the ids decode to the text again.
     Null and empty texts have no ids. A giant text leaves its row in chunks (see the module
     text) and its ids come back by a row number, so ids or texts may repeat.
     """
@@ -183,19 +207,27 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", name: str = "i
         model = pieces(model_path)
         for batch in batches:
             texts = batch.column(where).to_pylist()
-            for a, b in slices(len(t or "") for t in texts):
-                made = model.whole([t if t and len(t) <= chunk else "" for t in texts[a:b]])
-                made = [None if t and len(t) > chunk else m for t, m in zip(texts[a:b], made)]
+            for a, b in slices((len(t or "") for t in texts), SLICE):
+                some = [t or "" for t in texts[a:b]]
+                made = model.whole(some)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.int32()))], names=[*part.schema.names, name])
+                new = [_lists(made)]
+                if check:
+                    new.append(pa.array([x == y for x, y in zip(some, model.model.decode(made, num_threads=1))]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, name, *([check] if check else [])])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])]
+    schema = T.StructType([*docs.schema.fields, *fields])
     if docs.where(long_).isEmpty():
         return docs.mapInArrow(direct, schema)
     near = docs.where(~long_).mapInArrow(direct, schema)
     far = write_table(docs.where(long_).withColumn(row, F.monotonically_increasing_id()), "giant-texts")
     ids = giant_ids(far.select(column(row).alias("n"), column(text).alias("t")), model_path, chunk)
-    back = far.join(ids.withColumnRenamed("n", row).withColumnRenamed("ids", name), row).select(*[column(f.name) for f in schema.fields])
+    back = far.join(ids.withColumnRenamed("n", row).withColumnRenamed("ids", name), row)
+    if check:
+        held = free_name(back, "_decoded")
+        back = decoded(back, model_path, name, held).withColumn(check, column(held) == column(text))
+    back = back.select(*[column(f.name) for f in schema.fields])
     return near.unionByName(back)
 
 
@@ -234,29 +266,29 @@ def giant_ids(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFram
     steps = write_table(spread.mapInPandas(matrices, "n long, k long, m binary"), "piece-matrices")
 
     # up: the product of each block of chunks; down: the states at its ends, then at every cut inside
-    def up(frame):
-        ms = [_unpacked(m) for m in frame.sort_values("k").m]
-        out = ms[0]
-        for m in ms[1:]:
-            out = product(out, m)
-        return frame.head(1)[["n"]].assign(k=int(frame.k.min()) // BLOCK, m=[_packed(out)])
-
-    def down(frame):
-        frame = frame.sort_values("k")
-        ms = [_unpacked(m) for m in frame.m]
-        first, last = frame.i.iloc[0], frame.j.iloc[-1]
+    def up(rows):
+        out = _unpacked(rows[0]["m"])
+        for r in rows[1:]:
+            out = product(out, _unpacked(r["m"]))
+        return [{"n": rows[0]["n"], "block": rows[0]["block"], "m": _packed(out)}]
+
+    def down(rows):
+        ms = [_unpacked(r["m"]) for r in rows]
+        first, last = rows[0]["i"], rows[-1]["j"]
         left = np.where(np.arange(ms[0].shape[0]) == first, 0.0, NONE) if first >= 0 else np.zeros(ms[0].shape[0])
         right = np.where(np.arange(ms[-1].shape[1]) == last, 0.0, NONE) if last >= 0 else np.zeros(ms[-1].shape[1])
         inner = crossings(ms, left, right)
-        return frame[["n", "k"]].assign(i=[max(first, 0), *inner], j=[*inner, max(last, 0)])
-
-    block = F.floor(F.col("k") / BLOCK).cast("long")
-    blocks = write_table(steps.groupBy("n", block).applyInPandas(up, "n long, k long, m binary"), "piece-blocks")
-    open_ = blocks.withColumn("i", F.lit(-1).cast("long")).withColumn("j", F.lit(-1).cast("long"))
-    states = "n long, k long, i long, j long"
-    tops = open_.groupBy("n").applyInPandas(down, states).withColumnRenamed("k", "block")
-    inner = steps.withColumn("block", block).join(tops, ["n", "block"])
-    met = inner.groupBy("n", "block").applyInPandas(lambda frame: down(frame), states)
+        at = "k" if "k" in rows[0] else "block"
+        return [{"n": r["n"], at: r[at], "i": i, "j": j} for r, i, j in zip(rows, [max(first, 0), *inner], [*inner, max(last, 0)])]
+
+    many = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.floor(F.col("k") / BLOCK).cast("long").alias("block")
+    steps = steps.select("n", "k", "m", block)
+    blocks = write_table(in_runs(steps, many, ["n", "block"], "k", up, "n long, block long, m binary"), "piece-blocks")
+    open_ = blocks.select("n", "block", "m", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
+    tops = in_runs(open_, many, ["n"], "block", down, "n long, block long, i long, j long")
+    inner = steps.join(tops, ["n", "block"])
+    met = in_runs(inner, many, ["n", "block"], "k", down, "n long, k long, i long, j long")
 
     def backtrace(frames):
         model = pieces(model_path)
@@ -296,6 +328,11 @@ def _edge_matrix(model, text, left, right, first: bool, last: bool) -> np.ndarra
     return out
 
 
+def _lists(made: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0] + [len(m) for m in made], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(made), np.int32, ends[-1])))
+
+
 def decoded(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` with the text of an id array; null for a null array."""
     where = docs.columns.index(ids)
@@ -304,7 +341,7 @@ def decoded(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "dec
         model = pieces(model_path).model
         for batch in batches:
             lists = batch.column(where).to_pylist()
-            for a, b in slices(4 * len(x or ()) for x in lists):
+            for a, b in slices((4 * len(x or ()) for x in lists), SLICE):
                 made = [None if x is None else y for x, y in zip(lists[a:b], model.decode([x or [] for x in lists[a:b]], num_threads=1))]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*part.schema.names, name])
@@ -314,8 +351,5 @@ def decoded(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "dec
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids, and whether the ids decode to the text again (null texts: to an empty one)."""
-    made = decoded(encoded(docs.select("doc_id", "text"), model_path), model_path)
-    return made.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    made = encoded(docs.select("doc_id", "text"), model_path, check="round_trip")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")

@@ -21,9 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import write_table
+from ..sizing import join_sized
 from .common import attach, column, free_name
 
 WORDS = 4
@@ -210,16 +210,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each group stays: that with the smallest id (of rows with equal ids, the smallest text; null ids go last)."""
-    held = write_table(fingerprints(docs, free_name(docs, "_fp"), text, width), "fingerprinted")
-    fp = held.columns[-1]
-    key = F.struct(column(doc_id).isNull().alias("n"), column(doc_id).alias("i"), F.xxhash64(column(text)).alias("h"))
+    """One row of each group stays: that with the smallest id (of rows with equal ids, the smallest text hash; null ids go last)."""
+    fp, row = free_name(docs, "_fp"), free_name(docs, "_row")
+    held = write_table(fingerprints(docs, fp, text, width).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    key = F.struct(column(doc_id).isNull(), column(doc_id), F.xxhash64(column(text)), column(row).alias("row"))
     nodes = write_table(held.groupBy(column(fp).alias("fp")).agg(F.min(key).alias("least")), "fingerprint-nodes")
     roots = write_table(components(links(nodes.select("fp"), radius)), "fingerprint-roots")
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    chosen = named.groupBy("root").agg(F.min_by("fp", "least").alias("fp"), F.min("least").alias("least")).select("fp", "least")
-    mark, row = free_name(held, "_key"), free_name(held, "_row")
-    keyed = held.withColumn(mark, key).join(chosen, (column(fp) == chosen["fp"]) & column(mark).eqNullSafe(chosen["least"]), "left_semi")
-    # rows that are equal in id and text: one of them
-    once = Window.partitionBy(column(mark), column(fp)).orderBy(F.lit(0))
-    return keyed.withColumn(row, F.row_number().over(once)).where(column(row) == 1).drop(row, mark, fp)
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    chosen = write_table(named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row)), "fingerprint-chosen")
+    return join_sized(held, chosen, [row], "left_semi").drop(row, fp)
