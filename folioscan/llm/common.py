@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,11 @@ def slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int
         yield start, i + 1
 
 
+def lengths(data: pa.Array) -> list[int]:
+    """Bytes of each value, 0 for null."""
+    return pc.fill_null(pc.binary_length(data), 0).to_pylist()
+
+
 def attach(
     df: DataFrame, make: Callable[[], Callable[[list], list]], fields: str, name: str, text: str = "text",
 ) -> DataFrame:
@@ -57,9 +63,9 @@ def attach(
     def run(batches):
         work = make()
         for batch in batches:
-            data = batch.column(where).cast(pa.binary()).to_pylist()
-            for a, b in slices(len(x or b"") for x in data):
-                rows = work(data[a:b])
+            data = batch.column(where).cast(pa.binary())
+            for a, b in slices(lengths(data)):
+                rows = work(data.slice(a, b - a).to_pylist())
                 part = batch.slice(a, b - a)
                 made = pa.array([dict(zip(names, row)) for row in rows], type=arrow)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])

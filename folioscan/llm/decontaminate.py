@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, column, free_name, slices
+from .common import attach, column, free_name, lengths, slices
 
 WIDTH = 10
 SHINGLE = 3
@@ -193,9 +193,9 @@ def _counts(docs: DataFrame, text: str, windows: Windows) -> np.ndarray:
         w = shared.value
         total = np.zeros(len(w.known), np.int64)
         for batch in batches:
-            data = batch.column(0).cast(pa.binary()).to_pylist()
-            for a, b in slices(len(x or b"") for x in data):
-                w.count(w.numbers(data[a:b])[0], total)
+            data = batch.column(0).cast(pa.binary())
+            for a, b in slices(lengths(data)):
+                w.count(w.numbers(data.slice(a, b - a).to_pylist())[0], total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 

@@ -22,15 +22,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import write_table
-from .common import column, free_name, slices
-
-SLICE = 1 << 20  # bytes of text that are encoded at a time
+from ..sizing import join_sized
+from .common import column, free_name, lengths, slices
 
 CHUNK = 16384  # code points; texts up to this length are encoded in one go
 BLOCK = 64  # chunk matrices that are multiplied in one step
@@ -206,11 +206,10 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", name: str = "i
     def direct(batches):
         model = pieces(model_path)
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            for a, b in slices((len(t or "") for t in texts), SLICE):
-                some = [t or "" for t in texts[a:b]]
-                made = model.whole(some)
+            for a, b in slices(lengths(batch.column(where))):
                 part = batch.slice(a, b - a)
+                some = [t or "" for t in part.column(where).to_pylist()]
+                made = model.whole(some)
                 new = [_lists(made)]
                 if check:
                     new.append(pa.array([x == y for x, y in zip(some, model.model.decode(made, num_threads=1))]))
@@ -300,7 +299,7 @@ def giant_ids(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFram
                 made.append(np.array(ids, np.int32))
             yield frame[["n", "k"]].assign(ids=made)
 
-    found = spread.join(met, ["n", "k"]).mapInPandas(backtrace, "n long, k long, ids array<int>")
+    found = join_sized(spread, write_table(met, "piece-states"), ["n", "k"]).mapInPandas(backtrace, "n long, k long, ids array<int>")
     ordered = found.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return ordered.select("n", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
@@ -340,10 +339,12 @@ def decoded(docs: DataFrame, model_path: str, ids: str = "ids", name: str = "dec
     def run(batches):
         model = pieces(model_path).model
         for batch in batches:
-            lists = batch.column(where).to_pylist()
-            for a, b in slices((4 * len(x or ()) for x in lists), SLICE):
-                made = [None if x is None else y for x, y in zip(lists[a:b], model.decode([x or [] for x in lists[a:b]], num_threads=1))]
+            sizes = pc.fill_null(pc.list_value_length(batch.column(where)), 0).to_pylist()
+            for a, b in slices(4 * n for n in sizes):
                 part = batch.slice(a, b - a)
+                lists = part.column(where).to_pylist()
+                texts = model.decode([x or [] for x in lists], num_threads=1)
+                made = [None if x is None else y for x, y in zip(lists, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))

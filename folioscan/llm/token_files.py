@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
-from .common import column, slices
+from .common import column, lengths, slices
 
 BLOCK = 512
 SHARE = 0.9
 SHARD_TOKENS = 1 << 20
+SLICE = 4 << 20  # bytes of text whose new words are encoded together
 END_ID = 1
 MAGIC = b"PFB1"
 _FOOT = "<qqqqq"  # tokens, blocks, documents, offset of block starts, offset of documents
@@ -326,9 +327,9 @@ def write_shards(docs: DataFrame, path: str, model_path: str, doc_id: str = "doc
         fs, root = pafs.FileSystem.from_uri(path)
         held, size, shard = [], 0, 0
         for batch in batches:
-            owners, data = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(len(x or b"") for x in data):
-                for i, ids in zip(owners[a:b], encode(data[a:b])):
+            owners, data = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for a, b in slices(lengths(data), SLICE):
+                for i, ids in zip(owners[a:b], encode(data.slice(a, b - a).to_pylist())):
                     if held and size + len(ids) > SHARD_TOKENS:
                         yield _written(fs, root, part, shard, held, size)
                         held, size, shard = [], 0, shard + 1
