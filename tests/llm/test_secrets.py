@@ -58,7 +58,7 @@ def test_random_strings_are_found_and_plain_ones_are_not(spark):
     key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
     keys = [key(44) for _ in range(200)]
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(20, 60))) for _ in range(400)]
-    runs = [alphabet[:40], "0123456789" * 5, "ab" * 20, "getUserAccountBalanceFromServer", "some_long_snake_case_identifier_name"]
+    runs = [alphabet[:40], "0123456789" * 3, "ab" * 15, "getUserAccountBalanceFromServer", "some_long_snake_case_identifier_name"]
     rows = [(i, f"x {t} y") for i, t in enumerate(keys + words + runs)]
     got = {r.doc_id: r.spans for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] == "random:2:46" for i in range(200)) >= 190
