@@ -15,9 +15,9 @@ def PART():
 
 
 @query("agg_chunk_count", """SELECT d.id, count(c.id) AS chunk_count FROM fx_documents d LEFT JOIN fx_chunks c
- ON c.document_id = d.id AND length(c.content) > 100 GROUP BY 1""")
+ ON c.document_id = d.id GROUP BY 1""")
 def _(t):
-    return reports.chunk_counts(t.documents, t.chunks.where(F.length("content") > 100)).select("id", "chunk_count")
+    return reports.chunk_counts(t.documents, t.chunks).select("id", "chunk_count")
 
 
 @query("agg_embedding_coverage", """SELECT user_id, count(*) AS total, count(embedding) AS with_embedding,
@@ -34,7 +34,7 @@ def _(t):
     return out.withColumn("skipped_pages", F.array_join(F.col("skipped_pages").cast("array<string>"), ","))
 
 
-ATTEMPTS = {"fx_attempts": """SELECT document_id, (page_number - 1) // 4 AS window_no, sum(CASE WHEN length(content) > 90 THEN 1 ELSE 0 END)::BIGINT AS n_chunks,
+ATTEMPTS = {"fx_attempts": """SELECT document_id, (page_number - 1) // 4 AS window_no, count(*) AS n_chunks,
  (document_id + (page_number - 1) // 4) % 23 = 5 AS chunk_error, (document_id + (page_number - 1) // 4) % 29 = 7 AS store_error
  FROM fx_chunks GROUP BY 1, 2, 4, 5"""}
 STATS = """SELECT *, CASE WHEN chunk_error THEN 'chunk_failed' WHEN n_chunks = 0 THEN 'skipped' WHEN store_error THEN 'failed' ELSE 'ok' END AS status FROM fx_attempts"""
@@ -47,7 +47,7 @@ STATS = """SELECT *, CASE WHEN chunk_error THEN 'chunk_failed' WHEN n_chunks = 0
 def _(t):
     w = F.floor((F.col("page_number") - 1) / 4)
     made = t.chunks.groupBy("document_id", w.alias("window_no")).agg(
-        F.sum(F.when(F.length("content") > 90, 1).otherwise(0)).alias("n_chunks")
+        F.count("*").alias("n_chunks")
     )
     tried = made.withColumn("chunk_error", (F.col("document_id") + F.col("window_no")) % 23 == 5).withColumn(
         "store_error", (F.col("document_id") + F.col("window_no")) % 29 == 7
@@ -71,9 +71,9 @@ def _(t):
 
 @query("agg_document_text", """SELECT document_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS total_chars,
  string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, id) AS text FROM (SELECT *, row_number() OVER
- (PARTITION BY document_id ORDER BY chunk_index, id) AS nth FROM fx_chunks) WHERE nth <= 100 GROUP BY 1""")
+ (PARTITION BY document_id ORDER BY chunk_index, id) AS nth FROM fx_chunks) GROUP BY 1""")
 def _(t):
-    return condense.document_text(t.chunks, condense.CARD_CHUNKS)
+    return condense.document_text(t.chunks)
 
 
 @query("agg_strategy", """SELECT document_id, sum(length(content))::BIGINT AS total_chars,
@@ -85,7 +85,7 @@ def _(t):
 
 BATCHES = {
     "fx_first": """SELECT document_id, id, content, length(content) AS n, nth FROM (SELECT *, row_number() OVER
- (PARTITION BY document_id ORDER BY chunk_index, id) AS nth FROM fx_chunks) WHERE nth <= 500""",
+ (PARTITION BY document_id ORDER BY chunk_index, id) AS nth FROM fx_chunks)""",
     "fx_fold": """SELECT document_id, nth, 1::BIGINT AS batch, n::BIGINT AS size FROM fx_first WHERE nth = 1 UNION ALL
  SELECT f.document_id, f.nth, CASE WHEN p.size + f.n > {max} THEN p.batch + 1 ELSE p.batch END,
  CASE WHEN p.size + f.n > {max} THEN f.n ELSE p.size + f.n END FROM fx_fold p JOIN fx_first f ON f.document_id = p.document_id AND f.nth = p.nth + 1""",
@@ -145,7 +145,7 @@ def _(t):
 
 FLASH = r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '["\\\[\]\x00-\x1f]', '', 'g')) AS w FROM documents),
  fx_made AS (SELECT doc_id, 'Flashcard Deck' AS title, count(*) AS stored_cards FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM fx_w WHERE doc_id % 4 <> 3)
- WHERE (doc_id + i) % 4 <> 1 GROUP BY 1), fx_opening AS (SELECT document_id, content FROM fx_chunks QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) <= 100),
+ WHERE (doc_id + i) % 4 <> 1 GROUP BY 1), fx_opening AS (SELECT document_id, content FROM fx_chunks),
  fx_texts AS (SELECT d.user_id, 'document' AS source_type, d.id AS source_id, sum(length(c.content) + 2)::BIGINT - 2 AS source_chars FROM fx_documents d
  JOIN fx_opening c ON c.document_id = d.id WHERE d.status = 'ready' GROUP BY 1, 2, 3
  UNION ALL SELECT user_id, 'conversation', conversation_id, sum(length(content) + 2)::BIGINT - 2 FROM fx_messages WHERE role = 'assistant' GROUP BY 1, 2, 3)

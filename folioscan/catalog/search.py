@@ -171,7 +171,7 @@ def _(t):
     return e.select("vec_id", F.size(parsed).cast("int").alias("dimension"), F.round(total, 6).alias("total"))
 
 
-@query("vec_dim_check", """SELECT id, coalesce(len(embedding) = 64, false) AS has_dimension, least(length(content), 8000) AS embed_chars
+@query("vec_dim_check", """SELECT id, coalesce(len(embedding) = 64, false) AS has_dimension, length(content) AS embed_chars
  FROM fx_chunks""")
 def _(t):
     return t.chunks.select(

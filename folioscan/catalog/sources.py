@@ -13,17 +13,26 @@ from . import query
 
 
 def upload_bodies(t):
-    """Notifications for every document; every third one is wrapped in an outer message."""
+    """Notifications for every document; every third one is wrapped in an outer message.
+
+    Every fourth one holds a second record, of another file of the document.
+    """
     d = F.col("id").cast("string")
     key = F.concat(F.lit("uploads/u"), F.col("user_id").cast("string"), F.lit("/"), d, F.lit("/my+file%20"), d, F.lit(".pdf"))
-    record = F.struct(F.struct(F.struct(F.lit("box").alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object")).alias("s3"))
-    inner = F.to_json(F.struct(F.array(record).alias("Records")))
+
+    def record(key):
+        return F.struct(F.struct(F.struct(F.lit("box").alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object")).alias("s3"))
+
+    two = F.array(record(key), record(F.regexp_replace(key, "my\\+file", "more")))
+    inner = F.to_json(F.struct(F.when(F.col("id") % 4 == 1, two).otherwise(F.array(record(key))).alias("Records")))
     body = F.when(F.col("id") % 3 == 0, F.to_json(F.struct(inner.alias("Message")))).otherwise(inner)
     return t.documents.select("id", body.alias("body"))
 
 
 @query("src_upload_events", """SELECT id, 'box' AS bucket, 'uploads/u' || user_id || '/' || id || '/my file ' || id || '.pdf' AS object_key,
- 'u' || user_id AS user_id, id::VARCHAR AS document_id, 'my file ' || id || '.pdf' AS filename FROM fx_documents""")
+ 'u' || user_id AS user_id, id::VARCHAR AS document_id, 'my file ' || id || '.pdf' AS filename FROM fx_documents
+ UNION ALL SELECT id, 'box', 'uploads/u' || user_id || '/' || id || '/more ' || id || '.pdf', 'u' || user_id, id::VARCHAR, 'more ' || id || '.pdf'
+ FROM fx_documents WHERE id % 4 = 1""")
 def _(t):
     return src.decoded_uploads(upload_bodies(t)).select("id", "bucket", "object_key", "user_id", "document_id", "filename")
 

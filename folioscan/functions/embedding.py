@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 32
-MAX_CHARS = 8000
 
 
 def hashed_vectors(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -30,11 +29,12 @@ def hashed_vectors(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embedded(chunks: DataFrame, embed: Callable, id_type: str = "string", batch: int = BATCH) -> DataFrame:
+def embedded(chunks: DataFrame, embed: Callable, id_type: str = "string", batch: int = BATCH, max_chars: int | None = None) -> DataFrame:
     """(id, document_id, embedding) of passages, ``batch`` texts per call of ``embed``.
 
     Works on a table and on a stream alike; rows go through the workers as Arrow
-    batches and a lost task repeats only its own calls.
+    batches and a lost task repeats only its own calls. Texts are handed over whole; ``max_chars``
+    is for models that accept no more.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,5 +47,6 @@ def embedded(chunks: DataFrame, embed: Callable, id_type: str = "string", batch:
                     "embedding": [np.asarray(v, dtype=np.float32) for v in vectors],
                 })
 
-    rows = chunks.select("id", "document_id", F.substring("content", 1, MAX_CHARS).alias("content"))
+    content = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
+    rows = chunks.select("id", "document_id", content.alias("content"))
     return rows.mapInPandas(run, f"id {id_type}, document_id long, embedding array<float>")

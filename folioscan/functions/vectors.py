@@ -53,6 +53,6 @@ def has_dimension(embedding: Column, dimension: int) -> Column:
     return F.coalesce(F.size(embedding) == dimension, F.lit(False))
 
 
-def embed_input(content: Column, limit: int = 8000) -> Column:
-    """The text handed to an embedding model, cut to the length the model accepts."""
-    return F.substring(content, 1, limit)
+def embed_input(content: Column, limit: int | None = None) -> Column:
+    """The text handed to an embedding model: whole, or cut to the length the model accepts."""
+    return content if limit is None else F.substring(content, 1, limit)

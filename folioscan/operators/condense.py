@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .toplists import top_per
 
-SUMMARY_CHUNKS = 500
-CARD_CHUNKS = 100
 STUFF_BELOW = 200_000
 BATCH_CHARS = 15_000
 
@@ -44,68 +44,69 @@ def assistant_text(messages: DataFrame, part: Column) -> DataFrame:
     return joined_text(only, ["conversation_id", "user_id"], part, ["created_ms", "id"], F.col("content"), "\n\n")
 
 
-def first_chunks(chunks: DataFrame, limit: int, text_order: bool = False) -> DataFrame:
-    """The first ``limit`` passages of each document.
+def first_chunks(chunks: DataFrame, limit: int | None = None, text_order: bool = False) -> DataFrame:
+    """Passages of each document with their place ``nth``; all of them, or the first ``limit``.
 
     By number; ``text_order`` sorts the index as text ("10" before "2"), as capped
     fetches through a text accessor do.
     """
     index = F.col("chunk_index").cast("string") if text_order else F.col("chunk_index")
-    return top_per(chunks, ["document_id"], [index.asc_nulls_last(), F.col("id").asc()], limit, "nth")
+    order = [index.asc_nulls_last(), F.col("id").asc()]
+    if limit is None:
+        return chunks.withColumn("nth", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)).cast("long"))
+    return top_per(chunks, ["document_id"], order, limit, "nth")
 
 
-def document_text(chunks: DataFrame, limit: int, text_order: bool = False) -> DataFrame:
-    """First passages of each document joined by a blank line; the limit bounds every group."""
-    few = first_chunks(chunks, limit, text_order)
-    return few.groupBy("document_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "content"))), lambda s: s["content"]),
-                     "\n\n").alias("text"),
-        F.count("*").alias("n_chunks"),
-        F.sum(F.length("content")).alias("total_chars"),
-    )
+def document_text(chunks: DataFrame, limit: int | None = None, text_order: bool = False) -> DataFrame:
+    """All passages of each document (or the first ``limit``) joined by a blank line, in parts of 1,024 passages."""
+    placed = first_chunks(chunks, limit, text_order)
+    whole = joined_text(placed, ["document_id"], F.floor(F.col("nth") / 1024), ["nth"], F.col("content"), "\n\n")
+    chars = (F.length("text") - 2 * (F.col("n_pieces") - 1)).cast("long")
+    return whole.select("document_id", "text", F.col("n_pieces").alias("n_chunks"), chars.alias("total_chars"))
 
 
 def strategy(total_chars: Column, threshold: int = STUFF_BELOW) -> Column:
     return F.when(total_chars < threshold, "stuff").otherwise("map_reduce")
 
 
-def batch_numbers(lengths: Column, max_chars: int = BATCH_CHARS) -> Column:
-    """Batch number of each piece, packing in order up to ``max_chars`` per batch.
-
-    The fold carries the open batch and its size; a piece that is too long by
-    itself gets its own batch.
-    """
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("batch"),
-        F.lit(0).cast("bigint").alias("size"),
-    )
-
-    def step(acc: Column, length: Column) -> Column:
-        full = (acc["size"] > 0) & (acc["size"] + length > max_chars)
-        batch = F.when(full, acc["batch"] + 1).otherwise(F.when(acc["batch"] == 0, 1).otherwise(acc["batch"]))
-        size = F.when(full, length).otherwise(acc["size"] + length)
-        batch, size = batch.cast("bigint"), size.cast("bigint")
-        return F.struct(
-            F.concat(acc["out"], F.array(batch)).alias("out"), batch.alias("batch"), size.alias("size")
-        )
-
-    return F.aggregate(F.transform(lengths, lambda n: n.cast("bigint")), start, step, lambda acc: acc["out"])
+def next_batches(lengths: list[int], max_chars: int, batch: int = 0, size: int = 0) -> tuple[list[int], int, int]:
+    """Batch number of each piece, packed in order, from an open (batch, size) on; a too long piece is a batch of its own."""
+    out = []
+    for length in lengths:
+        if not batch or size and size + length > max_chars:
+            batch, size = batch + 1, 0
+        size += length
+        out.append(batch)
+    return out, batch, size
 
 
-def greedy_batches(chunks: DataFrame, limit: int = SUMMARY_CHUNKS, max_chars: int = BATCH_CHARS) -> DataFrame:
-    """Passages of each document with their batch number; groups are bounded by ``limit``.
+def greedy_batches(chunks: DataFrame, limit: int | None = None, max_chars: int = BATCH_CHARS) -> DataFrame:
+    """(document_id, nth, id, content, batch) of all passages.
 
-    Only lengths are folded; the text joins its batch afterwards by position.
+    The passages of a document stream through one task in order; only the open batch and its
+    size are carried, so a document may have any number of them.
     """
-    lists = first_chunks(chunks, limit).groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "id", "content"))).alias("c")
-    )
-    numbers = batch_numbers(F.transform("c", lambda s: F.length(s["content"])), max_chars)
-    zipped = F.zip_with(
-        "c", numbers,
-        lambda s, b: F.struct(s["nth"].alias("nth"), s["id"].alias("id"), s["content"].alias("content"), b.alias("batch")),
-    )
-    return lists.select("document_id", F.inline(zipped))
+    placed = first_chunks(chunks, limit).select("document_id", "nth", "id", "content").withColumn("_n", F.length("content"))
+
+    def run(batches):
+        document, batch, size = None, 0, 0
+        for part in batches:
+            owners, lengths = part.column(0).to_pylist(), [n or 0 for n in part.column(4).to_pylist()]
+            numbers: list[int] = []
+            at = 0
+            while at < len(owners):
+                stop = at
+                while stop < len(owners) and owners[stop] == owners[at]:
+                    stop += 1
+                if owners[at] != document:
+                    document, batch, size = owners[at], 0, 0
+                made, batch, size = next_batches(lengths[at:stop], max_chars, batch, size)
+                numbers += made
+                at = stop
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(numbers, pa.int64())], names=[*part.schema.names[:4], "batch"])
+
+    schema = T.StructType([*placed.schema.fields[:4], T.StructField("batch", T.LongType())])
+    return placed.repartition("document_id").sortWithinPartitions("document_id", "nth").mapInArrow(run, schema)
 
 
 def map_inputs(batched: DataFrame, documents: DataFrame) -> DataFrame:

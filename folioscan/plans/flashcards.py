@@ -10,9 +10,9 @@ from ..operators.scope import ready_documents
 
 
 def source_texts(documents: DataFrame, chunks: DataFrame, messages: DataFrame, part: Column) -> DataFrame:
-    """One text per source: the assistant's side of a conversation, or the opening of a ready document."""
+    """One text per source: the assistant's side of a conversation, or a whole ready document."""
     ready = ready_documents(documents).select(F.col("id").alias("document_id"), "user_id")
-    docs = condense.document_text(chunks, condense.CARD_CHUNKS).join(ready, "document_id").select(
+    docs = condense.document_text(chunks).join(ready, "document_id").select(
         "user_id", F.lit("document").alias("source_type"), F.col("document_id").alias("source_id"), "text"
     )
     talks = condense.assistant_text(messages, part).select(

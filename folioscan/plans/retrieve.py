@@ -13,6 +13,9 @@ from ..session import write_table
 from .search import sources, with_passages
 
 
+LOOKUP_PICKS = 5  # a page or section lookup gives as many over any number of documents
+
+
 @dataclass(frozen=True)
 class Retrieval:
     labelled: DataFrame
@@ -28,7 +31,9 @@ def labelled_questions(queries: DataFrame) -> DataFrame:
         "reply_key": routing.small_talk_key(text),
         "asked_page": routing.lookup_page(text),
         "asked_section": routing.lookup_section(text),
-        "k": mmr.picks_for(F.col("n_docs")),
+        "k": F.when(
+            routing.lookup_page(text).isNotNull() | routing.lookup_section(text).isNotNull(), F.lit(LOOKUP_PICKS).cast("long")
+        ).otherwise(mmr.picks_for(F.col("n_docs"))),
     })
 
 

@@ -9,16 +9,6 @@ from ..operators import condense
 from ..operators.scope import ready_documents
 
 
-def document_plan(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ready documents with the strategy their size asks for."""
-    first = condense.first_chunks(chunks, condense.SUMMARY_CHUNKS)
-    sizes = first.groupBy("document_id").agg(
-        F.sum(F.length("content")).alias("total_chars"), F.count("*").alias("n_chunks")
-    )
-    ready = ready_documents(documents).select(F.col("id").alias("document_id"), "user_id", "filename")
-    return ready.join(sizes, "document_id").withColumn("strategy", condense.strategy(F.col("total_chars")))
-
-
 def document_inputs(
     documents: DataFrame, chunks: DataFrame, threshold: int = condense.STUFF_BELOW,
     max_chars: int = condense.BATCH_CHARS,

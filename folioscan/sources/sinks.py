@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.conversations import evidence_of
 from ..operators.toplists import best_row
-from .tables import USER_BUCKETS, user_bucket
+from .tables import BUCKETS_FOLDER, USER_BUCKETS, stored_buckets, user_bucket
 
 
 def append_chunks(passages: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None:
@@ -15,12 +15,19 @@ def append_chunks(passages: DataFrame, path: str, buckets: int = USER_BUCKETS) -
 
     The rows are rebalanced by bucket: Spark joins small pieces and splits those
     of a user with very many passages, so files have an even size. Inside a file
-    rows are sorted by document, which lets a document filter skip row groups.
+    rows are sorted by user and document, which lets either filter skip row groups. The
+    bucket count is kept with the store; another one is refused.
     """
+    spark = passages.sparkSession
+    stored = stored_buckets(spark, path)
+    if stored is None:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/{BUCKETS_FOLDER}")
+    elif stored != buckets:
+        raise ValueError(f"the store has {stored} user buckets, not {buckets}")
     rows = passages.withColumn("bucket", user_bucket(F.col("user_id"), buckets))
     if "embedding" not in rows.columns:
         rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-    even = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "document_id")
+    even = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "user_id", "document_id")
     even.write.mode("append").partitionBy("bucket").parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions.keys import object_key_parts
 
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 USER_BUCKETS = 64
+BUCKETS_FOLDER = "_buckets"  # readers of the store skip names that begin with an underscore
 
 
 def user_bucket(user_id: Column, buckets: int = USER_BUCKETS) -> Column:
@@ -18,15 +20,14 @@ def user_bucket(user_id: Column, buckets: int = USER_BUCKETS) -> Column:
 
 
 def decoded_uploads(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Object-created notifications, plain or wrapped in an outer message.
+    """Object-created notifications, plain or wrapped in an outer message: one row per record.
 
-    The key is URL-decoded; its parts name the user, the document and the file.
+    A message without records keeps one row, with nulls. The key is URL-decoded; its parts name the user, the document and the file.
     """
     outer = F.from_json(F.col(body), schemas.UPLOAD_EVENT)
     inner = F.from_json(outer["Message"], schemas.UPLOAD_EVENT)
     record = F.coalesce(inner["Records"], outer["Records"])
-    object_ = F.get(record, 0)["s3"]
-    rows = raw.withColumn("_o", object_).withColumn("object_key", F.url_decode(F.col("_o.object.key")))
+    rows = raw.withColumn("_r", F.explode_outer(record)).withColumn("_o", F.col("_r.s3")).drop("_r").withColumn("object_key", F.url_decode(F.col("_o.object.key")))
     parts = object_key_parts(F.col("object_key"))
     return rows.withColumn("bucket", F.col("_o.bucket.name")).withColumns(parts).drop("_o")
 
@@ -59,12 +60,28 @@ def decoded_query_jobs(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """Bucket count of a passage store, None where nothing is stored yet or it was stored without."""
+    try:
+        row = spark.read.schema("buckets int").parquet(f"{path}/{BUCKETS_FOLDER}").first()
+    except AnalysisException:
+        return None
+    return row.buckets if row else None
+
+
 def read_chunks(spark: SparkSession, path: str, user_id=None, document_ids=None) -> DataFrame:
-    """Stored passages. User and documents prune directories and reach the scan as filters."""
+    """Stored passages. User and documents prune directories and reach the scan as filters.
+
+    The bucket count is the one that was stored with the passages; a store without it is
+    filtered by user alone.
+    """
     chunks = spark.read.parquet(path)
+    buckets = stored_buckets(spark, path)
     if user_id is not None:
         value = F.lit(user_id).cast(chunks.schema["user_id"].dataType)
-        chunks = chunks.where((F.col("bucket") == user_bucket(value)) & (F.col("user_id") == value))
+        chunks = chunks.where(F.col("user_id") == value)
+        if buckets is not None:
+            chunks = chunks.where(F.col("bucket") == user_bucket(value, buckets))
     if document_ids is not None:
         chunks = chunks.where(F.col("document_id").isin(*document_ids))
     return chunks.drop("bucket")

@@ -4,7 +4,6 @@ import random
 import re
 from collections import defaultdict
 
-import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,67 +46,95 @@ def pages(spark, documents):
     rows = [(d, d % 3, f"{d}.pdf", n, text, False) for d, ps in documents.items() for n, text in ps]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
-def kept(ps):
-    return [(n, t.strip()) for n, t in ps if len(t.strip()) >= 50]
-
 def test_line_types(spark):
-    rng = random.Random(3)
-    sample = [random_line(rng).rstrip() for _ in range(600)] + [
+    sample = [
         "1. item", "- item", "-item", "RESULTS", "part of it", "1. " + "x" * 117, "a|b|c", "\t\t", "    x", "def f", "",
         "A. b", "ABCDEF. b", "##### five", "#### four", "Part II", "PARTY", "  1) x", "for (;;)", "format (x)", "1.2.3 Title",
     ]
     df = spark.createDataFrame(list(enumerate(sample)), "i int, x string")
     got = [r[1] for r in df.select("i", lines.line_type(rstrip(F.col("x")))).orderBy("i").collect()]
-    assert got == [plain.kind(s) for s in sample]
+    assert got == [
+        "heading", "prose", "list", "heading", "heading", "list", "table", "prose", "code", "code", "prose",
+        "heading", "prose", "prose", "heading", "heading", "heading", "list", "code", "code", "heading",
+    ]
     named = dict(zip(sample, got))
     assert named["1. item"] == "heading" and named["- item"] == "prose" and named["-item"] == "list"
     assert named["part of it"] == "heading" and named["RESULTS"] == "heading" and named["1. " + "x" * 117] == "list"
 
-def test_sections_equal_a_line_loop(pages, documents):
+SECTIONED = {
+    "Intro text\ngoes on.\n\n-one\n-two": [("prose", "Intro text\ngoes on."), ("list", "-one\n-two")],
+    "# First\n# Second\nbody": [("heading", "# First\n# Second"), ("prose", "body")],
+    "text\n```py\nx = 1\n\n# no heading\n```\nafter": [("prose", "text"), ("code", "x = 1\n\n# no heading"), ("prose", "after")],
+    "```\nnever closed": [("code", "never closed")],
+    "a|b|c\nd|e|f\n\nrest": [("table", "a|b|c\nd|e|f"), ("prose", "rest")],
+    "RESULTS AND NOTES\n    x = 1\n\ttab": [("heading", "RESULTS AND NOTES"), ("code", "x = 1\n\ttab")],
+}
+
+
+def test_sections_of_hand_made_pages(spark):
+    rows = [(i, i, "f", 1, text, False) for i, text in enumerate(SECTIONED)]
+    made = structure.page_sections(spark.createDataFrame(rows, SCHEMA), ["document_id"]).orderBy("document_id", "section_no").collect()
+    for i, want in enumerate(SECTIONED.values()):
+        assert [(r.content_type, r.text) for r in made if r.document_id == i] == want
+
+
+def test_sections_keep_every_word(pages, documents):
     got = defaultdict(list)
-    rows = structure.page_sections(pages, ["document_id"]).orderBy("document_id", "page_number", "section_no").collect()
-    for r in rows:
-        got[(r.document_id, r.page_number)].append((r.content_type, r.text))
+    for r in structure.page_sections(pages, ["document_id"]).orderBy("document_id", "page_number", "section_no").collect():
+        got[(r.document_id, r.page_number)] += r.text.split()
     for d, ps in documents.items():
         for n, text in ps:
-            assert got[(d, n)] == plain.sections(text), (d, n)
+            lines = [line for line in text.splitlines() if not line.startswith("```")]
+            assert got[(d, n)] == " ".join(lines).split(), (d, n)
 
-def test_whole_documents(pages, documents, monkeypatch):
-    monkeypatch.setattr(ingest, "SUMMARY_BLOCK", 4)  # several blocks per document
-    got = defaultdict(list)
-    for r in ingest.ingest(pages, 200, 60).orderBy("document_id", "chunk_index").collect():
-        got[r.document_id].append((r.chunk_index, r.page_number, r.heading, r.content_type, r.content))
-        assert r.char_count == len(r.content)
-    for d, ps in documents.items():
-        assert got[d] == plain.without_copies(plain.passages(kept(ps), 200, 60)), d
 
-def test_page_windows_one_by_one(pages, documents):
-    got = defaultdict(list)
-    rows = ingest.ingest_by_window(pages, 5, 2, 200, 60).orderBy("document_id", "window_no", "chunk_index").collect()
-    for r in rows:
-        got[r.document_id].append((r.chunk_index, r.page_number, r.heading, r.content_type, r.content))
-    for d, ps in documents.items():
-        want, stored = [], 0
-        for window in plain.windows(kept(ps), 5, 2):
-            found = plain.without_copies(plain.passages(window, 200, 60, stored))
-            want += found
-            stored += len(found)
-        assert got[d] == want, d
+LONG = "This opening line has more than fifty characters in it."
+GOLDEN_PAGES = [
+    (1, f"# Top\n{LONG} It ends. And an open"), (2, "short"), (3, f"end of the sentence that began before, on page one.\n-{LONG}\n"),
+    (4, f"{LONG}\n# Next\n{LONG}"), (5, f"{LONG}\n# Next\n{LONG}"),
+]
+GOLDEN_PASSAGES = [
+    (0, 1, "# Top", "prose", f"[Page 1] [Section: # Top]\n{LONG} It ends. And an open"),
+    (1, 3, "# Top", "prose", "[Page 3] [Section: # Top]\nAnd an open end of the sentence that began before, on page one."),
+    (2, 3, "# Top", "list", f"[Page 3] [Section: # Top]\n-{LONG}"),
+    (3, 4, "# Top", "prose", f"[Page 4] [Section: # Top]\n{LONG}"),
+    (4, 4, "# Next", "prose", f"[Page 4] [Section: # Next]\n{LONG}"),
+    (5, 5, "# Next", "prose", f"[Page 5] [Section: # Next]\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_passages_of_a_hand_made_document(spark, monkeypatch, block):
+    monkeypatch.setattr(ingest, "SUMMARY_BLOCK", block)
+    pages = spark.createDataFrame([(7, 1, "f.pdf", n, text, False) for n, text in GOLDEN_PAGES], SCHEMA)
+    made = ingest.ingest(pages, 200, 60).orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.page_number, r.heading, r.content_type, r.content) for r in made] == GOLDEN_PASSAGES
+
+
+def test_one_window_is_the_whole_document(pages):
+    columns = ["document_id", "page_number", "heading", "content_type", "content"]
+    whole = ingest.ingest(pages, 200, 60).select(*columns)
+    window = ingest.ingest_by_window(pages, 1000, 2, 200, 60).select(*columns)
+    assert whole.exceptAll(window).isEmpty() and window.exceptAll(whole).isEmpty()
+
 
 def test_ids_are_the_same_in_every_run(pages):
     a = {r.id for r in ingest.ingest(pages).select("id").collect()}
     b = {r.id for r in ingest.ingest(pages.repartition(3)).select("id").collect()}
     assert a == b and len(a) == ingest.ingest(pages).count()
 
-def test_windows_cover_every_page(pages, documents):
-    placed = structure.page_windows(pages.select("document_id", "page_number"), 5, 2).collect()
-    for d, ps in documents.items():
-        want = [[n for n, _ in w] for w in plain.windows(ps, 5, 2)]
+def test_windows_of_pages(spark):
+    want = {1: [[1]], 5: [[1, 2, 3, 4, 5]], 6: [[1, 2, 3, 4, 5], [4, 5, 6]], 8: [[1, 2, 3, 4, 5], [4, 5, 6, 7, 8]],
+            9: [[1, 2, 3, 4, 5], [4, 5, 6, 7, 8], [7, 8, 9]]}
+    rows = [(n, p) for n in want for p in range(1, n + 1)]
+    placed = structure.page_windows(spark.createDataFrame(rows, "document_id long, page_number long"), 5, 2).collect()
+    for n, windows in want.items():
         got = defaultdict(list)
         for r in placed:
-            if r.document_id == d:
+            if r.document_id == n:
                 got[r.window_no].append(r.page_number)
-        assert [sorted(got[w]) for w in sorted(got)] == want
+        assert [sorted(got[w]) for w in sorted(got)] == windows
+
 
 def test_split_keeps_text_and_size():
     """Passages keep their size, come in order, overlap by at most 25 characters and leave no word out."""
