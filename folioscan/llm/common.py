@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,13 @@ def lengths(data: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(data), 0).to_pylist()
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches hold ``BATCH_BYTES`` where the session kept Spark's larger default."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "") in ("67108864b", "64MB", "67108864"):
+        conf.set(key, f"{BATCH_BYTES}b")
+
+
 def attach(
     df: DataFrame, make: Callable[[], Callable[[list], list]], fields: str, name: str, text: str = "text",
 ) -> DataFrame:
@@ -55,6 +63,7 @@ def attach(
     ``make`` runs once in each task and gives a function from a list of texts (UTF-8 bytes or
     None) to a list of tuples in the order of ``fields``. All columns of ``df`` pass through.
     """
+    small_batches(df)
     struct = T._parse_datatype_string(f"struct<{fields}>")
     arrow = to_arrow_type(struct)
     where = df.columns.index(text)

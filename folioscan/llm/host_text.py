@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..session import write_table
 from ..sizing import join_sized
-from .common import attach, column, free_name, slices
+from .common import attach, column, free_name, slices, small_batches
 
 RANKED = 8  # paths of a host that a page may choose from; beyond them it uses its own container
 
@@ -205,6 +205,7 @@ def main_texts(pages: DataFrame, url: str = "url", page: str = "html", name: str
     repeated pages vote as often as they are there.
     """
     held, paths = free_name(pages, "_host"), free_name(pages, "_paths")
+    small_batches(pages)
     winners = write_table(votes(pages, url, page), "host-paths")
     keyed = pages.withColumn(held, host(column(url)))
     spread = F.xxhash64(column(page))

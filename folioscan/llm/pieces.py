@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import write_table
 from ..sizing import join_sized
-from .common import column, free_name, lengths, slices
+from .common import column, free_name, lengths, slices, small_batches
 
 CHUNK = 16384  # code points; texts up to this length are encoded in one go
 BLOCK = 64  # chunk matrices that are multiplied in one step
@@ -200,6 +200,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", name: str = "i
     text) and its ids come back by a row number, so ids or texts may repeat.
     """
     row = free_name(docs, "_n")
+    small_batches(docs)
     long_ = F.coalesce(F.length(column(text)), F.lit(0)) > chunk
     where = docs.columns.index(text)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import fresh_path
-from .common import column, lengths, slices
+from .common import column, lengths, slices, small_batches
 
 BLOCK = 512
 SHARE = 0.9
@@ -262,7 +262,11 @@ class Encoder:
             cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
             pieces = np.add.reduceat(cut.astype(np.int64), begin) + 1
             line = _SHOWN_AS[np.insert(text, np.flatnonzero(cut), 32)].tobytes().decode("utf-32-le")
-            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            # the library takes short texts faster: lines of 512 words, cut at gaps between words
+            edges = [0, *(gap + np.cumsum(cut)[gap])[511::512].tolist(), len(line)]
+            lines = [line[a:b] for a, b in zip(edges, edges[1:])]
+            made = self.merges.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.concatenate([np.array(m.ids, "<u4") for m in made])
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != pieces.sum():
                 self._by_rules(some, into)
@@ -317,6 +321,7 @@ def write_shards(docs: DataFrame, path: str, model_path: str, doc_id: str = "doc
     rows = docs.select(column(doc_id).cast("long").alias("i"), column(text).alias("t"))
     keyed = rows.withColumn("h", F.xxhash64("t"))
     number = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small_batches(docs)
     dealt = keyed.repartitionByRange(number, "i", "h").sortWithinPartitions("i", "h")
 
     def run(batches):
