@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lines as L
 from ..functions import text as X
+from ..functions.embedding import embedded, hashed_vectors
 from ..operators import chunking, structure
 from ..plans import ingest
+from ..plans.search import search_user
+from ..session import fresh_path
+from ..sources import sinks, tables
 from . import query
 
 STRIPPED = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
@@ -179,3 +183,17 @@ def _(t):
 def _(t):
     out = ingest.ingest(t.marked_pages)
     return out.select("id", "document_id", "chunk_index", "page_number", "section_id", "content_type", "heading", "content", "char_count")
+
+
+@query("pipe_end_to_end")
+def _(t):
+    """Pages to passages to a store, its vectors written back, and the questions searched in what is read again."""
+    embed = hashed_vectors(64)
+    path = fresh_path(t.spark, "store")
+    sinks.append_chunks(ingest.ingest(t.pages), path)
+    sinks.embed_stored(t.spark, path, embed)
+    asked = t.queries.select("query_id", "user_id", "query_text")
+    as_texts = asked.select(F.col("query_id").alias("id"), F.col("user_id").alias("document_id"), F.col("query_text").alias("content"))
+    vectors = embedded(as_texts, embed).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = search_user(tables.read_chunks(t.spark, path), asked.join(vectors, "query_id"))
+    return found.select("query_id", "id", "document_id", "v_rank", "k_rank", "rrf_score", "position")

@@ -29,7 +29,7 @@ def hashed_vectors(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embedded(chunks: DataFrame, embed: Callable, id_type: str = "string", batch: int = BATCH, max_chars: int | None = None) -> DataFrame:
+def embedded(chunks: DataFrame, embed: Callable, id_type: str | None = None, batch: int = BATCH, max_chars: int | None = None) -> DataFrame:
     """(id, document_id, embedding) of passages, ``batch`` texts per call of ``embed``.
 
     Works on a table and on a stream alike; rows go through the workers as Arrow
@@ -49,4 +49,5 @@ def embedded(chunks: DataFrame, embed: Callable, id_type: str = "string", batch:
 
     content = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
     rows = chunks.select("id", "document_id", content.alias("content"))
-    return rows.mapInPandas(run, f"id {id_type}, document_id long, embedding array<float>")
+    kinds = [id_type or chunks.schema["id"].dataType.simpleString(), chunks.schema["document_id"].dataType.simpleString()]
+    return rows.mapInPandas(run, f"id {kinds[0]}, document_id {kinds[1]}, embedding array<float>")

@@ -43,9 +43,8 @@ def matching(chunks: DataFrame, queries: DataFrame, stem: bool = False) -> DataF
     stored = with_terms(chunks, stem).select("id", "document_id", "user_id", "terms")
     by_term = stored.withColumn("term", F.explode(F.array_distinct("terms")))
     met = join_sized(by_term, anchored(queries, stem), ["term"], spread=F.xxhash64("id"))
-    visible = (F.col("user_id") == F.col("_user")) & (
-        F.col("doc_ids").isNull() | F.array_contains("doc_ids", F.col("document_id"))
-    )
+    scope = F.col("doc_ids").cast(f"array<{chunks.schema['document_id'].dataType.simpleString()}>")
+    visible = (F.col("user_id") == F.col("_user")) & (scope.isNull() | F.array_contains(scope, F.col("document_id")))
     return met.where(visible & matches_all(F.col("terms"), F.col("wanted"))).select(
         "query_id", "id", "document_id",
         term_frequency(F.col("terms"), F.col("wanted")).cast("long").alias("score"),

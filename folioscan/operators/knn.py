@@ -22,7 +22,6 @@ from .toplists import top_of_lists
 
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 PUSHED_IDS = 5000
-OUT_SCHEMA = "query_id long, id long, document_id long, distance double"
 
 
 def _ordered_sum(products: np.ndarray) -> np.ndarray:
@@ -36,14 +35,28 @@ def _distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return 1.0 - _ordered_sum(rows * query[None, :]) / scale
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """Ids as numbers or as fixed-width text, which sort like the column."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.array(column.to_pylist(), dtype=str)
+
+
+def out_schema(chunks: DataFrame, queries: DataFrame) -> str:
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    return (
+        f"query_id {kind(queries, 'query_id')}, id {kind(chunks, 'id')}, document_id {kind(chunks, 'document_id')}, distance double"
+    )
+
+
 def _batch(rows) -> dict:
     """The questions of one block as plain arrays, grouped by the passages they may meet."""
     vectors = np.array([r["query_embedding"] for r in rows], dtype=np.float64)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     norms[norms == 0] = 1.0
     out = {
-        "ids": np.array([r["query_id"] for r in rows], dtype=np.int64),
-        "users": np.array([r["user_id"] for r in rows], dtype=np.int64),
+        "ids": np.array([r["query_id"] for r in rows]),
+        "users": [r["user_id"] for r in rows],
         "vectors": vectors,
         "unit": (vectors / norms).astype(np.float32),
         "doc_sets": [None if r["doc_ids"] is None else set(r["doc_ids"]) for r in rows],
@@ -111,9 +124,7 @@ def _scan(shared, k: int):
             # All vectors have the dimension of the questions, so their values form one block.
             vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
             vectors = vectors.reshape(part.num_rows, -1).astype(np.float64)
-            ids, docs, users = (
-                part.column(name).to_numpy(zero_copy_only=False) for name in ("id", "document_id", "user_id")
-            )
+            ids, docs, users = (_values(part.column(name)) for name in ("id", "document_id", "user_id"))
             if batch["by_cell"]:
                 cells = part.column("cell").to_numpy(zero_copy_only=False)
                 for cell, rows in _groups(cells):
@@ -147,9 +158,9 @@ def _scan(shared, k: int):
         sizes = [len(best[m][0]) for m in members]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(batch["ids"][members], sizes)),
-                pa.array(np.concatenate([best[m][1] for m in members]).astype(np.int64)),
-                pa.array(np.concatenate([best[m][2] for m in members]).astype(np.int64)),
+                pa.array(np.repeat(batch["ids"][members], sizes).tolist()),
+                pa.array(np.concatenate([best[m][1] for m in members]).tolist()),
+                pa.array(np.concatenate([best[m][2] for m in members]).tolist()),
                 pa.array(np.concatenate([best[m][0] for m in members]).astype(np.float64)),
             ],
             names=["query_id", "id", "document_id", "distance"],
@@ -160,16 +171,14 @@ def _scan(shared, k: int):
 
 def _one_block(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = queries.collect()  # one block, its size was checked by the caller
+    schema = out_schema(chunks, queries)
     if not rows:
-        return chunks.sparkSession.createDataFrame([], OUT_SCHEMA)
+        return chunks.sparkSession.createDataFrame([], schema)
     scoped = [r for r in rows if r["doc_ids"] is not None]
     wanted = {d for r in scoped for d in r["doc_ids"]}
     if len(scoped) == len(rows) and len(wanted) <= PUSHED_IDS:
         chunks = chunks.where(F.col("document_id").isin(*wanted) if wanted else F.lit(False))
-    sizes = {len(r["query_embedding"]) for r in rows}
-    if len(sizes) > 1:
-        raise ValueError(f"questions have vectors of different lengths: {sorted(sizes)}")
-    chunks = chunks.where(F.size("embedding") == sizes.pop())
+    chunks = chunks.where(F.size("embedding") == len(rows[0]["query_embedding"]))
     users = {r["user_id"] for r in rows}
     if len(users) <= PUSHED_IDS:
         chunks = chunks.where(F.col("user_id").isin(*users))
@@ -177,7 +186,7 @@ def _one_block(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if probed and len(probed) <= PUSHED_IDS:
         chunks = chunks.where(F.col("cell").isin(*probed))
     shared = chunks.sparkSession.sparkContext.broadcast(_batch(rows))
-    return chunks.mapInArrow(_scan(shared, k), OUT_SCHEMA)
+    return chunks.mapInArrow(_scan(shared, k), schema)
 
 
 def nearest(
@@ -187,10 +196,11 @@ def nearest(
 
     ``chunks``: id, document_id, user_id, embedding and, for cell search, cell.
     ``queries``: query_id, user_id, query_embedding, doc_ids (NULL: all documents of
-    the user) and, for cell search, cells. Passages without a vector are left out.
+    the user) and, for cell search, cells. Ids may be numbers or text. Passages without a
+    vector, or with one of another length than the questions', are left out.
     """
     if "doc_ids" not in queries.columns:
-        queries = queries.withColumn("doc_ids", F.lit(None).cast("array<long>"))
+        queries = queries.withColumn("doc_ids", F.lit(None).cast(f"array<{chunks.schema['document_id'].dataType.simpleString()}>"))
     if "cells" not in queries.columns:
         queries = queries.withColumn("cells", F.lit(None).cast("array<long>"))
     queries = queries.select("query_id", "user_id", "query_embedding", "doc_ids", "cells").where(
@@ -198,6 +208,9 @@ def nearest(
     )
     columns = ["id", "document_id", "user_id", "embedding"] + (["cell"] if "cell" in chunks.columns else [])
     stored = chunks.select(*columns).where(F.col("embedding").isNotNull())
+    lengths = sorted(r[0] for r in queries.select(F.size("query_embedding")).distinct().limit(3).collect())
+    if len(lengths) > 1:  # over the whole batch, however it is cut into blocks
+        raise ValueError(f"questions have vectors of different lengths: {lengths}")
     _, size = measure(queries)
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     if blocks == 1:

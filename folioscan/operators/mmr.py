@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LAMBDA = 0.7
-OUT_SCHEMA = "query_id long, id long, pick long"
 
 
 def picks_for(n_docs: Column, base: int = 5) -> Column:
@@ -61,7 +60,7 @@ def _rerank(lam: float):
                 ids_out += [ids[i] for i in chosen]
                 pick_out += range(1, len(chosen) + 1)
                 query_out += [row.query_id] * len(chosen)
-            yield pd.DataFrame({"query_id": query_out, "id": ids_out, "pick": pick_out}).astype("int64")
+            yield pd.DataFrame({"query_id": query_out, "id": ids_out, "pick": np.array(pick_out, dtype=np.int64)})
 
     return run
 
@@ -80,4 +79,5 @@ def rerank(candidates: DataFrame, queries: DataFrame, lam: float = LAMBDA) -> Da
     rows = lists.join(queries.select("query_id", "query_embedding", "k"), "query_id").select(
         "query_id", "query_embedding", "k", F.col("c.id").alias("ids"), F.col("c.embedding").alias("vectors")
     )
-    return rows.mapInPandas(_rerank(lam), OUT_SCHEMA)
+    kinds = [df.schema[name].dataType.simpleString() for df, name in ((queries, "query_id"), (candidates, "id"))]
+    return rows.mapInPandas(_rerank(lam), f"query_id {kinds[0]}, id {kinds[1]}, pick long")

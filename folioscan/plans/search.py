@@ -12,7 +12,7 @@ from ..sizing import join_sized
 
 def search_user(chunks: DataFrame, queries: DataFrame, match_count: int = 10) -> DataFrame:
     """All documents of the asking user."""
-    return hybrid_search(chunks, queries.withColumn("doc_ids", F.lit(None).cast("array<long>")), match_count)
+    return hybrid_search(chunks, queries.drop("doc_ids"), match_count)
 
 
 def search_document(chunks: DataFrame, queries: DataFrame, match_count: int = 10) -> DataFrame:

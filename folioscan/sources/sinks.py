@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.embedding import BATCH
 from ..operators.conversations import evidence_of
 from ..operators.toplists import best_row
-from .tables import BUCKETS_FOLDER, USER_BUCKETS, stored_buckets, user_bucket
+from .tables import BUCKETS_FOLDER, USER_BUCKETS, VECTORS_FOLDER, read_chunks, stored_buckets, user_bucket
 
 
 def append_chunks(passages: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None:
@@ -31,6 +34,31 @@ def append_chunks(passages: DataFrame, path: str, buckets: int = USER_BUCKETS) -
     even.write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def append_vectors(vectors: DataFrame, path: str) -> None:
+    """Append computed vectors (id, user_id, embedding) next to a passage store, in the same buckets."""
+    buckets = stored_buckets(vectors.sparkSession, path)
+    if buckets is None:
+        raise ValueError(f"no passage store at {path}")
+    rows = vectors.select("id", "user_id", "embedding").withColumn("bucket", user_bucket(F.col("user_id"), buckets))
+    rows.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(f"{path}/{VECTORS_FOLDER}")
+
+
+def embed_stored(spark: SparkSession, path: str, embed: Callable) -> None:
+    """Compute and store the vectors of the stored passages that have none yet; each text is embedded once."""
+    chunks = read_chunks(spark, path)
+    lacking = chunks.where(F.col("embedding").isNull())
+    owners = lacking.select("id", "document_id", "user_id", "content")
+    kinds = ", ".join(f"{c} {owners.schema[c].dataType.simpleString()}" for c in ("id", "user_id"))
+
+    def run(parts):
+        for part in parts:
+            for at in range(0, len(part), BATCH):
+                few = part.iloc[at : at + BATCH]
+                yield few[["id", "user_id"]].assign(embedding=list(map(list, embed(few["content"].tolist()))))
+
+    append_vectors(owners.mapInPandas(run, f"{kinds}, embedding array<float>"), path)
+
+
 def current_status(log: DataFrame) -> DataFrame:
     """Newest status row of every document; ties go to the later sequence number."""
     return best_row(log, ["document_id"], F.struct("written_ms", "seq"))

@@ -11,6 +11,7 @@ from ..functions.keys import object_key_parts
 
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 USER_BUCKETS = 64
+VECTORS_FOLDER = "_vectors"
 BUCKETS_FOLDER = "_buckets"  # readers of the store skip names that begin with an underscore
 
 
@@ -69,14 +70,25 @@ def stored_buckets(spark: SparkSession, path: str) -> int | None:
     return row.buckets if row else None
 
 
+def _stored_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/{VECTORS_FOLDER}")
+    except AnalysisException:
+        return None
+
+
 def read_chunks(spark: SparkSession, path: str, user_id=None, document_ids=None) -> DataFrame:
     """Stored passages. User and documents prune directories and reach the scan as filters.
 
-    The bucket count is the one that was stored with the passages; a store without it is
+    Vectors that were written back later are put in. The bucket count is the one that was stored with the passages; a store without it is
     filtered by user alone.
     """
     chunks = spark.read.parquet(path)
     buckets = stored_buckets(spark, path)
+    vectors = _stored_vectors(spark, path)
+    if vectors is not None:
+        later = vectors.groupBy("bucket", "id").agg(F.max_by("embedding", F.size("embedding")).alias("_later"))
+        chunks = chunks.join(later, ["bucket", "id"], "left").withColumn("embedding", F.coalesce("embedding", "_later")).drop("_later")
     if user_id is not None:
         value = F.lit(user_id).cast(chunks.schema["user_id"].dataType)
         chunks = chunks.where(F.col("user_id") == value)

@@ -39,7 +39,7 @@ def ingested(uploads: DataFrame, pages: DataFrame, label: str = "passages") -> D
     return best_row(stored, ["id"], F.col("batch"), newest=False)
 
 
-def embedded_stream(chunks: DataFrame, embed: Callable, id_type: str = "string") -> DataFrame:
+def embedded_stream(chunks: DataFrame, embed: Callable, id_type: str | None = None) -> DataFrame:
     """Vectors of the streamed passages that have none yet."""
     lacking = chunks.where(F.col("embedding").isNull()) if "embedding" in chunks.columns else chunks
     return embedded(lacking, embed, id_type)
