@@ -51,7 +51,7 @@ def lengths(data: pa.Array) -> list[int]:
 def small_batches(df: DataFrame) -> None:
     """Let Arrow batches hold ``BATCH_BYTES`` where the session kept Spark's larger default."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, "") in ("67108864b", "64MB", "67108864"):
+    if conf.get(key) in ("67108864b", "64MB", "67108864"):
         conf.set(key, f"{BATCH_BYTES}b")
 
 
