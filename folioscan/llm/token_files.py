@@ -254,10 +254,14 @@ class Encoder:
             begin = np.concatenate([[0], gap[:-1] + 1])
             bad = np.logical_or.reduceat(odd, begin)
             if bad.any():
-                rest = [some[i] for i in np.flatnonzero(bad)]
-                self._by_rules(rest, into)
-                self._by_cuts([some[i] for i in np.flatnonzero(~bad)], into)
-                continue
+                self._by_rules([some[i] for i in np.flatnonzero(bad)], into)
+                some = [some[i] for i in np.flatnonzero(~bad)]
+                if not some:
+                    continue
+                stays = np.repeat(~bad, np.diff(np.append(begin, len(text))))
+                text, kind = text[stays], kind[stays]
+                gap = np.flatnonzero(text == 32)
+                begin = np.concatenate([[0], gap[:-1] + 1])
             cut = np.zeros(len(text), bool)
             cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
             pieces = np.add.reduceat(cut.astype(np.int64), begin) + 1
