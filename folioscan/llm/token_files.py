@@ -20,9 +20,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ from .common import column, lengths, slices, small_batches
 BLOCK = 512
 SHARE = 0.9
 SHARD_TOKENS = 1 << 20
-SLICE = 4 << 20  # bytes of text whose new words are encoded together
+SLICE = 8 << 20  # bytes of text whose new words are encoded together
 END_ID = 1
 MAGIC = b"PFB1"
 _FOOT = "<qqqqq"  # tokens, blocks, documents, offset of block starts, offset of documents
@@ -217,7 +220,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.kept: dict[bytes, bytes] = {}  # ids as 32-bit numbers
+        self.kept: dict[bytes, bytes] = {b"": b""}  # ids as 32-bit numbers
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -280,29 +283,39 @@ class Encoder:
             into.update(zip(some, [data[a:b] for a, b in zip([0, *stop], stop)]))
 
     @staticmethod
-    def _lower(data: bytes | None) -> list[bytes]:
+    def _lower(data: bytes | None) -> bytes:
         if not data:
-            return []
-        if data.isascii():
-            return data.lower().split()
-        return data.decode().replace("Σ", "σ").lower().encode().split()
+            return b""
+        return data.lower() if data.isascii() else data.decode().replace("Σ", "σ").lower().encode()
 
     def __call__(self, documents: list[bytes | None]) -> list[np.ndarray]:
-        lists = [self._lower(d) for d in documents]
-        missing = set().union(*lists).difference(self.kept)
-        if len(self.kept) + len(missing) > self.KEPT:
-            self.kept = {}
-            missing = set().union(*lists)
-        long_ = [w for w in missing if len(w) > self.LONG]
-        short = missing.difference(long_) if long_ else missing
-        self._by_rules(long_, self.kept)
-        (self._by_cuts if self.cuts else self._by_rules)(list(short), self.kept)
+        texts = pa.array([self._lower(d) for d in documents], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(texts)  # gaps at the ends give empty words, which have no ids
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        made = np.empty(len(words), object)
+        made[:] = self._ids_of(words)
+        row = made[coded.indices.to_numpy()].tolist()
         end = np.array([END_ID], "<u4").tobytes()
-        get = self.kept.__getitem__
-        out = [np.frombuffer(b"".join(map(get, words)) + end, "<u4") for words in lists]
-        for w in long_:
-            del self.kept[w]
-        return out
+        bounds = split.offsets.to_pylist()
+        return [np.frombuffer(b"".join(row[a:b]) + end, "<u4") for a, b in zip(bounds, bounds[1:])]
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words, as bytes."""
+        made = list(map(self.kept.get, words))
+        if None not in made:
+            return made
+        new = list(compress(words, map(is_, made, repeat(None))))
+        found: dict[bytes, bytes] = {}
+        long_ = [w for w in new if len(w) > self.LONG]
+        short = list(set(new).difference(long_)) if long_ else new
+        (self._by_cuts if self.cuts else self._by_rules)(short, found)
+        if len(self.kept) + len(short) > self.KEPT:
+            self.kept = {b"": b""}
+        self.kept.update(found)
+        self._by_rules(long_, found)
+        filled = map(found.__getitem__, new)
+        return [next(filled) if m is None else m for m in made]
 
 
 _ENCODERS: dict[str, Encoder] = {}
