@@ -54,20 +54,20 @@ VIEWS = {
     "fx_evidence": """SELECT m.id AS message_id, c.id AS chunk_id, c.document_id, c.page_number, c.filename,
  c.heading AS section, c.content, c.chunk_index AS position, 1.0::DOUBLE / (61.0::DOUBLE + c.chunk_index) AS rrf_score
  FROM fx_messages m JOIN fx_conversations v ON v.id = m.conversation_id JOIN fx_chunks c ON c.document_id = v.document_id
- WHERE m.role = 'assistant' AND c.chunk_index < 1 + m.turn % 4""",
+ WHERE m.role = 'assistant'""",
     "fx_queries": r"""SELECT b.item_id AS query_id, b.item_id % 5 AS user_id, b.item_id AS conversation_id,
- array_to_string(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]{4,}')[1:1 + b.item_id % 2], ' ') AS query_text,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]{4,}')))[1:1 + b.item_id % 2], ' ') AS query_text,
  e.embedding AS query_embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""",
     "fx_scoped_queries": """SELECT q.*, s.doc_ids,
  q.query_id % 5 + 5 * ((q.query_id * 3) % (SELECT count(*) // 5 FROM documents)) AS doc_id,
  coalesce(len(s.doc_ids), 0) AS n_docs FROM fx_queries q
  LEFT JOIN (SELECT conversation_id, list(document_id ORDER BY document_id) AS doc_ids
  FROM fx_conversation_documents GROUP BY 1) s USING (conversation_id)""",
-    "fx_questions": f"""SELECT conv_id * 1000 + turn AS question_id, conv_id % 5 AS user_id, conv_id AS conversation_id,
+    "fx_questions": f"""SELECT conv_id * 2000 + turn * 2 + whole AS question_id, conv_id % 5 AS user_id, conv_id AS conversation_id,
  trim(CASE WHEN conv_id % 3 = 1 THEN upper(p) ELSE p END || ' ' ||
- array_to_string(string_split_regex(text, '[ \\n\\t]+')[1:(conv_id + turn) % 13], ' '))
+ CASE WHEN whole = 1 THEN text ELSE '' END)
  || CASE WHEN turn % 4 = 2 THEN '?' ELSE '' END AS question, turn
- FROM (SELECT *, {_PREFIX_LIST}[(conv_id * 7 + turn) % {len(PREFIXES)} + 1] AS p FROM conversations WHERE role = 'user')""",
+ FROM (SELECT *, {_PREFIX_LIST}[(conv_id * 7 + turn) % {len(PREFIXES)} + 1] AS p, unnest([0, 1]) AS whole FROM conversations WHERE role = 'user')""",
     "fx_responses": """SELECT doc_id * 100000 + line_no AS response_id, doc_id % 5 AS user_id, CASE line_no % 7
  WHEN 0 THEN '<think>' || line || chr(10) || 'YES</think> ' || line WHEN 1 THEN '  <think>no? ' || line
  WHEN 2 THEN 'Yes, but ' || line || ' so NO.' WHEN 3 THEN 'the large one, not small: ' || line
@@ -92,8 +92,7 @@ VIEWS = {
     "fx_decks": """SELECT id, user_id, 'document' AS source_type, NULL::BIGINT AS conversation_id, id AS document_id,
  'Flashcard Deck' AS title, created_ms FROM fx_documents WHERE status = 'ready'""",
     "fx_cards": """SELECT doc_id * 100000 + line_no AS id, doc_id AS deck_id, substring(line, 1, 40) AS question,
- substring(line, 41) AS answer, 100000 - line_no AS created_ms FROM fx_lines WHERE doc_id IN (SELECT id FROM fx_decks)
- AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""",
+ substring(line, 41) AS answer, 100000 - line_no AS created_ms FROM fx_lines WHERE doc_id IN (SELECT id FROM fx_decks)""",
 }
 
 

@@ -161,7 +161,7 @@ class Tables:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """Passages each assistant message relied on."""
+        """Passages each assistant message relied on: all of its document."""
         asked = self.messages.where(F.col("role") == "assistant").join(
             self.conversations.where(F.col("document_id").isNotNull()).select(
                 F.col("id").alias("conversation_id"), "document_id"
@@ -171,7 +171,7 @@ class Tables:
         body = self.chunks.select(
             F.col("id").alias("chunk_id"), "document_id", "page_number", "filename", "heading", "content", "chunk_index"
         )
-        return asked.join(body, "document_id").where(F.col("chunk_index") < 1 + F.col("turn") % 4).select(
+        return asked.join(body, "document_id").select(
             "message_id", "chunk_id", "document_id", "page_number", "filename", F.col("heading").alias("section"),
             "content", F.col("chunk_index").alias("position"),
             (F.lit(1.0) / (F.lit(61.0) + F.col("chunk_index"))).alias("rrf_score"),
@@ -179,12 +179,12 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """Questions with vector, scope ids and conversation, one per benchmark passage."""
+        """Questions with vector, scope ids and conversation, one per benchmark passage; they ask for one or two of all its words."""
         b = F.col("item_id")
         found = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{4,})"), 1)
         base = self.raw("benchmark").select(
             b.alias("query_id"), (b % 5).alias("user_id"), b.alias("conversation_id"),
-            F.array_join(F.slice(found, F.lit(1), (1 + b % 2).cast("int")), " ").alias("query_text"),
+            F.array_join(F.slice(F.array_sort(F.array_distinct(found)), F.lit(1), (1 + b % 2).cast("int")), " ").alias("query_text"),
         )
         vectors = self.raw("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
         return base.join(vectors, "query_id")
@@ -200,15 +200,16 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """User turns opened with typical phrases, for the routing labels."""
+        """Every user turn opened with a typical phrase, and the phrase alone, for the routing labels."""
         c, t = F.col("conv_id"), F.col("turn")
         pick = (c * 7 + t) % len(PREFIXES)
         prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (pick + 1).cast("int"))
         prefix = F.when(c % 3 == 1, F.upper(prefix)).otherwise(prefix)
-        rest = F.array_join(F.slice(F.split("text", "[ \n\t]+"), F.lit(1), ((c + t) % 13).cast("int")), " ")
+        rest = F.when(F.col("whole") == 1, F.col("text")).otherwise("")
         mark = F.when(t % 4 == 2, "?").otherwise("")
-        return self.raw("conversations").where(F.col("role") == "user").select(
-            (c * 1000 + t).alias("question_id"), (c % 5).alias("user_id"), c.alias("conversation_id"),
+        turns = self.raw("conversations").where(F.col("role") == "user").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("whole"))
+        return turns.select(
+            (c * 2000 + t * 2 + F.col("whole")).alias("question_id"), (c % 5).alias("user_id"), c.alias("conversation_id"),
             F.concat(F.trim(F.concat(prefix, F.lit(" "), rest)), mark).alias("question"), t.alias("turn"),
         )
 
@@ -322,11 +323,10 @@ class Tables:
 
     @cached_property
     def cards(self) -> DataFrame:
-        """Cards of the English decks, one per line, last line first in creation order."""
+        """Cards of all decks, one per line, last line first in creation order."""
         d, n = F.col("doc_id"), F.col("line_no")
-        english = self.raw("documents").where(F.col("lang") == "en").select("doc_id")
         decks = self.decks.select(F.col("id").alias("doc_id"))
-        return self.lines.join(english, "doc_id", "left_semi").join(decks, "doc_id", "left_semi").select(
+        return self.lines.join(decks, "doc_id", "left_semi").select(
             (d * 100000 + n).alias("id"), d.alias("deck_id"), F.substring("line", 1, 40).alias("question"),
             F.expr("substring(line, 41)").alias("answer"), (100000 - n).alias("created_ms"),
         )
