@@ -272,7 +272,24 @@ def _(t):
     return t.scoped_queries.select("query_id", "n_docs", mmr.picks_for(F.col("n_docs")).alias("k"))
 
 
-@query("topk_mmr")
+DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
+MMR = {
+    **USER,
+    "fx_pool": f"""SELECT t.query_id, t.id, t.position, c.embedding AS e, s.query_embedding AS q, CASE WHEN s.n_docs <= 1 THEN 5 ELSE least(4 * s.n_docs, 12) END AS k,
+ count(*) OVER w AS n, count(c.embedding) OVER w AS usable FROM fx_t_user t JOIN fx_chunks c USING (id) JOIN fx_scoped_queries s USING (query_id)
+ WHERE t.position <= 20 WINDOW w AS (PARTITION BY t.query_id)""",
+    # one step per pick: what is left of each pool, with its largest similarity to what was picked before
+    "fx_picked": f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, position) AS place
+ FROM (SELECT query_id, 1 AS pick, id, position, e, k, 0.7::DOUBLE * {DOT.format(a='e', b='q')} AS rel, '-infinity'::DOUBLE AS closest
+ FROM fx_pool WHERE n > k AND e IS NOT NULL)
+ UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel - (1.0::DOUBLE - 0.7::DOUBLE) * closest DESC, position)
+ FROM (SELECT query_id, pick + 1, id, position, e, k, rel, greatest(closest, {DOT.format(a='e', b='best')}) AS closest
+ FROM (SELECT *, first_value(e) OVER (PARTITION BY query_id ORDER BY place) AS best FROM fx_picked) WHERE place > 1 AND pick < k)""",
+}
+
+
+@query("topk_mmr", """SELECT query_id, id, pick FROM fx_picked WHERE place = 1 UNION ALL
+ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY position) FROM fx_pool WHERE n <= k OR (usable = 0 AND position <= k)""", True, MMR)
 def _(t):
     asked = t.scoped_queries.withColumn("k", mmr.picks_for(F.col("n_docs")))
     return mmr.rerank(_candidates(t), asked)

@@ -39,8 +39,8 @@ def greedy_order(query: np.ndarray, vectors: np.ndarray, k: int, lam: float) ->
 
 def _usable(vector, size: int) -> np.ndarray:
     # A vector of another length has no similarity to the question: all its products are 0.
-    out = np.asarray(vector, dtype=np.float32)
-    return out if len(out) == size else np.zeros(size, dtype=np.float32)
+    out = np.asarray(vector, dtype=np.float64)
+    return out if len(out) == size else np.zeros(size)
 
 
 def _rerank(lam: float):
@@ -54,7 +54,7 @@ def _rerank(lam: float):
                 if len(ids) <= k or query is None or not len(query) or not usable:
                     chosen = list(range(min(k, len(ids)))) if len(ids) > k else list(range(len(ids)))
                 else:
-                    query = np.asarray(query, dtype=np.float32)
+                    query = np.asarray(query, dtype=np.float64)
                     matrix = np.stack([_usable(vectors[i], len(query)) for i in usable])
                     chosen = [usable[i] for i in greedy_order(query, matrix, k, lam)]
                 ids_out += [ids[i] for i in chosen]
