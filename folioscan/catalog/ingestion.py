@@ -163,7 +163,23 @@ def _(t):
     return t.chunks.select("id", X.normalise(F.col("content")).alias("text"))
 
 
-@query("txt_sentence_pack")
+# a fold over sentences: pieces that are done, and the open one
+PACK = {
+    "fx_clean": r"SELECT doc_id, trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')) AS clean FROM documents",
+    "fx_packed": r"""SELECT doc_id, list_reduce(list_prepend({'done': []::VARCHAR[], 'open': ''},
+ list_transform(list_filter(list_transform(string_split(regexp_replace(clean, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)),
+ lambda s: s <> ''), lambda s: {'done': []::VARCHAR[], 'open': s})),
+ lambda a, x: CASE WHEN length(x.open) > 500 THEN {'done': list_concat(a.done, CASE WHEN a.open = '' THEN [] ELSE [a.open] END,
+ list_transform(range(0, length(x.open), 500), lambda i: substring(x.open, i + 1, 500))), 'open': ''}
+ WHEN a.open = '' THEN {'done': a.done, 'open': x.open}
+ WHEN length(a.open) + 1 + length(x.open) <= 500 THEN {'done': a.done, 'open': a.open || ' ' || x.open}
+ ELSE {'done': list_append(a.done, a.open), 'open': x.open} END) AS r FROM fx_clean WHERE length(clean) > 500""",
+}
+
+
+@query("txt_sentence_pack", """SELECT doc_id, no - 1 AS piece_no, p[no] AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS no FROM (
+ SELECT doc_id, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS p FROM fx_packed
+ UNION ALL SELECT doc_id, [clean] FROM fx_clean WHERE clean <> '' AND length(clean) <= 500))""", views=PACK)
 def _(t):
     return t.raw("documents").select("doc_id", F.posexplode(X.sentence_pack(F.col("text"), 500)).alias("piece_no", "piece")).withColumn(
         "piece_no", F.col("piece_no").cast("long")
