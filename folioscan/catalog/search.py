@@ -11,6 +11,7 @@ from ..operators.scope import heading_like, in_scope, on_page
 from ..plans import retrieve as retrieval
 from ..plans import search
 from . import query
+from .routing import LOWER, OPENING, PAGE, REPLY, SECTION, SHORT
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 DIST = """1.0::DOUBLE - list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[]))
@@ -328,8 +329,7 @@ def _(t):
     return condense.context_flat(_selected(t))
 
 
-@query("pipe_retrieve")
-def _(t):
+def _retrieved(t):
     asked = t.questions.select(F.col("question_id").alias("query_id"), "user_id", "conversation_id", F.col("question").alias("query_text"))
     scope = t.scoped_queries.select("conversation_id", "doc_ids", "query_embedding", "n_docs", "doc_id")
     questions = asked.join(scope, "conversation_id").withColumn(
@@ -337,6 +337,32 @@ def _(t):
     )
     turned = t.queries.select(F.col("conversation_id"), F.reverse("query_embedding").alias("query_embedding"))
     second = asked.join(turned, "conversation_id").select("query_id", "query_embedding")
-    return retrieval.retrieve(t.chunks, questions, second).sources
+    return retrieval.retrieve(t.chunks, questions, second)
+
+
+@query("pipe_retrieve")
+def _(t):
+    return _retrieved(t).sources
+
+
+ROUTED = {
+    **BASE,
+    "fx_labels": f"""SELECT *, {OPENING} OR {SHORT} AS talk, CASE WHEN {OPENING} THEN {REPLY} WHEN {SHORT} THEN 'default' END AS reply_key,
+ {PAGE} AS page, {SECTION} AS section FROM {LOWER}""",
+    "fx_routed": f"""SELECT a.question_id AS query_id, a.user_id, a.talk, a.reply_key, a.page AS asked_page, s.query_embedding,
+ CASE WHEN a.page IS NULL AND a.section <> '' THEN a.section END AS asked_section, s.doc_ids, CASE WHEN s.doc_ids IS NULL THEN s.doc_id END AS doc_id,
+ list_distinct({TERMS_OF.format(x='a.question')}) AS wanted FROM fx_labels a JOIN fx_scoped_queries s USING (conversation_id)""",
+    "fx_looked_up": f"""SELECT DISTINCT q.query_id FROM fx_routed q JOIN fx_chunks c ON {SEEN} WHERE coalesce(list_contains(c.pages, asked_page), false)
+ OR (c.pages IS NULL AND c.page_number = asked_page) OR c.heading ILIKE '%' || asked_section || '%'""",
+    "fx_near": f"SELECT DISTINCT q.query_id FROM fx_routed q JOIN fx_chunks c ON {SEEN} WHERE c.embedding IS NOT NULL AND q.query_embedding IS NOT NULL",
+    "fx_named": f"""SELECT DISTINCT q.query_id FROM fx_routed q JOIN fx_terms t ON t.user_id = q.user_id JOIN fx_chunks c ON c.id = t.id AND {SEEN}
+ WHERE len(q.wanted) > 0 AND list_has_all(t.terms, q.wanted) AND q.query_id NOT IN (SELECT query_id FROM fx_near)""",
+}
 
 
+@query("rt_outcome", """SELECT query_id, CASE WHEN talk THEN 'conversational' WHEN user_id NOT IN (SELECT user_id FROM fx_documents WHERE status = 'ready')
+ THEN 'no_documents' WHEN asked_page IS NOT NULL OR asked_section IS NOT NULL THEN CASE WHEN query_id IN (SELECT query_id FROM fx_looked_up)
+ THEN 'lookup' ELSE 'not_found' END WHEN query_id IN (SELECT query_id FROM fx_near UNION ALL SELECT query_id FROM fx_named) THEN 'search'
+ ELSE 'direct' END AS path, reply_key FROM fx_routed""", views=ROUTED)
+def _(t):
+    return retrieval.outcomes(_retrieved(t), t.documents)

@@ -70,3 +70,25 @@ def retrieve(
     picked = mmr.rerank(body, asked)
     selected = body.drop("embedding").join(picked, ["query_id", "id"])
     return Retrieval(asked, selected, sources(selected))
+
+
+def outcomes(run: Retrieval, documents: DataFrame) -> DataFrame:
+    """How each question ends: one row per row of ``run.labelled``, whatever was found.
+
+    ``path`` is conversational (with its ``reply_key``), no_documents (the user has none that is ready),
+    lookup, not_found (a page or section that no passage has), search, or direct (answered without passages).
+    ``documents``: user_id, status.
+    """
+    picks = run.selected.groupBy("query_id").agg(F.count("*").alias("n_picks"))
+    ready = documents.where(F.col("status") == "ready").select("user_id").distinct().withColumn("_ready", F.lit(True))
+    asked = run.labelled.select("query_id", "user_id", "class", "reply_key", "asked_page", "asked_section")
+    met = asked.join(picks, "query_id", "left").join(ready, "user_id", "left")
+    found = F.coalesce("n_picks", F.lit(0))
+    by_lookup = F.col("asked_page").isNotNull() | F.col("asked_section").isNotNull()
+    path = (
+        F.when(F.col("class") == "conversational", "conversational")
+        .when(F.col("_ready").isNull(), "no_documents")
+        .when(by_lookup, F.when(found > 0, "lookup").otherwise("not_found"))
+        .otherwise(F.when(found > 0, "search").otherwise("direct"))
+    )
+    return met.select("query_id", path.alias("path"), "reply_key")
