@@ -28,6 +28,15 @@ RANKED = 8  # paths of a host that a page may choose from; beyond them it uses i
 
 BOXES = frozenset("html body main article section div td table tbody tr aside nav header footer form ul ol dl figure details dialog center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption th address summary hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset(("td", "th"))
+# start tags that end open elements: which ones, and the boxes beyond which they don't
+IMPLIED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol"))), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "td": (CELLS, frozenset(("tr", "table"))), "th": (CELLS, frozenset(("tr", "table"))), "tr": (CELLS | {"tr"}, frozenset(("tbody", "table"))),
+    "tbody": (CELLS | {"tr", "tbody", "caption"}, frozenset(("table",))),
+}
+INSIDE = frozenset("button select noscript iframe template svg".split())  # what may stand in a paragraph
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 OUT_TAGS = frozenset("nav header footer aside form button select menu noscript iframe template svg dialog".split())
 RAW = frozenset("script style textarea title noscript iframe template svg select".split())
@@ -67,6 +76,35 @@ def _opened(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *names]), out
 
 
+def _ended(stack: list[Box], tag: str) -> None:
+    """Take the element that an end tag closes, and what is still open inside it, off the stack."""
+    same = HEADINGS if tag in HEADINGS else (tag,)
+    beyond = IMPLIED[tag][1] if tag in IMPLIED else ()
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in same:
+            del stack[i:]
+            return
+        if stack[i].tag in beyond:
+            return
+
+
+def _implied(stack: list[Box], tag: str) -> None:
+    """Take the elements that a start tag closes off the stack."""
+    if stack[-1].tag == "p" and tag not in INSIDE or tag in HEADINGS and stack[-1].tag in HEADINGS:
+        stack.pop()
+    if tag in IMPLIED:
+        ends, beyond = IMPLIED[tag]
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in beyond:
+                return
+            if stack[i].tag in ends:
+                del stack[i:]
+                if tag not in ("tr", "tbody"):
+                    return
+                _implied(stack, tag)
+                return
+
+
 def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
     """(container, text, characters in links) of each block outside boilerplate, in page order."""
     top = Box("", "", False, None)
@@ -104,22 +142,13 @@ def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
         if m[1]:
             if tag == "a":
                 depth = max(0, depth - 1)
-            elif tag in BLOCKS or tag in BOXES:
+            elif tag in BLOCKS or tag in BOXES or tag in OUT_TAGS:
                 block = flush()
                 if block:
                     yield block
-                if tag in BOXES or tag in OUT_TAGS:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].tag == tag:
-                            del stack[i:]
-                            break
-                depth = 0
-            elif tag in OUT_TAGS:
-                block = flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+                _ended(stack, tag)
+                if tag in BLOCKS or tag in BOXES:
+                    depth = 0
             continue
         if tag in RAW:
             raw = tag
@@ -132,10 +161,11 @@ def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
             block = flush()
             if block:
                 yield block
+            _implied(stack, tag)
             if tag in VOID or (m[3] or "").endswith("/"):
                 continue
             step, out = _opened(tag, m[3])
-            if tag in BOXES or out:
+            if tag in BOXES or out or stack[-1].out:  # all that opens inside boilerplate, so that its ends are not taken for others
                 stack.append(Box(tag, f"{stack[-1].path}/{step}", stack[-1].out or out, stack[-1]))
     if not raw and at < len(page):
         parts.append(page[at:])

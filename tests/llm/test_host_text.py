@@ -31,6 +31,17 @@ def test_a_host_outvotes_a_page_with_little_text(spark):
     assert got[9] == "tiny" and got[10] == ("other words " * 9).strip()
 
 
+def _texts(page):
+    return [t for _, t, _ in H.blocks_of(page)]
+
+
+def test_boilerplate_blocks_end_with_their_own_tags():
+    page = "<article><h1 class=entry-header>T</h1><p>one</p><p class=share>s</p><p>two</p><p class=share>s<p>three<blockquote class=ad>a<blockquote>b</blockquote>c</blockquote>"
+    assert _texts(page + "<p hidden>h</p><div>four</div></article><p>five") == ["one", "two", "three", "four", "five"]
+    assert _texts("<ul><li class=share>s<ul><li>x</li></ul>y</li><li>one</li><li class=ad>s<li>two</ul><h2 class=promo>s</h2>three") == ["one", "two", "three"]
+    assert _texts("<table><tr><td class=ad>s<td>one<tr class=ad><td>s<tr><th class=ad>s<td>two</table><dl><dt class=ad>s<dd>three</dl>") == ["one", "two", "three"]
+
+
 def test_query_equals_the_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op7_host_paths(spark, SF).collect():
