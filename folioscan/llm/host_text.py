@@ -1,7 +1,8 @@
 """Main text of web pages by paths that a host's pages agree on.
 
 1. Each page's containers are scored by the text of the blocks right inside them; text of
-   links counts against them, and boilerplate parts are left out.
+   links counts against them, and boilerplate parts are left out. A word inside a longer class
+   or id (``has-sidebar``) does not make a box boilerplate that holds most of the page's text.
 2. The best container of a page votes for its generalised path (tags and classes with digits
    taken out); Spark sums the votes per host and ranks the paths.
 3. Each page is read again with the best-ranked path of its host that it has; a page without
@@ -45,35 +46,43 @@ OUT_WORDS = frozenset(
     " footer sidebar side aside widget related share sharing social comment comments respond reply replies disqus cookie cookies"
     " consent notice notices alert popup modal overlay newsletter subscribe subscription signup login pagination pager toolbar masthead".split()
 )
+WHOLE = frozenset("html body main article".split())  # never boilerplate by a word
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 DIGITS = re.compile(r"\d+")
 
 
 class Box:
-    """A container: its path, its blocks in page order, and whether it lies in a boilerplate part."""
+    """A container: its path, whether it lies in a boilerplate part for sure, and the innermost box around it marked by a word."""
 
-    __slots__ = ("tag", "path", "out", "parent", "text", "links")
+    __slots__ = ("tag", "path", "out", "parent", "mark", "mild", "size")
 
-    def __init__(self, tag: str, path: str, out: bool, parent: Box | None):
-        self.tag, self.path, self.out, self.parent, self.text, self.links = tag, path, out, parent, 0, 0
+    def __init__(self, tag: str, path: str, out: bool, parent: Box | None, word: str = ""):
+        self.tag, self.path, self.out, self.parent = tag, path, out, parent
+        self.mark = self if word else parent.mark if parent else None
+        self.mild, self.size = word == "part", 0
 
 
-def _opened(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised step of a path, and whether the element is boilerplate by tag, role, class or id."""
-    out, names = tag in OUT_TAGS, []
+def _opened(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """Generalised step of a path; whether the element is boilerplate by tag or role; whether a class or id says so, as a "whole" or a "part"."""
+    out, names, word = tag in OUT_TAGS, [], ""
     if attributes and attributes.strip(" /"):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "class":
                 names = sorted({DIGITS.sub("#", c) for c in value.lower().split()})
-            if name in ("class", "id"):
-                out |= any(w in OUT_WORDS for w in WORD.findall(value.lower()))
+            if name in ("class", "id") and tag not in WHOLE:
+                for c in value.lower().split():
+                    if c in OUT_WORDS:
+                        word = "whole"
+                    elif not word and any(w in OUT_WORDS for w in WORD.findall(c)):
+                        word = "part"
             out |= name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true"
-    return ".".join([tag, *names]), out
+    return ".".join([tag, *names]), out, word
 
 
 def _ended(stack: list[Box], tag: str) -> None:
@@ -105,13 +114,43 @@ def _implied(stack: list[Box], tag: str) -> None:
                 return
 
 
-def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
-    """(container, text, characters in links) of each block outside boilerplate, in page order."""
+def blocks_of(page: str) -> list[tuple[Box, str, int]]:
+    """(container, text, characters in links) of each block outside boilerplate, in page order.
+
+    Boxes marked by a word inside a longer class or id count as boilerplate unless they hold
+    more than half of the text. If nothing else is left, that holds for boxes marked by a whole
+    class or id too, and after that words do not count at all.
+    """
+    marks: list[Box] = []
+    blocks = list(_blocks(page, marks))
+    if not marks:
+        return blocks
+    total = 0
+    for box, text, _ in blocks:
+        total += len(text)
+        if box.mark:
+            box.mark.size += len(text)
+    for m in reversed(marks):  # inner ones were opened later
+        if m.parent.mark:
+            m.parent.mark.size += m.size
+    for mild in (True, False):
+        clear: set[Box | None] = {None}
+        for m in marks:
+            if (m.mild or not mild) and 2 * m.size > total and m.parent.mark in clear:
+                clear.add(m)
+        left = [b for b in blocks if b[0].mark in clear]
+        if left:
+            return left
+    return blocks
+
+
+def _blocks(page: str, marks: list[Box]) -> Iterator[tuple[Box, str, int]]:
+    """The blocks outside what is boilerplate for sure; boxes marked by a word are added to ``marks``."""
     top = Box("", "", False, None)
     stack = [top]
     parts: list[str] = []
     linked, depth, link_from = 0, 0, 0
-    at, raw = 0, ""
+    at = 0
 
     def flush():
         nonlocal linked, link_from
@@ -122,14 +161,7 @@ def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
             return (stack[-1], whole, found)
         return None
 
-    for m in TOKEN.finditer(page):
-        if raw:
-            if not (m[1] and m[2] and m[2].lower() == raw):
-                continue
-            raw, at = "", m.end()
-            continue
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(page, at):
         piece = page[at : m.start()]
         at = m.end()
         if piece:
@@ -151,7 +183,8 @@ def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
                     depth = 0
             continue
         if tag in RAW:
-            raw = tag
+            end = RAW_ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -164,10 +197,12 @@ def blocks_of(page: str) -> Iterator[tuple[Box, str, int]]:
             _implied(stack, tag)
             if tag in VOID or (m[3] or "").endswith("/"):
                 continue
-            step, out = _opened(tag, m[3])
-            if tag in BOXES or out or stack[-1].out:  # all that opens inside boilerplate, so that its ends are not taken for others
-                stack.append(Box(tag, f"{stack[-1].path}/{step}", stack[-1].out or out, stack[-1]))
-    if not raw and at < len(page):
+            step, out, word = _opened(tag, m[3])
+            if tag in BOXES or out or word or stack[-1].out or stack[-1].mark:  # all that opens inside boilerplate, so that its ends are not taken for others
+                stack.append(Box(tag, f"{stack[-1].path}/{step}", stack[-1].out or out, stack[-1], word))
+                if word:
+                    marks.append(stack[-1])
+    if at < len(page):
         parts.append(page[at:])
     block = flush()
     if block:

@@ -42,6 +42,21 @@ def test_boilerplate_blocks_end_with_their_own_tags():
     assert _texts("<table><tr><td class=ad>s<td>one<tr class=ad><td>s<tr><th class=ad>s<td>two</table><dl><dt class=ad>s<dd>three</dl>") == ["one", "two", "three"]
 
 
+def test_scripts_end_at_their_end_tags():
+    for script in ("for(i=0;i<n;i++)f()", "a='<!--'", 'if(a<b)c="', "x<y>z", ""):
+        assert _texts(f"<p>one</p><script>{script}</script><p>two</p><STYLE>p{{}}</style ><p>three") == ["one", "two", "three"]
+    assert _texts("<p>one</p><textarea></textareas><p>no</textarea>two<script>x<p>no") == ["one", "two"]
+
+
+def test_a_word_of_a_class_does_not_drop_a_whole_page():
+    long_ = "many words " * 9
+    for box in ('body class="single has-sidebar"', "article class=share-post", "div id=content-sidebar-wrap", "div class=sidebar"):
+        assert _texts(f"<{box}><p>{long_}</p><div class=share>s</div>") == [long_.strip()]
+    inner = f"<div id=content-sidebar-wrap><div class=post><p>{long_}</p></div><div class=sidebar-box>s</div></div><p>foot</p><div class=ad-box>ad</div>"
+    assert _texts(inner) == [long_.strip(), "foot"] and H.text_at(inner, []) == long_.strip()
+    assert _texts(f"<p>short</p><div class=comments><p>{long_}</p></div>") == ["short"]
+
+
 def test_query_equals_the_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op7_host_paths(spark, SF).collect():
