@@ -4,13 +4,14 @@
    links counts against them, and boilerplate parts are left out. A word inside a longer class
    or id (``has-sidebar``) does not make a box boilerplate that holds most of the page's text.
 2. The best container of a page votes for its generalised path (tags and classes with digits
-   taken out); Spark sums the votes per host and ranks the paths.
-3. Each page is read again with the best-ranked path of its host that it has; a page without
-   any of them uses its own best container.
+   taken out); Spark sums the votes per host.
+3. The paths that a page has are joined with the votes of its host. Each page is read again
+   with the one with most votes, whatever its place among all paths of the host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -19,14 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..session import write_table
 from ..sizing import join_sized
 from .common import attach, column, free_name, slices, small_batches
 
-RANKED = 8  # paths of a host that a page may choose from; beyond them it uses its own container
-
 BOXES = frozenset("html body main article section div td table tbody tr aside nav header footer form ul ol dl figure details dialog center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption th address summary hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -209,10 +207,9 @@ def _blocks(page: str, marks: list[Box]) -> Iterator[tuple[Box, str, int]]:
         yield block
 
 
-def best_path(page: str | None) -> tuple[str, int] | None:
-    """(path, score) of the container with most text; a block counts half for the container around."""
+def _best(blocks: list[tuple[Box, str, int]]) -> tuple[str, int] | None:
     scores: dict[str, float] = {}
-    for box, text, linked in blocks_of(page or ""):
+    for box, text, linked in blocks:
         worth = len(text) - 2 * linked
         while box is not None and box.tag in ("ul", "ol", "dl", "tbody", "tr", "table", "figure"):
             box = box.parent
@@ -227,6 +224,29 @@ def best_path(page: str | None) -> tuple[str, int] | None:
     return path, int(scores[path])
 
 
+def best_path(page: str | None) -> tuple[str, int] | None:
+    """(path, score) of the container with most text; a block counts half for the container around."""
+    return _best(blocks_of(page or ""))
+
+
+def path_key(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def paths_of(page: str | None) -> tuple[str, int, int, list[int]] | None:
+    """(path, score, key) of the best container, and the keys of all containers with text."""
+    blocks = blocks_of(page or "")
+    best = _best(blocks)
+    if best is None:
+        return None
+    seen: set[Box] = set()
+    for box, _, _ in blocks:
+        while box.parent is not None and box not in seen:
+            seen.add(box)
+            box = box.parent
+    return *best, path_key(best[0]), sorted({path_key(path) for path in {box.path for box in seen}})
+
+
 def text_at(page: str | None, paths: list[str]) -> str:
     """Blocks inside the first of ``paths`` that has any, else inside the page's own best container."""
     blocks = list(blocks_of(page or ""))
@@ -234,7 +254,7 @@ def text_at(page: str | None, paths: list[str]) -> str:
         inside = [t for box, t, _ in blocks if box.path == path or box.path.startswith(path + "/")]
         if inside:
             return "\n".join(inside)
-    own = best_path(page)
+    own = _best(blocks)
     inside = [t for box, t, _ in blocks if own and (box.path == own[0] or box.path.startswith(own[0] + "/"))]
     return "\n".join(inside or [t for _, t, _ in blocks])
 
@@ -244,23 +264,35 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, paths): the container paths of each host, most votes first, then most text, then by name."""
+def page_key(page):
+    """What stands for a page's html in narrow tables."""
+    return F.unhex(F.md5(page))
+
+
+def mended(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, page, path): the pages that have a path with more votes of their host than their own best one.
+
+    Most votes come first, then most text, then the name. Pages are named by ``page_key``.
+    """
     name = free_name(pages, "_best")
 
     def make():
         def work(data):
-            found = (best_path(d.decode() if d else None) for d in data)
-            return [f or (None, None) for f in found]
+            found = (paths_of(d.decode() if d else None) for d in data)
+            return [f or (None, None, None, None) for f in found]
 
         return work
 
-    best = attach(pages.select(column(url).alias("url"), column(page).alias("html")), make, "path string, score long", name, "html")
-    cast = best.select(host(F.col("url")).alias("host"), column(name)["path"].alias("path"), column(name)["score"].alias("score")).where("path is not null")
-    counted = cast.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
-    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= RANKED)
-    return ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda r: r["path"]).alias("paths"))
+    read = attach(pages.select(column(url).alias("url"), column(page).alias("html")), make, "path string, score long, own long, keys array<long>", name, "html")
+    cast = read.select(host(F.col("url")).alias("host"), page_key(F.col("html")).alias("page"), column(name).alias("b")).where("b.path is not null")
+    cast = write_table(cast.select("host", "page", "b.*"), "page-paths")
+    counted = cast.groupBy("host", F.col("own").alias("key")).agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.min("path").alias("path"))
+    counted = write_table(counted, "host-paths")
+    has = cast.select("host", "page", "own", F.explode("keys").alias("key"))
+    met = join_sized(has, counted, ["host", "key"], "inner", F.xxhash64("page"))
+    first = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path", "key"))
+    chosen = met.groupBy("host", "page").agg(first.alias("b"), F.max("own").alias("own"))
+    return chosen.where("b.key <> own").select("host", "page", "b.path")
 
 
 def main_texts(pages: DataFrame, url: str = "url", page: str = "html", name: str = "main_text") -> DataFrame:
@@ -269,23 +301,23 @@ def main_texts(pages: DataFrame, url: str = "url", page: str = "html", name: str
     Pages without a readable host vote together. Every page is judged on its whole html;
     repeated pages vote as often as they are there.
     """
-    held, paths = free_name(pages, "_host"), free_name(pages, "_paths")
+    held, key, path = (free_name(pages, x) for x in ("_host", "_page", "_path"))
     small_batches(pages)
-    winners = write_table(votes(pages, url, page), "host-paths")
-    keyed = pages.withColumn(held, host(column(url)))
+    other = write_table(mended(pages, url, page), "pages-mended")
+    keyed = pages.withColumn(held, host(column(url))).withColumn(key, page_key(column(page)))
     spread = F.xxhash64(column(page))
-    met = join_sized(keyed, winners.select(F.col("host").alias(held), F.col("paths").alias(paths)), [held], "left", spread)
-    at_page, at_paths = met.columns.index(page), met.columns.index(paths)
+    met = join_sized(keyed, other.select(F.col("host").alias(held), F.col("page").alias(key), F.col("path").alias(path)), [held, key], "left", spread)
+    at_page, at_path = met.columns.index(page), met.columns.index(path)
 
     def run(batches):
         for batch in batches:
-            data, chosen = batch.column(at_page).to_pylist(), batch.column(at_paths).to_pylist()
+            data, chosen = batch.column(at_page).to_pylist(), batch.column(at_path).to_pylist()
             for a, b in slices(len(x or "") for x in data):
-                made = [text_at(d, p or []) for d, p in zip(data[a:b], chosen[a:b])]
+                made = [text_at(d, [p] if p else []) for d, p in zip(data[a:b], chosen[a:b])]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=[*part.schema.names, name])
 
-    return met.mapInArrow(run, T.StructType([*met.schema.fields, T.StructField(name, T.StringType())])).drop(held, paths)
+    return met.mapInArrow(run, T.StructType([*met.schema.fields, T.StructField(name, T.StringType())])).drop(held, key, path)
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -57,6 +57,17 @@ def test_a_word_of_a_class_does_not_drop_a_whole_page():
     assert _texts(f"<p>short</p><div class=comments><p>{long_}</p></div>") == ["short"]
 
 
+def test_every_template_of_a_host_is_voted_on(spark):
+    rows = []
+    for i, c in enumerate("abcdefghijkl"):
+        full = f"<body><div class=main-{c}><p>" + "many words " * 50 + f"</p></div><div class=box-{c}><p>short</p></div></body>"
+        odd = f"<body><div class=main-{c}><p>tiny {c}</p></div><div class=box-{c}><p>" + "other words " * 9 + "</p></div></body>"
+        rows += [(100 * i + k, None, full) for k in range(2 + i)] + [(100 * i + 99, None, odd)] * 2
+    got = [(r.page_id, r.text) for r in H.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(x for x in got if x[0] % 100 == 99) == sorted([(100 * i + 99, f"tiny {c}") for i, c in enumerate("abcdefghijkl")] * 2)
+    assert len(got) == len(rows)
+
+
 def test_query_equals_the_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op7_host_paths(spark, SF).collect():
