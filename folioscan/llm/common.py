@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -81,3 +82,37 @@ def attach(
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, struct)])
     return df.mapInArrow(run, schema)
+
+
+def blocks(rows: DataFrame, key: str, member: str, many: Column) -> DataFrame:
+    """Deal each group of ``key`` into ``many`` blocks by ``member``; any two blocks meet in a cell of their own.
+
+    A row gets one copy per block of its group, with the number of the ``cell``, the row's ``own``
+    block and whether the cell holds two different blocks (``cross``). A group of one block is one cell.
+    """
+    last = F.greatest(many.cast("long"), F.lit(1).cast("long")) - 1
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(member), last + 1)).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cell = F.xxhash64(key, F.least("own", "met"), F.greatest("own", "met"))
+    return dealt.withColumn("cell", cell).withColumn("cross", F.col("own") != F.col("met")).drop("met")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], take: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``take`` of runs of whole cells, from a stream that is sorted by its first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(cells, cells[-1], "left"))
+        if cut or (held and held[-1].column(0)[-1].as_py() != cells[0]):
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)]) if cut else pa.Table.from_batches(held)
+            yield take(done)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield take(pa.Table.from_batches(held))
+
+
+def bounds(cells: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))

@@ -20,17 +20,15 @@ are. Repeated rows stay and share their component. An empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
 from ..sizing import join_sized
-from .common import attach, column, lengths, slices, small_batches
+from .common import attach, blocks, bounds, column, lengths, slices, small_batches, whole_cells
 from .simhash import components
 
 ALIKE = 80  # hundredths of the union
@@ -132,14 +130,6 @@ def sketched(docs: DataFrame, name: str = "sketched", text: str = "text") -> Dat
     return attach(docs, lambda: _sketched, "n_shingles long, node binary, sketch binary, bands array<bigint>", name, text)
 
 
-def _blocks(rows: DataFrame, key: str, many: Column) -> DataFrame:
-    """Deal each group into ``many`` blocks by node: one copy of a row for each block that its own meets, in a column ``cell``."""
-    own = F.pmod(F.xxhash64("node"), many)
-    met = F.when(many <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1))
-    dealt = rows.withColumn("_own", own.cast("long")).withColumn("_met", F.explode(met))
-    return dealt.withColumn("cell", F.xxhash64(key, F.least("_own", "_met"), F.greatest("_own", "_met"))).drop("_own", "_met")
-
-
 def follow(sizes: np.ndarray, bits: np.ndarray, most: int, alike: int, confirm=None) -> tuple[list[int], list[int]]:
     """Edges (row, row met first) that connect what is alike: from each root on, links lead to further rows.
 
@@ -168,27 +158,6 @@ def follow(sizes: np.ndarray, bits: np.ndarray, most: int, alike: int, confirm=N
     return left, right
 
 
-def _cells(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
-    """Whole cells of a stream that is sorted by its first column, in runs of several cells."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(cells, cells[-1], "left"))
-        if cut or (held and held[-1].column(0)[-1].as_py() != cells[0]):
-            done = pa.Table.from_batches([*held, batch.slice(0, cut)]) if cut else pa.Table.from_batches(held)
-            yield take(done)
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield take(pa.Table.from_batches(held))
-
-
-def _bounds(cells: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
-
-
 def _bits(data: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(data.to_pylist()), np.uint64).reshape(len(data), -1)
 
@@ -206,12 +175,12 @@ def candidates(nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
     shared = banded.groupBy("band").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("who")).where("many > 1")
     shared = write_table(shared.groupBy("many", "who").agg(F.min("band").alias("band")).select("band", "many"), "odd-buckets")
     met = join_sized(banded, shared, ["band"], spread=F.xxhash64("node")).join(nodes.select("node", "n", "sketch"), "node")
-    dealt = _blocks(met, "band", F.ceil(F.col("many") / BUCKET_ROWS)).select("cell", "n", "node", "sketch")
+    dealt = blocks(met, "band", "node", F.ceil(F.col("many") / BUCKET_ROWS)).select("cell", "n", "node", "sketch")
     small_batches(nodes)
 
     def take(run: pa.Table) -> pa.RecordBatch:
         cells, sizes, bits = run.column(0).to_numpy(), run.column(1).to_numpy(), _bits(run.column(3))
-        at, names = _bounds(cells), run.column(2).to_pylist()
+        at, names = bounds(cells), run.column(2).to_pylist()
         two = at[:-1][np.diff(at) == 2]
         low, high = np.minimum(sizes[two], sizes[two + 1]), np.maximum(sizes[two], sizes[two + 1])
         near = two[(100 * low >= alike * high) & (np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64) <= most)]
@@ -223,7 +192,7 @@ def candidates(nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
                 right += [a + i for i in y]
         return _edges(names, left, right)
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, take), "a binary, b binary").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: whole_cells(batches, take), "a binary, b binary").distinct()
 
 
 def confirmed(members: DataFrame, alike: int = ALIKE) -> DataFrame:
@@ -233,10 +202,10 @@ def confirmed(members: DataFrame, alike: int = ALIKE) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("many") / FAMILY_ROWS), F.ceil(F.col("bytes") / FAMILY_BYTES))
     parts = F.when(F.col("many") < F.lit(3), F.lit(1)).otherwise(F.least(parts, F.col("many")))
     sized = join_sized(members, sizes.select("family", parts.cast("long").alias("parts")), ["family"], spread=F.xxhash64("node"))
-    dealt = _blocks(sized, "family", F.col("parts")).select("cell", "n", "node", "sketch", "text")
+    dealt = blocks(sized, "family", "node", F.col("parts")).select("cell", "n", "node", "sketch", "text")
 
     def take(run: pa.Table) -> pa.RecordBatch:
-        at, counts, bits = _bounds(run.column(0).to_numpy()), run.column(1).to_numpy(), _bits(run.column(3))
+        at, counts, bits = bounds(run.column(0).to_numpy()), run.column(1).to_numpy(), _bits(run.column(3))
         text = pa.concat_arrays([c.cast(pa.binary()) for c in run.column(4).chunks])
         made = [shingle_sets(text.slice(a, b - a).to_pylist())[0] for a, b in slices(lengths(text))]
         values, ends = np.concatenate(made), np.cumsum(counts)
@@ -258,7 +227,7 @@ def confirmed(members: DataFrame, alike: int = ALIKE) -> DataFrame:
             right += [a + i for i in y]
         return _edges(run.column(2).to_pylist(), left, right)
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, take), "a binary, b binary").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: whole_cells(batches, take), "a binary, b binary").distinct()
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alike: int = ALIKE) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_text, middle, odd_sketch, passages, perspectives, pieces, repetition, secrets, simhash, token_files, toxicity
+from . import decontaminate, host_text, middle, odd_sketch, passages, perspectives, pieces, repetition, secrets, simhash, token_files, toxicity, variants
 from .common import table
 
 WORD_MODEL = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op10_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_tiled_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.digest(table(spark, sf_dir, "documents"))
 
@@ -66,8 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_patched_tokens, op2_perspectives, op3_toxicity, op4_suffix_repeats, op5_pivot_simhash, op6_randomness_secrets, op7_host_paths,
-        op8_piece_scan, op9_chained_passages, op10_prefix_windows, op12_odd_sketches,
-        op13_chunk_memo_fim,
+        op8_piece_scan, op9_chained_passages, op10_prefix_windows, op11_tiled_variants,
+        op12_odd_sketches, op13_chunk_memo_fim,
     )
 }
 ORACLES: dict[str, str] = {"op2_perspectives": perspectives.ORACLE, "op12_odd_sketches": odd_sketch.ORACLE, "op13_chunk_memo_fim": middle.ORACLE}
