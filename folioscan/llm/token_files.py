@@ -16,6 +16,7 @@ renamed, so a task that runs again replaces its files by equal ones.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -39,6 +40,7 @@ SHARE = 0.9
 SHARD_TOKENS = 1 << 20
 SLICE = 8 << 20  # bytes of text whose new words are encoded together
 END_ID = 1
+END = np.array([END_ID], "<u4").tobytes()
 MAGIC = b"PFB1"
 _FOOT = "<qqqqq"  # tokens, blocks, documents, offset of block starts, offset of documents
 _HEAD = "<IBBH"  # minimum, width, bytes of an exception's high bits, exceptions
@@ -219,7 +221,10 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # such strings in a text are ordinary text
+        # added tokens are cut out of the text as it stands; what is left of it is ordinary text, also what only lower-casing turns into one
+        self.added = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in self.model.get_added_tokens_decoder().items()}
+        self.cut_added = re.compile(b"(%s)" % b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
+        self.model.encode_special_tokens = True
         self.kept: dict[bytes, bytes] = {b"": b""}  # ids as 32-bit numbers
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
@@ -289,6 +294,21 @@ class Encoder:
         return data.lower() if data.isascii() else data.decode().replace("Σ", "σ").lower().encode()
 
     def __call__(self, documents: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of whole texts, each with the end id."""
+        cut = {i: self.cut_added.split(d) for i, d in enumerate(documents) if d and any(t in d for t in self.added)}
+        if not cut:
+            return self._plain(documents, END)
+        parts = [p for i, d in enumerate(documents) for p in (cut[i][::2] if i in cut else [d])]
+        made, out = iter(self._plain(parts, b"")), []
+        for i in range(len(documents)):
+            ids = next(made).tobytes()
+            for token in cut.get(i, [])[1::2]:
+                ids += self.added[token] + next(made).tobytes()
+            out.append(np.frombuffer(ids + END, "<u4"))
+        return out
+
+    def _plain(self, documents: list[bytes | None], end: bytes) -> list[np.ndarray]:
+        """Ids of texts without added tokens, each followed by ``end``."""
         texts = pa.array([self._lower(d) for d in documents], pa.large_binary()).cast(pa.large_string())
         split = pc.ascii_split_whitespace(texts)  # gaps at the ends give empty words, which have no ids
         coded = split.values.dictionary_encode()
@@ -296,7 +316,6 @@ class Encoder:
         made = np.empty(len(words), object)
         made[:] = self._ids_of(words)
         row = made[coded.indices.to_numpy()].tolist()
-        end = np.array([END_ID], "<u4").tobytes()
         bounds = split.offsets.to_pylist()
         return [np.frombuffer(b"".join(row[a:b]) + end, "<u4") for a, b in zip(bounds, bounds[1:])]
 

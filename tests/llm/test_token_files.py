@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -13,9 +14,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def model():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def expected(model, rows):
@@ -48,12 +47,21 @@ def test_outliers_do_not_widen_a_block():
 def test_odd_texts_encode_like_the_library(model):
     texts = [
         "it's don't  I'LL", "ΑΣ ΣΑΣ İstanbul", "é é ́x", "a\x1cb\x85c d", "<|endoftext|> x", "日本語 text", "x²³ ½ 1२3",
+        "hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "E\u0301<|endoftext|>\u0301x <|EndOfText|>", "<|<|endoftext|>|> 's<|startoftext|>'s", "<|endoftext|>",
         "ﬁ Straße ẞ", "z​z y", "É7É!!ü8", "w" * 300, "", "...,,!!",
     ]
     made = K.Encoder(PATH)([t.encode() for t in texts])
     assert [list(m[:-1]) for m in made] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_texts_with_added_tokens_encode_like_the_library(model):
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "Word", "\u0301", "don't", "9", "é", "\n", "endoftext"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    made = K.Encoder(PATH)([t.encode() for t in texts])
+    assert [list(m[:-1]) for m in made] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query_equals_plain_encoding(spark, model):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     got = sorted(tuple(r) for r in queries.op1_patched_tokens(spark, SF).collect())
