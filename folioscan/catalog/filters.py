@@ -78,17 +78,16 @@ def _(t):
     return scope.checked_requests(asked).select("question_id", "response_style", "reject_reason")
 
 
-@query("flt_job_live", """SELECT e.event_id AS job_id, CASE WHEN r.written_ms <= e.ms + 1800000 * (e.event_id % 4) AND
+@query("flt_job_live", """SELECT e.event_id AS job_id, e.event_type = 'view' AS is_view, CASE WHEN r.written_ms <= e.ms + 1800000 * (e.event_id % 4) AND
  r.written_ms + 3600000 > e.ms + 1800000 * (e.event_id % 4) THEN r.status ELSE 'not_found' END AS status
- FROM fx_events e LEFT JOIN (SELECT job_id, arg_max(status, seq) AS status, max(written_ms) AS written_ms FROM fx_result_log
- WHERE job_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view') GROUP BY 1) r ON r.job_id = e.event_id""")
+ FROM fx_events e LEFT JOIN (SELECT job_id, arg_max(status, seq) AS status, max(written_ms) AS written_ms FROM fx_result_log GROUP BY 1) r
+ ON r.job_id = e.event_id""")
 def _(t):
-    asked = t.events.select(F.col("event_id").alias("job_id"), (F.col("ms") + 1800000 * (F.col("event_id") % 4)).alias("asked_ms"))
     from ..sources.sinks import current_results
 
-    silent = t.events.where(F.col("event_type") == "view").select(F.col("event_id").alias("job_id"))
-    held = current_results(t.result_log.join(silent, "job_id", "left_anti"))
-    return usage.polled(asked, held).select("job_id", "status")
+    asked_ms = F.col("ms") + 1800000 * (F.col("event_id") % 4)
+    asked = t.events.select(F.col("event_id").alias("job_id"), (F.col("event_type") == "view").alias("is_view"), asked_ms.alias("asked_ms"))
+    return usage.polled(asked, current_results(t.result_log)).select("job_id", "is_view", "status")
 
 
 BARE = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
@@ -142,14 +141,14 @@ def _(t):
     return t.messages.select("id", text.conversation_title(q).alias("title"))
 
 
-@query("prj_credit_balance", """SELECT u.user_id, coalesce(p.credits, 0) AS voice_credits FROM (SELECT DISTINCT user_id FROM events) u
- LEFT JOIN (SELECT user_id, count(*) AS credits FROM events WHERE event_type = 'signup' AND value > 90 GROUP BY 1) p USING (user_id)""")
+@query("prj_credit_balance", """SELECT u.user_id, u.high, coalesce(p.credits, 0) AS voice_credits
+ FROM (SELECT DISTINCT user_id, value > 90 AS high FROM events) u
+ LEFT JOIN (SELECT user_id, value > 90 AS high, count(*) AS credits FROM events WHERE event_type = 'signup' GROUP BY 1, 2) p USING (user_id, high)""")
 def _(t):
-    users = t.raw("events").select("user_id").distinct()
-    profiles = t.raw("events").where((F.col("event_type") == "signup") & (F.col("value") > 90)).groupBy("user_id").agg(
-        F.count("*").alias("voice_credits")
-    )
-    return usage.credit_balance(users, profiles)
+    events = t.raw("events").withColumn("high", F.col("value") > 90)
+    users = events.select(F.struct("user_id", "high").alias("user_id")).distinct()
+    profiles = events.where(F.col("event_type") == "signup").groupBy(F.struct("user_id", "high").alias("user_id")).agg(F.count("*").alias("voice_credits"))
+    return usage.credit_balance(users, profiles).select("user_id.user_id", "user_id.high", "voice_credits")
 
 
 # Sorts and top lists

@@ -56,8 +56,10 @@ VIEWS = {
  FROM fx_messages m JOIN fx_conversations v ON v.id = m.conversation_id JOIN fx_chunks c ON c.document_id = v.document_id
  WHERE m.role = 'assistant'""",
     "fx_queries": r"""SELECT b.item_id AS query_id, b.item_id % 5 AS user_id, b.item_id AS conversation_id,
- array_to_string(list_sort(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]{4,}')))[1:1 + b.item_id % 2], ' ') AS query_text,
+ b.text AS query_text, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]{4,}')))[1:1 + b.item_id % 2], ' ') AS short_text,
  e.embedding AS query_embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""",
+    "fx_both_queries": """SELECT * FROM fx_queries UNION ALL
+ SELECT * REPLACE (-1 - query_id AS query_id, short_text AS query_text) FROM fx_queries""",
     "fx_scoped_queries": """SELECT q.*, s.doc_ids,
  q.query_id % 5 + 5 * ((q.query_id * 3) % (SELECT count(*) // 5 FROM documents)) AS doc_id,
  coalesce(len(s.doc_ids), 0) AS n_docs FROM fx_queries q

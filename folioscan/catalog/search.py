@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stems as stemming
 from ..functions import terms as T
 from ..functions import vectors as V
 from ..operators import cells, condense, fusion, keyword, knn, lookup, mmr
 from ..operators.scope import heading_like, in_scope, on_page
 from ..plans import retrieve as retrieval
 from ..plans import search
+from ..session import write_table
 from . import query
+from . import stem_sql
 from .routing import LOWER, OPENING, PAGE, REPLY, SECTION, SHORT
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
@@ -19,8 +22,8 @@ DIST = """1.0::DOUBLE - list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(l
 TERMS_OF = r"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), lambda t: NOT list_contains(" + STOP + ", t))"
 
 BASE = {
-    "fx_terms": "SELECT id, document_id, user_id, " + TERMS_OF.format(x="content") + " AS terms FROM fx_chunks",
-    "fx_wanted": "SELECT query_id, list_distinct(" + TERMS_OF.format(x="query_text") + ") AS wanted FROM fx_queries",
+    "fx_terms": "SELECT id, document_id, user_id, " + stem_sql.stems(TERMS_OF.format(x="content")) + " AS terms FROM fx_chunks",
+    "fx_wanted": "SELECT query_id, list_distinct(" + stem_sql.stems(TERMS_OF.format(x="query_text")) + ") AS wanted FROM fx_both_queries",
 }
 
 
@@ -44,8 +47,9 @@ def lists(tag: str, source: str, condition: str) -> dict[str, str]:
 
 
 USER = lists("user", "fx_queries", "true")
+BOTH = lists("both", "fx_both_queries", "true")
 DOC = lists("doc", "fx_scoped_queries", "c.document_id = q.doc_id")
-SET = lists("set", "fx_scoped_queries", "list_contains(q.doc_ids, c.document_id)")
+SET = lists("set", "fx_scoped_queries", "q.doc_ids IS NULL OR list_contains(q.doc_ids, c.document_id)")
 FUSED = "query_id, id, document_id, round(rrf_score, 9) AS rrf_score, position"
 
 
@@ -55,17 +59,17 @@ def _fused(df):
 
 @query("pipe_hybrid_user", f"SELECT {FUSED} FROM fx_t_user WHERE position <= 10", views=USER)
 def _(t):
-    return _fused(search.search_user(t.chunks, t.queries))
+    return _fused(search.search_user(t.chunks, t.queries, postings=t.postings))
 
 
 @query("pipe_hybrid_doc", f"SELECT {FUSED} FROM fx_t_doc WHERE position <= 10", views=DOC)
 def _(t):
-    return _fused(search.search_document(t.chunks, t.scoped_queries))
+    return _fused(search.search_document(t.chunks, t.scoped_queries, postings=t.postings))
 
 
 @query("pipe_hybrid_set", f"SELECT {FUSED} FROM fx_t_set WHERE position <= 10", views=SET)
 def _(t):
-    return _fused(search.search_set(t.chunks, t.scoped_queries))
+    return _fused(search.search_set(t.chunks, t.scoped_queries, postings=t.postings))
 
 
 @query("join_knn", "SELECT query_id, id, document_id, round(dist, 9) AS distance, rank FROM fx_v_user", views=USER)
@@ -75,43 +79,46 @@ def _(t):
 
 @query("win_vector_rank", "SELECT query_id, id, rank FROM fx_v_set", views=SET)
 def _(t):
-    return knn.nearest(t.chunks, t.scoped_queries.where(F.col("doc_ids").isNotNull())).select("query_id", "id", "rank")
+    return knn.nearest(t.chunks, t.scoped_queries).select("query_id", "id", "rank")
 
 
-@query("join_knn_approx")
+@query("join_knn_approx", """SELECT query_id, id, document_id, round(dist, 9) AS distance, rank, true AS recall_reached FROM fx_v_user""", views=USER)
 def _(t):
-    centres = cells.fit_centres(t.chunks, 16)
-    stored = cells.with_cell(t.chunks, centres)
-    return cells.nearest_in_cells(stored, t.queries, centres, 20, 6).withColumn("distance", F.round("distance", 9))
+    """The exact list, and whether the stored cells give at least nine tenths of all its rows, at the same distances."""
+    exact = knn.nearest(t.chunks, t.queries).withColumn("distance", F.round("distance", 9))
+    found = cells.nearest_stored(t.cell_index, t.queries, 20, 11).select("query_id", "id", F.round("distance", 9).alias("distance"), F.lit(1).alias("found"))
+    both = write_table(exact.join(found, ["query_id", "id", "distance"], "left"), "recall")
+    all_rows, rows_found = both.agg(F.count("*"), F.count("found")).first()
+    return both.select("query_id", "id", "document_id", "distance", "rank", F.lit(rows_found >= 0.9 * all_rows).alias("recall_reached"))
 
 
 @query("join_keyword", """SELECT q.query_id, c.id, len(list_filter(c.terms, lambda t: list_contains(w.wanted, t))) AS score
- FROM fx_queries q JOIN fx_wanted w USING (query_id) JOIN fx_terms c ON c.user_id = q.user_id
+ FROM fx_both_queries q JOIN fx_wanted w USING (query_id) JOIN fx_terms c ON c.user_id = q.user_id
  WHERE len(w.wanted) > 0 AND list_has_all(c.terms, w.wanted)""", views=BASE)
 def _(t):
-    return keyword.matching(t.chunks, t.queries).select("query_id", "id", "score")
+    return keyword.matching(t.postings, t.both_queries).select("query_id", "id", "score")
 
 
-@query("win_keyword_rank", "SELECT query_id, id, score, rank FROM fx_k_user", views=USER)
+@query("win_keyword_rank", "SELECT query_id, id, score, rank FROM fx_k_both", views=BOTH)
 def _(t):
-    return keyword.ranked(t.chunks, t.queries).select("query_id", "id", "score", "rank")
+    return keyword.ranked(t.postings, t.both_queries).select("query_id", "id", "score", "rank")
 
 
-@query("join_rrf", "SELECT query_id, id, v_rank, k_rank, round(rrf_score, 9) AS rrf_score FROM fx_f_user", views=USER)
+@query("join_rrf", "SELECT query_id, id, v_rank, k_rank, round(rrf_score, 9) AS rrf_score FROM fx_f_both", views=BOTH)
 def _(t):
-    fused = fusion.fuse(knn.nearest(t.chunks, t.queries), keyword.ranked(t.chunks, t.queries))
+    fused = fusion.fuse(knn.nearest(t.chunks, t.both_queries), keyword.ranked(t.postings, t.both_queries))
     return fused.select("query_id", "id", "v_rank", "k_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 @query("topk_fused", f"SELECT {FUSED} FROM fx_t_user WHERE position <= 20", views=USER)
 def _(t):
-    return _fused(search.search_user(t.chunks, t.queries, 20))
+    return _fused(search.search_user(t.chunks, t.queries, 20, postings=t.postings))
 
 
 @query("agg_top_score", """SELECT query_id, round(max(rrf_score), 9) AS top_score, CASE WHEN max(rrf_score) < 0.005 THEN 'direct_fallback'
  WHEN max(rrf_score) < 0.02 THEN 'second_pass' ELSE 'rag' END AS route FROM fx_t_user WHERE position <= 20 GROUP BY 1""", views=USER)
 def _(t):
-    best = fusion.top_scores(search.search_user(t.chunks, t.queries, 20))
+    best = fusion.top_scores(search.search_user(t.chunks, t.queries, 20, postings=t.postings))
     return best.withColumn("top_score", F.round("top_score", 9))
 
 
@@ -122,8 +129,8 @@ def _(t):
  FULL OUTER JOIN (SELECT query_id, max(rrf_score) b FROM fx_t_doc GROUP BY 1) USING (query_id)) USING (query_id)
  WHERE (run = 'second') = second""", views={**USER, **DOC})
 def _(t):
-    first = search.search_user(t.chunks, t.queries, 20)
-    second = search.search_document(t.chunks, t.scoped_queries, 20)
+    first = search.search_user(t.chunks, t.queries, 20, postings=t.postings)
+    second = search.search_document(t.chunks, t.scoped_queries, 20, postings=t.postings)
     return fusion.better_run(first, second).select("query_id", "id", "run", "position")
 
 
@@ -185,26 +192,35 @@ def _(t):
 
 @query("txt_terms", "SELECT id, len(terms) AS n_terms, array_to_string(terms, ' ') AS terms FROM fx_terms", views=BASE)
 def _(t):
-    x = T.terms(F.col("content"))
-    return t.chunks.select("id", F.size(x).cast("long").alias("n_terms"), F.array_join(x, " ").alias("terms"))
+    x = stemming.stems(T.terms(F.col("content")))
+    return t.chunks.select("id", F.col("content")).select("id", x.alias("x")).select("id", F.size("x").cast("long").alias("n_terms"), F.array_join("x", " ").alias("terms"))
 
 
-@query("txt_match_all", """SELECT c.id, len(w.wanted) > 0 AND list_has_all(c.terms, w.wanted) AS matches
- FROM fx_terms c JOIN fx_wanted w ON w.query_id = c.document_id % (SELECT count(*) FROM fx_queries)""", views=BASE)
-def _(t):
+OWN_WANTED = {
+    **BASE,
+    "fx_pairs": """SELECT c.id, c.terms, w.wanted, q.n AS whole FROM fx_terms c JOIN (SELECT query_id % (SELECT count(*) FROM fx_queries) AS own, query_id, 1 AS n
+ FROM fx_queries UNION ALL SELECT (-1 - query_id) % (SELECT count(*) FROM fx_queries), query_id, 0 FROM fx_both_queries WHERE query_id < 0) q
+ ON q.own = c.document_id % (SELECT count(*) FROM fx_queries) JOIN fx_wanted w USING (query_id)""",
+}
+
+
+def _pairs(t):
+    """Every passage with the whole and the short question of its document's number."""
     n = t.queries.count()
-    q = t.queries.select(F.col("query_id").alias("_q"), T.query_terms(F.col("query_text")).alias("wanted"))
-    pairs = keyword.with_terms(t.chunks).withColumn("_q", F.col("document_id") % n).join(q, "_q")
-    return pairs.select("id", T.matches_all(F.col("terms"), F.col("wanted")).alias("matches"))
+    own = F.when(F.col("query_id") < 0, -1 - F.col("query_id")).otherwise(F.col("query_id")) % n
+    wanted = F.array_distinct(stemming.stems(T.terms(F.col("query_text"))))
+    q = t.both_queries.select(own.alias("_q"), wanted.alias("wanted"), (F.col("query_id") >= 0).cast("int").alias("whole"))
+    return keyword.with_terms(t.chunks).withColumn("_q", F.col("document_id") % n).join(q, "_q")
 
 
-@query("txt_rank", """SELECT c.id, len(list_filter(c.terms, lambda t: list_contains(w.wanted, t))) AS score
- FROM fx_terms c JOIN fx_wanted w ON w.query_id = c.document_id % (SELECT count(*) FROM fx_queries)""", views=BASE)
+@query("txt_match_all", "SELECT id, whole, len(wanted) > 0 AND list_has_all(terms, wanted) AS matches FROM fx_pairs", views=OWN_WANTED)
 def _(t):
-    n = t.queries.count()
-    q = t.queries.select(F.col("query_id").alias("_q"), T.query_terms(F.col("query_text")).alias("wanted"))
-    pairs = keyword.with_terms(t.chunks).withColumn("_q", F.col("document_id") % n).join(q, "_q")
-    return pairs.select("id", T.term_frequency(F.col("terms"), F.col("wanted")).cast("long").alias("score"))
+    return _pairs(t).select("id", "whole", T.matches_all(F.col("terms"), F.col("wanted")).alias("matches"))
+
+
+@query("txt_rank", "SELECT id, whole, len(list_filter(terms, lambda t: list_contains(wanted, t))) AS score FROM fx_pairs", views=OWN_WANTED)
+def _(t):
+    return _pairs(t).select("id", "whole", T.term_frequency(F.col("terms"), F.col("wanted")).cast("long").alias("score"))
 
 
 # Lookups
@@ -264,7 +280,7 @@ def _(t):
 # Selection and what is made of it
 
 def _candidates(t):
-    ranked = search.search_user(t.chunks, t.queries, 20)
+    ranked = search.search_user(t.chunks, t.queries, 20, postings=t.postings)
     return search.with_passages(ranked, t.chunks, ["embedding", "content", "page_number", "filename", "heading"])
 
 
@@ -301,7 +317,7 @@ FIRST = {**USER, "fx_sel": """SELECT t.query_id, t.position AS pick, c.* EXCLUDE
 
 
 def _selected(t):
-    few = search.search_user(t.chunks, t.queries, 12)
+    few = search.search_user(t.chunks, t.queries, 12, postings=t.postings)
     return search.with_passages(few, t.chunks, ["content", "page_number", "filename", "heading"]).withColumn("pick", F.col("position"))
 
 
@@ -337,7 +353,7 @@ def _retrieved(t):
     )
     turned = t.queries.select(F.col("conversation_id"), F.reverse("query_embedding").alias("query_embedding"))
     second = asked.join(turned, "conversation_id").select("query_id", "query_embedding")
-    return retrieval.retrieve(t.chunks, questions, second)
+    return retrieval.retrieve(t.chunks, questions, second, postings=t.postings)
 
 
 @query("pipe_retrieve")
@@ -351,7 +367,7 @@ ROUTED = {
  {PAGE} AS page, {SECTION} AS section FROM {LOWER}""",
     "fx_routed": f"""SELECT a.question_id AS query_id, a.user_id, a.talk, a.reply_key, a.page AS asked_page, s.query_embedding,
  CASE WHEN a.page IS NULL AND a.section <> '' THEN a.section END AS asked_section, s.doc_ids, CASE WHEN s.doc_ids IS NULL THEN s.doc_id END AS doc_id,
- list_distinct({TERMS_OF.format(x='a.question')}) AS wanted FROM fx_labels a JOIN fx_scoped_queries s USING (conversation_id)""",
+ list_distinct({stem_sql.stems(TERMS_OF.format(x='a.question'))}) AS wanted FROM fx_labels a JOIN fx_scoped_queries s USING (conversation_id)""",
     "fx_looked_up": f"""SELECT DISTINCT q.query_id FROM fx_routed q JOIN fx_chunks c ON {SEEN} WHERE coalesce(list_contains(c.pages, asked_page), false)
  OR (c.pages IS NULL AND c.page_number = asked_page) OR c.heading ILIKE '%' || asked_section || '%'""",
     "fx_near": f"SELECT DISTINCT q.query_id FROM fx_routed q JOIN fx_chunks c ON {SEEN} WHERE c.embedding IS NOT NULL AND q.query_embedding IS NOT NULL",

@@ -1,59 +1,221 @@
-"""Approximate nearest passages through k-means cells (inverted file, Jegou et al. 2011)."""
+"""Approximate nearest passages from a stored cell index (inverted file, Jegou et al. 2011).
+
+The index is a table in directories by cell. A row has the passage's ids, its vector, and a code:
+the difference from the cell's centre in one byte per dimension, after its scale as a float. A question is sent to the cells
+with the closest centres; the join prunes the directories to these, codes give an approximate list
+several times as long as asked for, and only the rows of that list are read with their vectors
+and ranked exactly. Cells that grow beyond a bound are split in two; cell numbers are never used
+again, so an old directory that the list of centres no longer names is simply not read.
+
+Centres are fitted on a bounded sample (``SAMPLE_ROWS`` passages; ``SPLIT_ROWS`` of a cell that is split):
+it shapes the cells, every passage with a vector is indexed.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn
-
-
-def fit_centres(chunks: DataFrame, cells: int, sample: float = 1.0, seed: int = 7) -> list[list[float]]:
-    """Cell centres. Training may read a sample: it shapes the cells, every passage is still assigned."""
-    stored = chunks.where(F.col("embedding").isNotNull()).select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
-    if sample < 1.0:
-        stored = stored.sample(sample, seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(stored)
-    return [[float(x) for x in c] for c in model.clusterCenters()]
-
-
-def _nearest_cells(spark, centres: np.ndarray, n: int):
-    shared = spark.sparkContext.broadcast(centres)  # cells x dimension, chosen by the caller
-
-    @F.pandas_udf("array<long>")
-    def assign(vectors: pd.Series) -> pd.Series:
-        unit = np.array(vectors.tolist(), dtype=np.float64)
-        order = np.argsort(-(unit @ shared.value.T), axis=1, kind="stable")[:, :n]
-        return pd.Series(list(order))
-
-    return assign
-
-
-def _unit(centres: list[list[float]]) -> np.ndarray:
-    c = np.array(centres, dtype=np.float64)
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-
-
-def with_cell(chunks: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """Passages with a vector and their cell; stored that way, partitioned by cell."""
-    assign = _nearest_cells(chunks.sparkSession, _unit(centres), 1)
-    return chunks.where(F.col("embedding").isNotNull()).withColumn("cell", F.get(assign("embedding"), 0))
-
-
-def nearest_in_cells(
-    chunks: DataFrame, queries: DataFrame, centres: list[list[float]], k: int = 20, probes: int = 4
-) -> DataFrame:
-    """Like exact search, over the ``probes`` cells closest to each question.
-
-    ``chunks`` carries its cell. Questions are sent to the passages, so a cell
-    that holds a third of all passages is still read by all its tasks.
+from ..functions.vectors import cosine_distance
+from ..session import write_table
+from ..sizing import join_sized
+from .knn import asked_scopes, key_of, kind_of, met, out_schema, packed, question_tiles
+from .toplists import top_of_lists, top_per
+
+SAMPLE_ROWS = 100_000
+SPLIT_ROWS = 4096
+CELL_ROWS = 100_000
+CENTRE_BYTES = 64 << 20  # of all centres; they go to every task
+ROWS, CENTRES = "rows", "centres"
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """A stored index: ``rows`` (cell, id, document_id, user_id, code, embedding) and the centres of its live cells."""
+
+    path: str
+    rows: DataFrame
+    numbers: np.ndarray
+    centres: np.ndarray
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+
+def fit_centres(vectors: DataFrame, cells: int, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> np.ndarray:
+    """Unit centres of ``cells`` cells, from about ``sample_rows`` of the vectors."""
+    rows = vectors.count()
+    some = vectors if rows <= sample_rows else vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(rows)) < sample_rows)
+    if cells < 2:
+        return np.zeros((1, vectors.select(F.size("embedding")).first()[0]))
+    features = some.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(features)
+    return _unit(np.array([[float(x) for x in c] for c in model.clusterCenters()]))
+
+
+def _halves(vectors: np.ndarray, seed: int = 7) -> np.ndarray | None:
+    """Two centres of a cell's vectors by two-means; none if all point the same way."""
+    unit = _unit(vectors.astype(np.float64))
+    first = unit[np.random.default_rng(seed).integers(len(unit))]
+    pair = np.stack([unit[np.argmin(unit @ first)], unit[np.argmin(unit @ unit[np.argmin(unit @ first)])]])
+    for _ in range(20):
+        near = np.argmax(unit @ pair.T, axis=1)
+        if near.min() == near.max():
+            return None
+        pair = _unit(np.stack([unit[near == i].mean(axis=0) for i in (0, 1)]))
+    return pair
+
+
+def _checked(centres: np.ndarray) -> np.ndarray:
+    if centres.nbytes > CENTRE_BYTES:
+        raise ValueError(f"{len(centres)} centres take more than {CENTRE_BYTES} bytes; use fewer cells")
+    return centres
+
+
+def _assigned(vectors: DataFrame, numbers: np.ndarray, centres: np.ndarray) -> DataFrame:
+    """Passages (id, document_id, user_id, embedding) with their cell and code."""
+    unit = _checked(centres).astype(np.float32)
+    schema = ", ".join(f"{c} {kind_of(vectors, c)}" for c in ("id", "document_id", "user_id", "embedding")) + ", cell long, code binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
+            rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+            own = np.argmax(rows @ unit.T, axis=1)
+            rest = rows - unit[own]
+            scale = np.maximum(np.abs(rest).max(axis=1), 1e-12).astype("<f4")[:, None]
+            code = np.hstack([scale.view(np.uint8), np.rint(rest / scale * 127).astype(np.int8).view(np.uint8)])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(numbers[own]), pa.array([c.tobytes() for c in code], pa.binary())],
+                names=["id", "document_id", "user_id", "embedding", "cell", "code"],
+            )
+
+    return vectors.select("id", "document_id", "user_id", "embedding").mapInArrow(run, schema)
+
+
+def _write_rows(rows: DataFrame, path: str) -> None:
+    even = rows.hint("rebalance", F.col("cell")).sortWithinPartitions("cell", "user_id", "document_id")
+    even.write.mode("append").partitionBy("cell").parquet(f"{path}/{ROWS}")
+
+
+def _write_centres(spark: SparkSession, path: str, numbers: np.ndarray, centres: np.ndarray, version: int) -> None:
+    rows = [(int(n), [float(x) for x in c]) for n, c in zip(numbers, centres)]
+    spark.createDataFrame(rows, "cell long, centre array<double>").coalesce(1).write.parquet(f"{path}/{CENTRES}/version={version}")
+
+
+def read_index(spark: SparkSession, path: str) -> CellIndex:
+    listed = spark.read.parquet(f"{path}/{CENTRES}")
+    last = listed.agg(F.max("version")).first()[0]
+    held = listed.where(F.col("version") == last).orderBy("cell").collect()  # bounded by CENTRE_BYTES
+    return CellIndex(path, spark.read.parquet(f"{path}/{ROWS}"), np.array([r.cell for r in held]), np.array([r.centre for r in held]))
+
+
+def _split(spark: SparkSession, path: str, cell_rows: int) -> CellIndex:
+    """Split cells with more than ``cell_rows`` rows, again and again; only their rows are written anew."""
+    stuck: set[int] = set()
+    while True:
+        index = read_index(spark, path)
+        live = index.rows.where(F.col("cell").isin([int(n) for n in index.numbers]))
+        full = [r.cell for r in live.groupBy("cell").count().where(F.col("count") > cell_rows).collect() if r.cell not in stuck]
+        if not full:
+            return index
+        number = int(spark.read.parquet(f"{path}/{CENTRES}").agg(F.max("cell")).first()[0])
+        version = int(spark.read.parquet(f"{path}/{CENTRES}").agg(F.max("version")).first()[0])
+        some = live.where(F.col("cell").isin(full))
+        sample = top_per(some.select("cell", "embedding", F.xxhash64("id").alias("h")), ["cell"], [F.col("h")], SPLIT_ROWS).select("cell", "embedding")
+        numbers, centres, split = index.numbers, index.centres, []
+        for cell in full:
+            held = np.array([r.embedding for r in sample.where(F.col("cell") == cell).collect()])
+            pair = _halves(held)
+            if pair is None:
+                stuck.add(cell)
+                continue
+            made = np.array([number + 1, number + 2])
+            number += 2
+            _write_rows(_assigned(some.where(F.col("cell") == cell), made, pair), path)
+            keep = numbers != cell
+            numbers, centres = np.concatenate([numbers[keep], made]), np.concatenate([centres[keep], pair])
+            split.append(cell)
+        if split:
+            _write_centres(spark, path, numbers, centres, version + 1)
+
+
+def _indexable(chunks: DataFrame, size: int | None = None) -> DataFrame:
+    rows = chunks.select("id", "document_id", "user_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("embedding").isNotNull())
+    return rows if size is None else rows.where(F.size("embedding") == size)
+
+
+def write_index(chunks: DataFrame, path: str, cells: int, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS) -> CellIndex:
+    """Index all passages with a vector in an empty folder; vectors have one length."""
+    spark, rows = chunks.sparkSession, _indexable(chunks)
+    centres = fit_centres(rows, cells, sample_rows)
+    numbers = np.arange(len(centres))
+    _write_rows(_assigned(rows, numbers, centres), path)
+    _write_centres(spark, path, numbers, centres, 0)
+    return _split(spark, path, cell_rows)
+
+
+def append_index(chunks: DataFrame, path: str, cell_rows: int = CELL_ROWS) -> CellIndex:
+    """Add passages to the cells of a stored index and split what has grown too large."""
+    spark = chunks.sparkSession
+    index = read_index(spark, path)
+    _write_rows(_assigned(_indexable(chunks, index.centres.shape[1]), index.numbers, index.centres), path)
+    return _split(spark, path, cell_rows)
+
+
+def probed(index: CellIndex, asked: DataFrame, probes: int) -> DataFrame:
+    """Questions with each of the ``probes`` cells whose centres are closest."""
+    unit, numbers = _checked(index.centres), index.numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = np.array(batch.column(1).to_pylist(), np.float64)
+                order = np.argsort(-(vectors @ unit.T), axis=1, kind="stable")[:, :probes]
+                found = pa.array(numbers[order].tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["query_id", "cells"])
+
+    cells = asked.select("query_id", "query_embedding").mapInArrow(run, f"query_id {kind_of(asked, 'query_id')}, cells array<long>")
+    return asked.join(cells.dropDuplicates(["query_id"]), "query_id").select("*", F.explode("cells").alias("cell")).drop("cells").withColumn("cell", F.col("cell").cast(kind_of(index.rows, "cell")))
+
+
+def nearest_stored(index: CellIndex, queries: DataFrame, k: int = 20, probes: int = 8, refine: int = 4) -> DataFrame:
+    """Like exact search, over the ``probes`` closest cells of each question: (query_id, id, document_id, distance, rank).
+
+    ``refine`` times ``k`` rows of the approximate list are ranked by their vectors.
     """
-    probe = _nearest_cells(queries.sparkSession, _unit(centres), probes)
-    asked = queries.where(F.col("query_embedding").isNotNull()).withColumn("cells", probe("query_embedding"))
-    return knn.nearest(chunks, asked, k)
+    asked = write_table(probed(index, asked_scopes(queries, kind_of(index.rows, "document_id"))[0], probes), "probed-cells")
+    asked = asked.where(F.col("cell") >= 0)  # holds for all; Spark prunes directories by a side that has a condition
+    key = key_of("cell", "user_id")
+    tiles = question_tiles(asked.select(key.alias("key"), "query_id", "query_embedding", "doc_ids"))
+    wanted = asked.select("cell", "user_id", key.alias("key")).distinct()
+    spread = F.xxhash64("id")
+    coded = join_sized(index.rows.select("cell", "user_id", "document_id", "id", "code"), wanted, ["cell", "user_id"], spread=spread)
+    place = {int(n): i for i, n in enumerate(index.numbers)}
+    unit = index.centres.astype(np.float32)
+
+    def decode(name: str, data: bytes, many: int) -> np.ndarray:
+        held = np.frombuffer(data, np.uint8).reshape(many, -1)
+        scale, code = (np.ascontiguousarray(x) for x in (held[:, :4], held[:, 4:]))
+        return unit[place[json.loads(name)["cell"]]] + code.view(np.int8).astype(np.float32) * (scale.view("<f4") / 127)
+
+    schema = out_schema(index.rows, queries)
+    near = met(packed(coded, ["key"], "code"), tiles, schema, refine * k, decode)
+    few = top_of_lists(near, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], refine * k, "approximate")
+    few = write_table(few.select("query_id", "id"), "approximate-list")
+    cells = asked.select("query_id", "user_id", "cell", "query_embedding")
+    listed = few.join(cells, "query_id").select("cell", "user_id", "id", "query_id", "query_embedding")
+    exact = join_sized(index.rows.select("cell", "user_id", "id", "document_id", "embedding"), listed, ["cell", "user_id", "id"], spread=spread)
+    ranked = exact.select("query_id", "id", "document_id", cosine_distance(F.col("embedding"), F.col("query_embedding")).alias("distance"))
+    return top_per(ranked.where("distance IS NOT NULL"), ["query_id"], [F.col("distance").asc(), F.col("id").asc()], k)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import keyword, knn
+from ..session import write_table
+from . import cells, keyword, knn, postings as stored_postings
 from .toplists import top_per
 
 DAMPING = 60
@@ -37,14 +42,22 @@ def hybrid_search(
     match_count: int = 10,
     list_size: int = 20,
     damping: int = DAMPING,
+    postings: stored_postings.Postings | None = None,
+    index: cells.CellIndex | None = None,
+    stem: bool = True,
 ) -> DataFrame:
     """Fused vector and keyword search of a question batch.
 
     ``queries``: query_id, user_id, query_text, query_embedding and optionally
     doc_ids; NULL doc_ids means all documents of the user, one id one document.
+    Stored ``postings`` take the place of the passages' text, a stored cell ``index`` that of the exact vector list.
     """
-    vector_list = knn.nearest(chunks, queries, list_size)
-    keyword_list = keyword.ranked(chunks, queries, list_size)
+    asked = write_table(queries, "asked")
+    near = partial(knn.nearest, chunks) if index is None else partial(cells.nearest_stored, index)
+    named = partial(keyword.ranked, chunks if postings is None else postings)
+    with ThreadPoolExecutor(2) as pool:  # the small jobs that plan either list run side by side
+        lists = [pool.submit(inheritable_thread_target(asked.sparkSession)(f), asked, list_size, *more) for f, more in ((near, ()), (named, (stem,)))]
+        vector_list, keyword_list = (x.result() for x in lists)
     return best_fused(fuse(vector_list, keyword_list, damping), match_count)
 
 

@@ -1,9 +1,9 @@
 """Passages that hold every term of a question.
 
-Each question is looked up by one of its terms, so a passage meets a question at
-most once and no counting per (question, passage) pair is needed. The other
-terms are checked on the spot. With a small question batch the passages are not
-shuffled at all.
+Passages with stored postings are met through these (:mod:`.postings`). Without, each
+question is looked up by one of its terms in the passages themselves, so a passage meets
+a question at most once, and the other terms are checked on the spot; user and documents
+are compared before the terms are dealt out.
 """
 
 from __future__ import annotations
@@ -11,38 +11,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stemming import stemmed
+from ..functions.stems import stems
 from ..functions.terms import anchor_term, matches_all, query_terms, term_frequency, terms
 from ..sizing import join_sized
+from . import postings
 from .toplists import top_per
 
 
-def with_terms(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """Passages with their terms; computed once at ingest and stored. Stored terms are taken as they are."""
-    if "terms" in chunks.columns:
-        return chunks
-    found = terms(F.col("content"))
-    return chunks.withColumn("terms", stemmed(found) if stem else found)
+def with_terms(chunks: DataFrame, stem: bool = True) -> DataFrame:
+    """Passages with their terms. Terms that were stored with a passage are its words; stems are made of them."""
+    words = F.col("terms") if "terms" in chunks.columns else terms(F.col("content"))
+    return chunks.withColumn("terms", stems(words) if stem else words)
 
 
-def anchored(queries: DataFrame, stem: bool = False) -> DataFrame:
+def anchored(queries: DataFrame, stem: bool = True) -> DataFrame:
     found = query_terms(F.col("query_text"))
     if stem:
-        found = F.array_sort(F.array_distinct(stemmed(found)))
+        found = F.array_sort(F.array_distinct(stems(found)))
     wanted = queries.withColumn("wanted", found)
     keep = ["query_id", F.col("user_id").alias("_user"), "wanted", anchor_term(F.col("wanted")).alias("term")]
     keep.append(F.col("doc_ids") if "doc_ids" in queries.columns else F.lit(None).cast("array<long>").alias("doc_ids"))
     return wanted.select(*keep).where(F.col("term").isNotNull())
 
 
-def matching(chunks: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+def matching(chunks: DataFrame | postings.Postings, queries: DataFrame, stem: bool = True) -> DataFrame:
     """All (question, passage) matches with their score, the number of term occurrences.
 
-    With ``stem`` both sides are reduced to stems; stored terms must then be stems.
+    ``chunks``: passages, or their stored postings, whose kind of term must be the one asked for.
     """
-    stored = with_terms(chunks, stem).select("id", "document_id", "user_id", "terms")
+    if isinstance(chunks, postings.Postings):
+        if chunks.stemmed != stem:
+            raise ValueError(f"the stored postings hold {'stems' if chunks.stemmed else 'words'}")
+        return postings.matching(chunks, queries)
+    asked = anchored(queries, stem)
+    users = asked.select(F.col("_user").alias("user_id")).distinct()
+    stored = join_sized(with_terms(chunks, stem).select("id", "document_id", "user_id", "terms"), users, ["user_id"], "left_semi", spread=F.xxhash64("id"))
     by_term = stored.withColumn("term", F.explode(F.array_distinct("terms")))
-    met = join_sized(by_term, anchored(queries, stem), ["term"], spread=F.xxhash64("id"))
+    met = join_sized(by_term, asked, ["term"], spread=F.xxhash64("id"))
     scope = F.col("doc_ids").cast(f"array<{chunks.schema['document_id'].dataType.simpleString()}>")
     visible = (F.col("user_id") == F.col("_user")) & (scope.isNull() | F.array_contains(scope, F.col("document_id")))
     return met.where(visible & matches_all(F.col("terms"), F.col("wanted"))).select(
@@ -51,39 +56,7 @@ def matching(chunks: DataFrame, queries: DataFrame, stem: bool = False) -> DataF
     )
 
 
-def ranked(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: bool = False) -> DataFrame:
+def ranked(chunks: DataFrame | postings.Postings, queries: DataFrame, k: int = 20, stem: bool = True) -> DataFrame:
     """The ``k`` best matches of every question by score, ties by id."""
     order = [F.col("score").desc_nulls_last(), F.col("id").asc()]
     return top_per(matching(chunks, queries, stem), ["query_id"], order, k)
-
-
-def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of every match (Robertson et al. 1994), for callers who want graded scores.
-
-    Corpus figures are taken per user over the whole passage table: passages,
-    mean length, and the document frequency of the question terms alone.
-    """
-    stored = with_terms(chunks).select("id", "document_id", "user_id", "terms")
-    corpus = stored.groupBy("user_id").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    asked = anchored(queries)
-    pairs = asked.select("query_id", F.col("_user").alias("user_id"), F.explode("wanted").alias("term"))
-    present = stored.select("user_id", F.explode(F.array_distinct("terms")).alias("term"))
-    df = join_sized(
-        present, pairs.select("user_id", "term").distinct(), ["user_id", "term"], "left_semi"
-    ).groupBy("user_id", "term").agg(F.count("*").alias("df"))
-    weights = pairs.join(df, ["user_id", "term"]).join(corpus, "user_id").groupBy("query_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        ))).alias("idf"),
-        F.first("avg_len").alias("avg_len"),
-    )
-    hits = join_sized(matching(chunks, queries), weights, ["query_id"], spread=F.xxhash64("id"))
-    scored = hits.join(stored.select("id", "terms"), "id")
-
-    def part(t):
-        tf = F.size(F.filter(F.col("terms"), lambda x: x == t)).cast("double")
-        length = F.lit(1 - b) + F.lit(b) * F.size("terms") / F.col("avg_len")
-        return F.element_at(F.col("idf"), t) * tf * (k1 + 1) / (tf + F.lit(k1) * length)
-
-    total = F.aggregate(F.transform(F.map_keys("idf"), part), F.lit(0.0), lambda a, v: a + v)
-    return scored.select("query_id", "id", "document_id", total.alias("score"))

@@ -1,27 +1,30 @@
 """Nearest passages of a batch of question vectors.
 
-Exact search never shuffles the passages. The question batch is measured; up to
-a byte bound it is sent to the executors once, above it the batch is cut into
-blocks and the passages are scanned once per block. Each task multiplies its
-passages with the questions of the same tenant (or document), keeps the best
-``k`` per question, and only those rows are shuffled for the final ranking.
+Passages are scanned once, however many questions there are, and their rows are never shuffled. Each
+Arrow batch is packed into tiles of one tenant (or one document, for questions over some
+documents), the questions are packed into tiles of the same tenant or document, and tiles meet
+in a join whose small side is measured: broadcast, or shuffled as whole tiles beyond the bound. A pair
+of tiles is one matrix product of a fixed size; only the best ``k`` rows per question leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sizing import measure
+from ..session import write_table
+from ..sizing import BROADCAST_BYTES, join_sized
 from .toplists import top_of_lists
 
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-PUSHED_IDS = 5000
+QUESTION_TILE = 512
+PASSAGE_TILE = 4096
+BATCH_BYTES = 16 << 20  # tiles that a task holds at once
 
 
 def _ordered_sum(products: np.ndarray) -> np.ndarray:
@@ -35,190 +38,179 @@ def _distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return 1.0 - _ordered_sum(rows * query[None, :]) / scale
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    """Ids as numbers or as fixed-width text, which sort like the column."""
-    if pa.types.is_integer(column.type):
-        return column.to_numpy(zero_copy_only=False)
-    return np.array(column.to_pylist(), dtype=str)
+def kind_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
 
 def out_schema(chunks: DataFrame, queries: DataFrame) -> str:
-    kind = lambda df, name: df.schema[name].dataType.simpleString()
-    return (
-        f"query_id {kind(queries, 'query_id')}, id {kind(chunks, 'id')}, document_id {kind(chunks, 'document_id')}, distance double"
-    )
-
-
-def _batch(rows) -> dict:
-    """The questions of one block as plain arrays, grouped by the passages they may meet."""
-    vectors = np.array([r["query_embedding"] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    norms[norms == 0] = 1.0
-    out = {
-        "ids": np.array([r["query_id"] for r in rows]),
-        "users": [r["user_id"] for r in rows],
-        "vectors": vectors,
-        "unit": (vectors / norms).astype(np.float32),
-        "doc_sets": [None if r["doc_ids"] is None else set(r["doc_ids"]) for r in rows],
-        "by_user": {}, "by_document": {}, "by_cell": {},
-    }
-    for i, row in enumerate(rows):
-        if row["cells"] is not None:
-            for cell in row["cells"]:
-                out["by_cell"].setdefault(cell, []).append(i)
-        elif row["doc_ids"] is None:
-            out["by_user"].setdefault(row["user_id"], []).append(i)
-        else:
-            for doc in set(row["doc_ids"]):
-                out["by_document"].setdefault((row["user_id"], doc), []).append(i)
-    return out
-
-
-def _meet(best: dict, batch: dict, members: list[int], vectors, ids, docs, k: int) -> None:
-    """Offer one group of passages to the questions that may see it."""
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    live = norms[:, 0] > 0
-    if not live.all():
-        vectors, ids, docs, norms = vectors[live], ids[live], docs[live], norms[live]
-    if not len(ids):
-        return
-    near = batch["unit"][members] @ (vectors / norms).astype(np.float32).T
-    # Single precision finds the candidates; the margin covers its rounding, double precision decides.
-    margin = 4.0e-7 * (vectors.shape[1] + 8)
-    for row, member in enumerate(members):
-        score = near[row]
-        held = best.get(member)
-        floor = -np.inf
-        if len(score) > k:
-            floor = np.partition(score, len(score) - k)[len(score) - k]
-        if held is not None and len(held[0]) >= k:
-            floor = max(floor, 1.0 - held[0][-1])
-        picked = np.flatnonzero(score >= floor - margin)
-        if not len(picked):
-            continue
-        dist = _distances(vectors[picked], batch["vectors"][member])
-        pid, pdoc = ids[picked], docs[picked]
-        if held is not None:
-            dist = np.concatenate([held[0], dist])
-            pid = np.concatenate([held[1], pid])
-            pdoc = np.concatenate([held[2], pdoc])
-        order = np.lexsort((pid, dist))[:k]
-        best[member] = (dist[order], pid[order], pdoc[order])
-
-
-def _groups(keys: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    for start, stop in zip(edges, np.r_[edges[1:], len(ordered)]):
-        yield ordered[start], order[start:stop]
-
-
-def _scan(shared, k: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = shared.value
-        best: dict = {}
-        for part in parts:
-            if part.num_rows == 0:
-                continue
-            # All vectors have the dimension of the questions, so their values form one block.
-            vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = vectors.reshape(part.num_rows, -1).astype(np.float64)
-            ids, docs, users = (_values(part.column(name)) for name in ("id", "document_id", "user_id"))
-            if batch["by_cell"]:
-                cells = part.column("cell").to_numpy(zero_copy_only=False)
-                for cell, rows in _groups(cells):
-                    for user, inner in _groups(users[rows]):
-                        pick = rows[inner]
-                        open_to, limited = [], []
-                        for m in batch["by_cell"].get(cell, ()):
-                            if batch["users"][m] == user:
-                                (open_to if batch["doc_sets"][m] is None else limited).append(m)
-                        if open_to:
-                            _meet(best, batch, open_to, vectors[pick], ids[pick], docs[pick], k)
-                        for m in limited:
-                            ok = pick[np.isin(docs[pick], list(batch["doc_sets"][m]))]
-                            if len(ok):
-                                _meet(best, batch, [m], vectors[ok], ids[ok], docs[ok], k)
-                continue
-            for user, rows in _groups(users):
-                members = batch["by_user"].get(user)
-                if members:
-                    _meet(best, batch, members, vectors[rows], ids[rows], docs[rows], k)
-            if batch["by_document"]:
-                for doc, rows in _groups(docs):
-                    for user, inner in _groups(users[rows]):
-                        members = batch["by_document"].get((user, doc))
-                        if members:
-                            pick = rows[inner]
-                            _meet(best, batch, members, vectors[pick], ids[pick], docs[pick], k)
-        if not best:
-            return
-        members = list(best)
-        sizes = [len(best[m][0]) for m in members]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(batch["ids"][members], sizes).tolist()),
-                pa.array(np.concatenate([best[m][1] for m in members]).tolist()),
-                pa.array(np.concatenate([best[m][2] for m in members]).tolist()),
-                pa.array(np.concatenate([best[m][0] for m in members]).astype(np.float64)),
-            ],
-            names=["query_id", "id", "document_id", "distance"],
-        )
-
-    return run
-
-
-def _one_block(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.collect()  # one block, its size was checked by the caller
-    schema = out_schema(chunks, queries)
-    if not rows:
-        return chunks.sparkSession.createDataFrame([], schema)
-    scoped = [r for r in rows if r["doc_ids"] is not None]
-    wanted = {d for r in scoped for d in r["doc_ids"]}
-    if len(scoped) == len(rows) and len(wanted) <= PUSHED_IDS:
-        chunks = chunks.where(F.col("document_id").isin(*wanted) if wanted else F.lit(False))
-    chunks = chunks.where(F.size("embedding") == len(rows[0]["query_embedding"]))
-    users = {r["user_id"] for r in rows}
-    if len(users) <= PUSHED_IDS:
-        chunks = chunks.where(F.col("user_id").isin(*users))
-    probed = {c for r in rows for c in (r["cells"] or [])}
-    if probed and len(probed) <= PUSHED_IDS:
-        chunks = chunks.where(F.col("cell").isin(*probed))
-    shared = chunks.sparkSession.sparkContext.broadcast(_batch(rows))
-    return chunks.mapInArrow(_scan(shared, k), schema)
-
-
-def nearest(
-    chunks: DataFrame, queries: DataFrame, k: int = 20, block_bytes: int = QUERY_BLOCK_BYTES
-) -> DataFrame:
-    """The ``k`` nearest passages of every question: (query_id, id, document_id, distance, rank).
+    return f"query_id {kind_of(queries, 'query_id')}, id {kind_of(chunks, 'id')}, document_id {kind_of(chunks, 'document_id')}, distance double"
+
+
+def _smaller_batches(df: DataFrame) -> None:
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "64MB", "67108864"):
+        conf.set(key, f"{BATCH_BYTES}b")
+
+
+def _as_bytes(column: pa.Array) -> tuple[np.ndarray, int]:
+    """Rows of equally long vectors (floats, or codes of one length) as a matrix of bytes per row."""
+    rows = len(column)
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        return values.reshape(rows, -1).view(np.uint8), values.itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, -1), 1
+
 
-    ``chunks``: id, document_id, user_id, embedding and, for cell search, cell.
-    ``queries``: query_id, user_id, query_embedding, doc_ids (NULL: all documents of
-    the user) and, for cell search, cells. Ids may be numbers or text. Passages without a
-    vector, or with one of another length than the questions', are left out.
+def packed(passages: DataFrame, keys: list[str], payload: str = "embedding", size: int = PASSAGE_TILE) -> DataFrame:
+    """Tiles (key, ids, docs, data) of passages with equal keys in one Arrow batch; a row goes to a tile for each of its ``keys`` that is not null.
+
+    ``data`` holds the payloads (vectors as floats, or codes) one after the other; rows with equal keys have payloads of one length.
     """
+    _smaller_batches(passages)
+    schema = f"key string, ids array<{kind_of(passages, 'id')}>, docs array<{kind_of(passages, 'document_id')}>, data binary"
+    columns = [*keys, "id", "document_id", payload]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in keys:
+                part = batch.filter(batch.column(name).is_valid())
+                if not part.num_rows:
+                    continue
+                coded = part.column(name).dictionary_encode()
+                codes = coded.indices.to_numpy()
+                order = np.argsort(codes, kind="stable")
+                part, codes = part.take(pa.array(order)), codes[order]
+                edges = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
+                tiles = [(a, min(a + size, stop)) for start, stop in zip(edges, edges[1:]) for a in range(start, stop, size)]
+                names = coded.dictionary.to_pylist()
+                data = []
+                for a, b in tiles:
+                    data.append(_as_bytes(part.column(payload).slice(a, b - a))[0].tobytes())
+                offsets = pa.array([0, *(b for _, b in tiles)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[codes[a]] for a, _ in tiles], pa.string()),
+                        pa.ListArray.from_arrays(offsets, part.column("id")),
+                        pa.ListArray.from_arrays(offsets, part.column("document_id")),
+                        pa.array(data, pa.binary()),
+                    ],
+                    names=["key", "ids", "docs", "data"],
+                )
+
+    return passages.select(*columns).mapInArrow(run, schema)
+
+
+def question_tiles(questions: DataFrame, size: int = QUESTION_TILE) -> DataFrame:
+    """Tiles (key, part, questions) of questions (key, query_id, query_embedding, doc_ids) with equal keys."""
+    many = questions.groupBy("key").agg(F.ceil(F.count("*") / size).alias("parts"))
+    part = F.pmod(F.xxhash64("query_id"), F.col("parts"))
+    row = F.struct("query_id", F.col("query_embedding").cast("array<float>").alias("vector"), "doc_ids")
+    return questions.join(many, "key").withColumn("part", part).groupBy("key", "part").agg(F.collect_list(row).alias("questions"))
+
+
+def _best_of(score: np.ndarray, k: int, margin: float) -> list[np.ndarray]:
+    """Per question the passages that may be among its ``k`` best; scores are single precision."""
+    if score.shape[1] <= k:
+        return [np.arange(score.shape[1])] * len(score)
+    floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    return [np.flatnonzero(row >= f - margin) for row, f in zip(score, floor)]
+
+
+Decode = Callable[[str, bytes, int], np.ndarray]
+
+
+def floats(key: str, data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(rows, -1)
+
+
+def met(tiles: DataFrame, questions: DataFrame, schema: str, k: int, decode: Decode = floats, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, id, document_id, distance): the best ``k`` of every pair of tiles."""
+    pairs = join_sized(tiles, questions, ["key"], spread=F.xxhash64("ids"), max_bytes=max_bytes).select("key", "ids", "docs", "data", "questions")
+
+    def one(key: str, ids: pa.Array, docs: pa.Array, data: bytes, asked: pa.Array):
+        rows = decode(key, data, len(ids)).astype(np.float64)
+        norms = np.linalg.norm(rows, axis=1)
+        live = np.flatnonzero(norms > 0)
+        if not len(live):
+            return None
+        rows, ids, docs = rows[live], ids.take(pa.array(live)), docs.take(pa.array(live))
+        unit = (rows / norms[live, None]).astype(np.float32)
+        order_by = np.empty(len(ids), np.int64)  # ids rank like the column, numbers or text
+        order_by[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        vectors = asked.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1).astype(np.float64)
+        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+        lengths[lengths == 0] = 1.0
+        score = (vectors / lengths).astype(np.float32) @ unit.T
+        scopes = asked.field("doc_ids")
+        if scopes.null_count < len(scopes):
+            for i, scope in enumerate(scopes):
+                if scope.is_valid:
+                    score[i, ~pc.is_in(docs, value_set=scope.values.cast(docs.type)).to_numpy(zero_copy_only=False)] = -np.inf
+        # single precision finds the candidates; the margin covers its rounding, double precision decides
+        margin = 4.0e-7 * (rows.shape[1] + 8)
+        which, picks, dists = [], [], []
+        for i, at in enumerate(_best_of(score, k, margin)):
+            at = at[score[i, at] > -np.inf]
+            dist = _distances(rows[at], vectors[i])
+            keep = np.lexsort((order_by[at], dist))[:k]
+            which.append(np.full(len(keep), i))
+            picks.append(at[keep])
+            dists.append(dist[keep])
+        which, picks = np.concatenate(which), pa.array(np.concatenate(picks))
+        return [asked.field("query_id").take(pa.array(which)), ids.take(picks), docs.take(picks), pa.array(np.concatenate(dists))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, ids, docs, data, asked = batch.columns
+            for i in range(batch.num_rows):
+                made = one(key[i].as_py(), ids[i].values, docs[i].values, data[i].as_py(), asked[i].values)
+                if made:
+                    yield pa.RecordBatch.from_arrays(made, names=["query_id", "id", "document_id", "distance"])
+
+    _smaller_batches(tiles)
+    return pairs.mapInArrow(run, schema)
+
+
+def key_of(*parts) -> Column:
+    return F.to_json(F.struct(*parts))
+
+
+def asked_scopes(queries: DataFrame, document_kind: str) -> tuple[DataFrame, int, int]:
+    """Questions with a vector, their ``doc_ids`` and the ``size`` of the vector, which is the same in all; how many have no documents, and how many do."""
     if "doc_ids" not in queries.columns:
-        queries = queries.withColumn("doc_ids", F.lit(None).cast(f"array<{chunks.schema['document_id'].dataType.simpleString()}>"))
-    if "cells" not in queries.columns:
-        queries = queries.withColumn("cells", F.lit(None).cast("array<long>"))
-    queries = queries.select("query_id", "user_id", "query_embedding", "doc_ids", "cells").where(
-        F.col("query_embedding").isNotNull()
-    )
-    columns = ["id", "document_id", "user_id", "embedding"] + (["cell"] if "cell" in chunks.columns else [])
-    stored = chunks.select(*columns).where(F.col("embedding").isNotNull())
-    lengths = sorted(r[0] for r in queries.select(F.size("query_embedding")).distinct().limit(3).collect())
-    if len(lengths) > 1:  # over the whole batch, however it is cut into blocks
-        raise ValueError(f"questions have vectors of different lengths: {lengths}")
-    _, size = measure(queries)
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    if blocks == 1:
-        found = _one_block(stored, queries, k)
-    else:
-        found = reduce(DataFrame.unionByName, [
-            _one_block(stored, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k)
-            for b in range(blocks)
-        ])
-    order = [F.col("distance").asc_nulls_last(), F.col("id").asc()]
-    return top_of_lists(found, ["query_id"], order, k)
+        queries = queries.withColumn("doc_ids", F.lit(None))
+    asked = queries.where(F.col("query_embedding").isNotNull())
+    asked = asked.select("query_id", "user_id", "query_embedding", F.col("doc_ids").cast(f"array<{document_kind}>").alias("doc_ids"), F.size("query_embedding").alias("size"))
+    asked = write_table(asked, "asked-vectors")  # read several times: sizes, scopes, tiles
+    few = asked.agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("all"), F.count("doc_ids").alias("scoped")).first()
+    if few.least != few.most:
+        raise ValueError(f"questions have vectors of different lengths: {[few.least, few.most]}")
+    return asked, few["all"] - few.scoped, few.scoped
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int = 20, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The ``k`` nearest passages of every question: (query_id, id, document_id, distance, rank).
+
+    ``chunks``: id, document_id, user_id, embedding. ``queries``: query_id, user_id, query_embedding, doc_ids (NULL: all
+    documents of the user). Ids may be numbers or text. Passages without a vector, or with one of another length
+    than the questions', are left out.
+    """
+    asked, n_open, n_scoped = asked_scopes(queries, kind_of(chunks, "document_id"))
+    stored = chunks.select("id", "document_id", "user_id", "embedding", F.size("embedding").alias("size")).where(F.col("embedding").isNotNull())
+    spread, keys, parts = F.xxhash64("id"), [], []
+    none = F.lit(None).cast(asked.schema["doc_ids"].dataType).alias("doc_ids")
+    for name, many, on in (("open", n_open, ["user_id", "size"]), ("limited", n_scoped, ["user_id", "size", "document_id"])):
+        if not many and (n_open or n_scoped or name == "limited"):
+            continue
+        some = asked.where("doc_ids IS NULL")
+        if name == "limited":
+            some = asked.where("doc_ids IS NOT NULL").withColumn("document_id", F.explode(F.array_distinct("doc_ids")))
+        some = some.withColumn("key", key_of(*on))
+        parts.append(some.select("key", "query_id", "query_embedding", none))
+        how = "left" if n_open and n_scoped else "inner"
+        stored = join_sized(stored, some.select(*on, F.col("key").alias(name)).distinct(), on, how, spread=spread, max_bytes=max_bytes)
+        keys.append(name)
+    tiles = question_tiles(reduce(DataFrame.unionByName, parts))
+    live = reduce(lambda a, b: a | b, [F.col(name).isNotNull() for name in keys])
+    found = met(packed(stored.where(live), keys), tiles, out_schema(chunks, queries), k, max_bytes=max_bytes)
+    return top_of_lists(found, ["query_id"], [F.col("distance").asc_nulls_last(), F.col("id").asc()], k)

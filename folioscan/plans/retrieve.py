@@ -39,7 +39,7 @@ def labelled_questions(queries: DataFrame) -> DataFrame:
 
 def retrieve(
     chunks: DataFrame, queries: DataFrame, second_pass: DataFrame | None = None,
-    match_count: int = 20, min_useful: float = 0.005, weak: float = 0.02,
+    match_count: int = 20, min_useful: float = 0.005, weak: float = 0.02, **stores,
 ) -> Retrieval:
     """Route, search or look up, and diversify a batch of questions.
 
@@ -47,6 +47,7 @@ def retrieve(
     n_docs. ``second_pass`` (query_id, query_embedding) holds the vectors of
     hypothetical answers (Gao et al. 2022); it is tried for questions over at
     most one document whose best score is weak, and kept where it scores higher.
+    ``stores``: postings and index, see :func:`hybrid_search`.
     """
     asked = write_table(labelled_questions(queries), "questions")
     real = asked.where(F.col("class") != "conversational")
@@ -56,14 +57,14 @@ def retrieve(
     )
     columns = ["query_id", "id", "document_id", "rrf_score", "position"]
     found = lookup.by_page(chunks, by_lookup).unionByName(lookup.by_section(chunks, by_lookup)).select(*columns)
-    first = write_table(fusion.hybrid_search(chunks, by_search, match_count).select(*columns), "first-pass")
+    first = write_table(fusion.hybrid_search(chunks, by_search, match_count, **stores).select(*columns), "first-pass")
     routes = fusion.top_scores(first, min_useful, weak)
     kept = first.join(routes.where(F.col("route") != "direct_fallback"), "query_id", "left_semi")
     if second_pass is not None:
         again = by_search.where(F.col("n_docs") <= 1).join(
             routes.where(F.col("route") == "second_pass"), "query_id", "left_semi"
         ).drop("query_embedding").join(second_pass.select("query_id", "query_embedding"), "query_id")
-        second = write_table(fusion.hybrid_search(chunks, again, match_count).select(*columns), "second-pass")
+        second = write_table(fusion.hybrid_search(chunks, again, match_count, **stores).select(*columns), "second-pass")
         kept = fusion.better_run(kept, second).drop("run")
     with_vectors = with_passages(found.unionByName(kept), chunks, ["embedding", "content", "page_number", "filename", "heading"])
     body = write_table(with_vectors, "candidate-passages")

@@ -10,19 +10,19 @@ from ..session import write_table
 from ..sizing import join_sized
 
 
-def search_user(chunks: DataFrame, queries: DataFrame, match_count: int = 10) -> DataFrame:
-    """All documents of the asking user."""
-    return hybrid_search(chunks, queries.drop("doc_ids"), match_count)
+def search_user(chunks: DataFrame, queries: DataFrame, match_count: int = 10, **stores) -> DataFrame:
+    """All documents of the asking user. ``stores``: postings and index, see :func:`hybrid_search`."""
+    return hybrid_search(chunks, queries.drop("doc_ids"), match_count, **stores)
 
 
-def search_document(chunks: DataFrame, queries: DataFrame, match_count: int = 10) -> DataFrame:
+def search_document(chunks: DataFrame, queries: DataFrame, match_count: int = 10, **stores) -> DataFrame:
     """One document per question (column doc_id)."""
-    return hybrid_search(chunks, queries.withColumn("doc_ids", F.array("doc_id")), match_count)
+    return hybrid_search(chunks, queries.withColumn("doc_ids", F.array("doc_id")), match_count, **stores)
 
 
-def search_set(chunks: DataFrame, queries: DataFrame, match_count: int = 10) -> DataFrame:
-    """A document set per question (column doc_ids)."""
-    return hybrid_search(chunks, queries.where(F.col("doc_ids").isNotNull()), match_count)
+def search_set(chunks: DataFrame, queries: DataFrame, match_count: int = 10, **stores) -> DataFrame:
+    """A document set per question (column doc_ids); a question without a set is asked over all documents of its user."""
+    return hybrid_search(chunks, queries, match_count, **stores)
 
 
 def with_passages(ranked: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,6 +11,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.cells import CellIndex, write_index
+from .operators.postings import Postings, read_postings, write_postings
+from .session import fresh_path
+
 PREFIXES = (
     "hi", "thanks", "what is on page 4 of", "explain pg. #12", "what does chapter 2 say", "see section 3",
     "part of the", "summarise my document", "define ", "how many", "ok", "why does it", "good night",
@@ -177,18 +181,36 @@ class Tables:
             (F.lit(1.0) / (F.lit(61.0) + F.col("chunk_index"))).alias("rrf_score"),
         )
 
+    @cached_property
+    def postings(self) -> Postings:
+        """Stored postings of all passages, written once for the session."""
+        path = fresh_path(self.spark, "postings")
+        write_postings(self.chunks, path)
+        return read_postings(self.spark, path)
+
+    @cached_property
+    def cell_index(self) -> CellIndex:
+        """Stored cell index of all passages with a vector."""
+        return write_index(self.chunks, fresh_path(self.spark, "cells"), 16, 20_000)
+
     @cached_property
     def queries(self) -> DataFrame:
-        """Questions with vector, scope ids and conversation, one per benchmark passage; they ask for one or two of all its words."""
+        """Questions with vector, scope ids and conversation: one per benchmark passage, its whole text; ``short_text`` is a short form of it."""
         b = F.col("item_id")
         found = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]{4,})"), 1)
         base = self.raw("benchmark").select(
-            b.alias("query_id"), (b % 5).alias("user_id"), b.alias("conversation_id"),
-            F.array_join(F.slice(F.array_sort(F.array_distinct(found)), F.lit(1), (1 + b % 2).cast("int")), " ").alias("query_text"),
+            b.alias("query_id"), (b % 5).alias("user_id"), b.alias("conversation_id"), F.col("text").alias("query_text"),
+            F.array_join(F.slice(F.array_sort(F.array_distinct(found)), F.lit(1), (1 + b % 2).cast("int")), " ").alias("short_text"),
         )
         vectors = self.raw("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
         return base.join(vectors, "query_id")
 
+    @cached_property
+    def both_queries(self) -> DataFrame:
+        """Every question twice: its whole text, and its short form under a negative id."""
+        short = self.queries.withColumn("query_id", -1 - F.col("query_id")).withColumn("query_text", F.col("short_text"))
+        return self.queries.unionByName(short)
+
     @cached_property
     def scoped_queries(self) -> DataFrame:
         sets = self.conversation_documents.groupBy("conversation_id").agg(

@@ -1,6 +1,7 @@
 """Search operators: exactness over blocks and joins, ties, properties of fusion and selection."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan import sizing
-from folioscan.operators import cells, fusion, keyword, knn, lookup, mmr
+from folioscan.operators import cells, fusion, keyword, knn, lookup, mmr, postings
 from folioscan.plans import retrieve as retrieval
 from folioscan.plans import search
 
@@ -17,10 +18,27 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
-def test_blocks_of_questions_give_the_same_list(tables):
-    whole = knn.nearest(tables.chunks, tables.queries)
-    cut = knn.nearest(tables.chunks, tables.queries, block_bytes=2000)
-    assert rows(whole, "query_id", "rank") == rows(cut, "query_id", "rank")
+def scans_of(df):
+    """How often a plan reads stored passages with their vectors."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"FileScan parquet \[[^\]]*\bembedding#", plan))
+
+
+def test_tiny_tiles_give_the_same_list_in_one_scan(spark, tables, tmp_path, monkeypatch):
+    path = str(tmp_path / "passages")
+    tables.chunks.select("id", "document_id", "user_id", "embedding").write.parquet(path)
+    stored = spark.read.parquet(path)
+    whole = knn.nearest(stored, tables.scoped_queries)
+    expected = rows(whole, "query_id", "rank")
+    assert scans_of(whole) == 1 and len(expected) > 100
+    monkeypatch.setattr(knn, "QUESTION_TILE", 3)
+    tiles = knn.question_tiles
+    monkeypatch.setattr(knn, "question_tiles", lambda q: tiles(q, 3))
+    pack = knn.packed
+    monkeypatch.setattr(knn, "packed", lambda p, k: pack(p, k, size=7))
+    cut = knn.nearest(stored, tables.scoped_queries, max_bytes=0)  # nothing is broadcast: tiles are shuffled
+    assert scans_of(cut) == 1
+    assert rows(cut, "query_id", "rank") == expected
 
 
 def test_many_copies_keep_the_smallest_ids(spark):
@@ -45,34 +63,95 @@ def test_zero_vectors_are_left_out(spark):
     assert [r.id for r in knn.nearest(chunks, queries).collect()] == [2]
 
 
-def test_cells_find_most_neighbours(tables):
-    centres = cells.fit_centres(tables.chunks, 8)
-    stored = cells.with_cell(tables.chunks, centres)
-    exact = {(r.query_id, r.id) for r in knn.nearest(tables.chunks, tables.queries).collect()}
-    some = {(r.query_id, r.id) for r in cells.nearest_in_cells(stored, tables.queries, centres, 20, 4).collect()}
-    every = {(r.query_id, r.id) for r in cells.nearest_in_cells(stored, tables.queries, centres, 20, 8).collect()}
-    assert every == exact
-    assert len(some & exact) >= 0.6 * len(exact)
+def recall(found, exact):
+    same = {(r.query_id, r.id): r.distance for r in found.collect()}
+    held = {(r.query_id, r.id): r.distance for r in exact.collect()}
+    assert all(same[k] == pytest.approx(held[k], abs=1e-9) for k in same.keys() & held.keys())
+    return len(same.keys() & held.keys()) / len(held)
+
+
+def test_stored_cells_find_most_neighbours(spark, tables, tmp_path):
+    index = cells.write_index(tables.chunks, str(tmp_path / "index"), 8)
+    assert index.rows.count() == tables.chunks.where("embedding IS NOT NULL").count()
+    for asked in (tables.queries, tables.scoped_queries):
+        exact = knn.nearest(tables.chunks, asked)
+        assert recall(cells.nearest_stored(index, asked, 20, probes=8), exact) == 1
+        assert recall(cells.nearest_stored(index, asked, 20, probes=7), exact) >= 0.9
+
+
+def test_few_probed_cells_of_clustered_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    data = [(i, i % 50, "ab"[i % 2], (centres[i % 20] + 0.2 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    chunks = spark.createDataFrame(data, "id long, document_id long, user_id string, embedding array<float>").repartition(4)
+    asked = spark.createDataFrame([(f"q{i}", "ab"[i % 2], (centres[i % 20] + 0.2 * rng.normal(size=16)).tolist()) for i in range(60)],
+                                  "query_id string, user_id string, query_embedding array<float>")
+    first, later = chunks.where("id < 2500"), chunks.where("id >= 2500")
+    path = str(tmp_path / "index")
+    small = cells.write_index(first, path, 4, cell_rows=400)
+    assert len(small.numbers) > 4  # cells beyond 400 rows were split
+    index = cells.append_index(later, path, cell_rows=400)
+    sizes = index.rows.where(F.col("cell").isin(index.numbers.tolist())).groupBy("cell").count().collect()
+    assert sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) <= 400
+    found = cells.nearest_stored(index, asked, 10, probes=3)
+    assert recall(found, knn.nearest(chunks, asked, 10)) >= 0.9
+    plan = index.rows.join(F.broadcast(cells.probed(index, cells.asked_scopes(asked, "bigint")[0], 1).where("cell >= 0")), "cell")
+    assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_vectors_cannot_be_split(spark, tmp_path):
+    data = [(i, 1, 1, [1.0, 2.0, 0.0]) for i in range(300)]
+    chunks = spark.createDataFrame(data, "id long, document_id long, user_id long, embedding array<float>")
+    index = cells.write_index(chunks, str(tmp_path / "index"), 1, cell_rows=100)
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0], None), (2, 1, [1.0, 0.0, 0.0], [7])], "query_id long, user_id long, query_embedding array<float>, doc_ids array<long>")
+    assert [r.id for r in cells.nearest_stored(index, asked, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_hybrid_search_over_stores(spark, tables, tmp_path):
+    index = cells.write_index(tables.chunks, str(tmp_path / "index"), 4)
+    plain = fusion.hybrid_search(tables.chunks, tables.queries)
+    stored = fusion.hybrid_search(tables.chunks, tables.queries, postings=tables.postings)
+    assert rows(plain, "query_id", "position") == rows(stored, "query_id", "position")
+    cells_too = fusion.hybrid_search(tables.chunks, tables.queries, postings=tables.postings, index=index)
+    assert {(r.query_id, r.id) for r in cells_too.collect()} & {(r.query_id, r.id) for r in plain.collect()}
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_postings_match_like_the_passages(spark, tables, tmp_path, monkeypatch, bound):
+    scoped = tables.scoped_queries.withColumn("query_text", F.col("short_text"))
+    expected = [rows(keyword.matching(tables.chunks, q), "query_id", "id") for q in (tables.both_queries, scoped)]
+    if bound == 0:
+        monkeypatch.setattr(sizing, "fits", lambda *a, **k: False)
+        monkeypatch.setattr(postings, "fits", lambda *a, **k: False)
+    path = str(tmp_path / "postings")
+    postings.write_postings(tables.chunks, path, buckets=3)
+    store = postings.read_postings(spark, path)
+    assert [rows(keyword.matching(store, q), "query_id", "id") for q in (tables.both_queries, scoped)] == expected
+    assert all(len(e) > 0 for e in expected)
+
+
+def test_postings_of_words_refuse_stems(spark, tables, tmp_path):
+    path = str(tmp_path / "postings")
+    postings.write_postings(tables.chunks, path, stemmed=False)
+    store = postings.read_postings(spark, path)
+    with pytest.raises(ValueError):
+        keyword.matching(store, tables.both_queries)
+    assert rows(keyword.matching(store, tables.both_queries, stem=False), "query_id", "id") == rows(
+        keyword.matching(tables.chunks, tables.both_queries, stem=False), "query_id", "id")
+    with pytest.raises(ValueError):
+        postings.read_postings(spark, str(tmp_path / "none"))
 
 
 def test_salted_join_equals_broadcast(tables, monkeypatch):
-    near = rows(keyword.matching(tables.chunks, tables.queries), "query_id", "id")
+    near = rows(keyword.matching(tables.chunks, tables.both_queries), "query_id", "id")
     monkeypatch.setattr(sizing, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(sizing, "fits", lambda *a, **k: False)
-    assert rows(keyword.matching(tables.chunks, tables.queries), "query_id", "id") == near
+    assert rows(keyword.matching(tables.chunks, tables.both_queries), "query_id", "id") == near
     assert len(near) > 0
 
 
-def test_bm25_ranks_only_matches(tables):
-    scored = keyword.bm25(tables.chunks, tables.queries)
-    assert {(r.query_id, r.id) for r in scored.collect()} == {
-        (r.query_id, r.id) for r in keyword.matching(tables.chunks, tables.queries).collect()
-    }
-    assert scored.where(F.col("score") <= 0).count() == 0
-
-
 def test_fusion_bounds_and_weak_scores(tables):
-    fused = fusion.fuse(knn.nearest(tables.chunks, tables.queries), keyword.ranked(tables.chunks, tables.queries))
+    fused = fusion.fuse(knn.nearest(tables.chunks, tables.both_queries), keyword.ranked(tables.chunks, tables.both_queries))
     seen = defaultdict(list)
     for r in fused.collect():
         assert 1 / 80 <= r.rrf_score <= 2 / 61
