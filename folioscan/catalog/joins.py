@@ -68,7 +68,7 @@ GONE = {"fx_gone": "SELECT id AS document_id FROM fx_documents WHERE status = 'p
         "fx_lost": "SELECT id AS conversation_id FROM fx_conversations WHERE document_id IN (SELECT document_id FROM fx_gone)"}
 
 
-@query("join_cascade_delete", """SELECT 'documents' AS name, count(*) AS n, sum(id)::BIGINT AS ids FROM fx_documents WHERE id NOT IN (SELECT document_id FROM fx_gone)
+CASCADE = """SELECT 'documents' AS name, count(*) AS n, sum(id)::BIGINT AS ids FROM fx_documents WHERE id NOT IN (SELECT document_id FROM fx_gone)
  UNION ALL SELECT 'chunks', count(*), sum(id)::BIGINT FROM fx_chunks WHERE document_id NOT IN (SELECT document_id FROM fx_gone)
  UNION ALL SELECT 'conversations', count(*), sum(id)::BIGINT FROM fx_conversations WHERE id NOT IN (SELECT conversation_id FROM fx_lost)
  UNION ALL SELECT 'conversation_documents', count(*), sum(conversation_id * 100000 + document_id)::BIGINT FROM fx_conversation_documents
@@ -77,14 +77,17 @@ GONE = {"fx_gone": "SELECT id AS document_id FROM fx_documents WHERE status = 'p
  UNION ALL SELECT 'summaries', count(*), sum(id)::BIGINT FROM fx_summary_log WHERE (document_id IS NULL OR document_id NOT IN
  (SELECT document_id FROM fx_gone)) AND (conversation_id IS NULL OR conversation_id NOT IN (SELECT conversation_id FROM fx_lost))
  UNION ALL SELECT 'flashcard_decks', count(*), sum(id)::BIGINT FROM fx_decks WHERE document_id NOT IN (SELECT document_id FROM fx_gone)
- UNION ALL SELECT 'flashcards', count(*), sum(id)::BIGINT FROM fx_cards WHERE deck_id NOT IN (SELECT document_id FROM fx_gone)""", views=GONE)
-def _(t):
-    left = C.delete_documents(
-        {"documents": t.documents, "chunks": t.chunks.drop("embedding"), "conversations": t.conversations,
-         "conversation_documents": t.conversation_documents, "messages": t.messages, "summaries": t.summary_log,
-         "flashcard_decks": t.decks, "flashcards": t.cards},
-        t.documents.where(F.col("status") == "partial"),
-    )
+ UNION ALL SELECT 'flashcards', count(*), sum(id)::BIGINT FROM fx_cards WHERE deck_id NOT IN (SELECT document_id FROM fx_gone)"""
+
+
+def cascade_tables(t) -> dict:
+    return {"documents": t.documents, "chunks": t.chunks.drop("embedding"), "conversations": t.conversations,
+            "conversation_documents": t.conversation_documents, "messages": t.messages, "summaries": t.summary_log,
+            "flashcard_decks": t.decks, "flashcards": t.cards}
+
+
+def cascade_counts(left: dict):
+    """Rows and the sum of their ids, per table."""
     out = None
     for name, df in left.items():
         key = F.col("id") if "id" in df.columns else F.col("conversation_id") * 100000 + F.col("document_id")
@@ -93,6 +96,11 @@ def _(t):
     return out
 
 
+@query("join_cascade_delete", CASCADE, views=GONE)
+def _(t):
+    return cascade_counts(C.delete_documents(cascade_tables(t), t.documents.where(F.col("status") == "partial")))
+
+
 @query("join_citation_evidence", """SELECT s.message_id, s.chunk_id, e.chunk_id IS NOT NULL AS has_evidence, e.content
  FROM (SELECT message_id, chunk_id + CASE WHEN position = 1 THEN 50000 ELSE 0 END AS chunk_id FROM fx_evidence) s
  LEFT JOIN fx_evidence e USING (message_id, chunk_id)""")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cards, conversations, reports
+from ..operators import cards, conversations
 from ..session import fresh_path
 from ..sources import sinks
 from ..sources import tables as src
+from ..sources.keyed import KeyedTable, delete_cascade
 from . import query
+from .joins import CASCADE, GONE, cascade_counts, cascade_tables
 
 
 def upload_bodies(t):
@@ -97,14 +99,22 @@ def _(t):
 @query("sink_embedding_backfill", """SELECT c.id, CASE WHEN c.embedding IS NOT NULL THEN 'kept' WHEN n.vec_id IS NOT NULL THEN 'filled' ELSE 'missing' END AS state,
  round(coalesce(c.embedding, n.embedding)[1]::DOUBLE, 6) AS first FROM fx_chunks c LEFT JOIN embeddings n ON c.embedding IS NULL AND n.vec_id = c.id % 1000""")
 def _(t):
-    lacking = t.chunks.where(F.col("embedding").isNull()).select("id", (F.col("id") % 1000).alias("vec_id"))
-    fresh = lacking.join(t.raw("embeddings").select("vec_id", "embedding"), "vec_id")
-    before = t.chunks.select("id", "embedding", F.col("embedding").isNotNull().alias("had"))
-    out = reports.backfilled(before, fresh)
+    path = fresh_path(t.spark, "backfilled")
+    sinks.append_chunks(t.chunks.select("id", "user_id", "document_id", "embedding", F.col("embedding").isNotNull().alias("had")), path)
+    lacking = src.read_chunks(t.spark, path).where(F.col("embedding").isNull()).select("id", "user_id", (F.col("id") % 1000).alias("vec_id"))
+    sinks.append_vectors(lacking.join(t.raw("embeddings").select("vec_id", "embedding"), "vec_id"), path)
+    out = src.read_chunks(t.spark, path)
     state = F.when(F.col("had"), "kept").when(F.col("embedding").isNotNull(), "filled").otherwise("missing")
     return out.select("id", state.alias("state"), F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
 
 
+def _twice(table, rows, first):
+    """A keyed table after its later rows were written, then its first, then the later ones once more."""
+    for some in (~first, first, ~first):
+        table.upsert(rows.where(some))
+    return table.read()
+
+
 STATUS = "CASE event_id % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'indexing' ELSE 'ready' END"
 
 
@@ -114,7 +124,8 @@ def _(t):
     e = F.col("event_id")
     status = F.when(e % 3 == 0, "processing").when(e % 3 == 1, "indexing").otherwise("ready")
     log = t.events.select(F.col("user_id").alias("document_id"), status.alias("status"), F.col("ms").alias("written_ms"), e.alias("seq"))
-    return sinks.current_status(log).select("document_id", "status", "written_ms")
+    held = sinks.status_table(t.spark, fresh_path(t.spark, "status"))
+    return _twice(held, log, e % 2 == 0).select("document_id", "status", "written_ms")
 
 
 @query("sink_messages", """SELECT conversation_id, role, content, created_ms, n_evidence FROM (
@@ -129,9 +140,7 @@ def _(t):
         "conversation_id", "user_id", F.concat(F.lit("q "), F.col("id").cast("string")).alias("question"),
         F.col("content").alias("answer"), "retrieved", F.col("created_ms").alias("asked_ms"),
     )
-    path = fresh_path(t.spark, "messages")
-    sinks.message_rows(exchanges).write.mode("append").parquet(path)
-    out = t.spark.read.parquet(path)
+    out = _twice(sinks.message_table(t.spark, fresh_path(t.spark, "messages")), sinks.message_rows(exchanges), F.col("role") == "user")
     n = F.when(F.col("retrieved_chunks").isNotNull(), F.size("retrieved_chunks").cast("long"))
     return out.select("conversation_id", "role", "content", "created_ms", n.alias("n_evidence"))
 
@@ -146,6 +155,9 @@ def _(t):
     asked = conversations.with_documents(t.conversations.drop("document_id"), t.conversation_documents).withColumnRenamed("id", "conversation_id")
     made, links = sinks.conversation_rows(asked, text.conversation_title(F.coalesce("question", F.lit(""))))
     made = conversations.touched(made, t.messages)
+    kept, kept_links = sinks.conversation_tables(t.spark, fresh_path(t.spark, "conversations"))
+    made = _twice(kept, made, F.col("id") % 3 == 0)
+    links = _twice(kept_links, links, F.col("position") == 0)
     linked = links.select(F.col("conversation_id").alias("id"), F.col("document_id").alias("linked"))
     return made.join(linked, "id", "left").select("id", "user_id", "title", "document_id", "linked", "updated_ms")
 
@@ -153,7 +165,8 @@ def _(t):
 @query("sink_upsert_summary", """SELECT user_id, source_type, conversation_id, document_id, id, content FROM fx_summary_log
  QUALIFY row_number() OVER (PARTITION BY user_id, source_type, conversation_id, document_id ORDER BY created_ms DESC, id DESC) = 1""")
 def _(t):
-    return sinks.current_summaries(t.summary_log).select("user_id", "source_type", "conversation_id", "document_id", "id", "content")
+    held = sinks.summary_table(t.spark, fresh_path(t.spark, "summaries"))
+    return _twice(held, t.summary_log, F.col("id") % 2 == 0).select("user_id", "source_type", "conversation_id", "document_id", "id", "content")
 
 
 @query("sink_deck", r"""WITH fx_w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '["\\\[\]\x00-\x1f]', '', 'g')) AS w FROM documents),
@@ -177,7 +190,23 @@ def _(t):
     from ..operators import usage
 
     now = t.events.agg(F.max("ms")).first()[0]
-    held = usage.live(sinks.current_results(t.result_log), F.lit(now), 86_400_000 * 10)
+    stored = _twice(sinks.result_table(t.spark, fresh_path(t.spark, "results")), t.result_log, F.col("seq") == 0)
+    held = usage.live(stored, F.lit(now), 86_400_000 * 10)
     return held.select("job_id", "user_id", "status", "written_ms")
 
 
+
+
+@query("sink_cascade_delete", f"SELECT name, coalesce(n, 0) AS n, ids FROM ({CASCADE})", views=GONE)
+def _(t):
+    """All tables written by key, the documents deleted twice, and what is then read."""
+    path, by_id = fresh_path(t.spark, "cascade"), ("id",)
+    rows = cascade_tables(t)
+    keys = {"conversation_documents": ("conversation_id", "document_id"), "summaries": ("id", "source_type")}
+    near = {"chunks": ("document_id",), "messages": ("conversation_id",), "flashcards": ("deck_id",)}
+    held = {n: KeyedTable(t.spark, f"{path}/{n}", keys.get(n, by_id), by=near.get(n, ())) for n in rows}
+    for name, table in held.items():
+        table.upsert(rows[name])
+    for _ in range(2):
+        delete_cascade(held, t.documents.where(F.col("status") == "partial"))
+    return cascade_counts({n: table.read() for n, table in held.items()})

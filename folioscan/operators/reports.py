@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sizing import join_sized
 
 
 def chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -81,10 +80,3 @@ def newest_errors(jobs: DataFrame, limit: int = 50) -> DataFrame:
         .orderBy(F.col("ts").desc_nulls_last(), F.col("job_id").desc())
         .limit(limit)
     )
-
-
-def backfilled(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Passages with newly computed vectors put in; others keep what they have."""
-    fresh = vectors.select("id", F.col("embedding").alias("_new"))
-    out = join_sized(chunks, fresh, ["id"], "left")
-    return out.withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")

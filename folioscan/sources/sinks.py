@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.embedding import BATCH
 from ..operators.conversations import evidence_of
 from ..operators.toplists import best_row
+from .keyed import KeyedTable
 from .tables import BUCKETS_FOLDER, USER_BUCKETS, VECTORS_FOLDER, read_chunks, stored_buckets, user_bucket
 
 
@@ -39,7 +40,7 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
     buckets = stored_buckets(vectors.sparkSession, path)
     if buckets is None:
         raise ValueError(f"no passage store at {path}")
-    rows = vectors.select("id", "user_id", "embedding").withColumn("bucket", user_bucket(F.col("user_id"), buckets))
+    rows = vectors.select("id", "user_id", "embedding", F.unix_millis(F.current_timestamp()).alias("written_ms")).withColumn("bucket", user_bucket(F.col("user_id"), buckets))
     rows.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(f"{path}/{VECTORS_FOLDER}")
 
 
@@ -75,6 +76,32 @@ def current_results(log: DataFrame) -> DataFrame:
     return best_row(log, ["job_id"], F.struct("written_ms", "seq"))
 
 
+def status_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Status of every document: document_id, status, written_ms, seq."""
+    return KeyedTable(spark, path, ("document_id",), ("written_ms", "seq"))
+
+
+def summary_table(spark: SparkSession, path: str) -> KeyedTable:
+    """One summary per source; the unused id of a source is NULL."""
+    return KeyedTable(spark, path, ("user_id", "source_type", "conversation_id", "document_id"), ("created_ms", "id"))
+
+
+def result_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Result of every job: job_id, status, written_ms, seq."""
+    return KeyedTable(spark, path, ("job_id",), ("written_ms", "seq"))
+
+
+def message_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Messages, each once; they lie with their conversation."""
+    return KeyedTable(spark, path, ("conversation_id", "role", "created_ms"), by=("conversation_id",))
+
+
+def conversation_tables(spark: SparkSession, path: str) -> tuple[KeyedTable, KeyedTable]:
+    """(conversations, their links to documents)."""
+    links = KeyedTable(spark, f"{path}/links", ("conversation_id", "document_id"), by=("conversation_id",))
+    return KeyedTable(spark, f"{path}/conversations", ("id",), ("updated_ms",)), links
+
+
 def message_rows(exchanges: DataFrame) -> DataFrame:
     """User and assistant row of each exchange; evidence is kept without vectors.
 
