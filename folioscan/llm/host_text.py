@@ -7,6 +7,9 @@
    taken out); Spark sums the votes per host.
 3. The paths that a page has are joined with the votes of its host. Each page is read again
    with the one with most votes, whatever its place among all paths of the host.
+
+A ``header`` is left out wherever it stands, in an article too. Tags are read as attributes one after
+the other: only names of attributes and whole values decide, not words inside other values.
 """
 
 from __future__ import annotations
@@ -47,8 +50,10 @@ OUT_WORDS = frozenset(
 WHOLE = frozenset("html body main article".split())  # never boilerplate by a word
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|(=?[^\s/>=]*)\s*(=?)\s*)")  # the tag's end, or a name and whether a value follows
+BARE = re.compile(r"[^\s>]*")
+READ = frozenset("class id role hidden aria-hidden".split())
 WORD = re.compile(r"[A-Za-z]+")
 RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 DIGITS = re.compile(r"\d+")
@@ -65,21 +70,66 @@ class Box:
         self.mild, self.size = word == "part", 0
 
 
-def _opened(tag: str, attributes: str) -> tuple[str, bool, str]:
+class Scanner:
+    """Tags of a page, each read once from left to right: names and values of attributes one after the other.
+
+    A quoted value that never ends stops at the next ``>``; a tag without an end takes the rest of the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: dict[str, int] = {}  # from where on there is no more of a string
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.gone.get(what, len(self.page)):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone[what] = at
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        found = self.find(what, at)
+        return len(self.page) if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """(end of the tag, those of its attributes that are ``READ``, whether it closes itself)."""
+        page, held = self.page, {}
+        while m := ATTRIBUTE.match(page, at):
+            if m[1]:
+                return m.end(), held, page[m.end() - 2] == "/" and m.end() - 2 >= at
+            if m.end() == at or m.end() == len(page):
+                break
+            name, at, value = m[2].lower(), m.end(), ""
+            if m[3]:
+                quote = page[at]
+                if quote in "\"'":
+                    end = self.find(quote, at + 1)
+                    if end < 0:
+                        return self.after(">", at), held, False
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            if name in READ:
+                held.setdefault(name, value)
+        return len(page), held, False
+
+
+def _opened(tag: str, attributes: dict[str, str]) -> tuple[str, bool, str]:
     """Generalised step of a path; whether the element is boilerplate by tag or role; whether a class or id says so, as a "whole" or a "part"."""
     out, names, word = tag in OUT_TAGS, [], ""
-    if attributes and attributes.strip(" /"):
-        for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "class":
-                names = sorted({DIGITS.sub("#", c) for c in value.lower().split()})
-            if name in ("class", "id") and tag not in WHOLE:
-                for c in value.lower().split():
-                    if c in OUT_WORDS:
-                        word = "whole"
-                    elif not word and any(w in OUT_WORDS for w in WORD.findall(c)):
-                        word = "part"
-            out |= name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true"
+    for name, value in attributes.items():
+        value = html.unescape(value).lower()
+        if name == "class":
+            names = sorted({DIGITS.sub("#", c) for c in value.split()})
+        if name in ("class", "id") and tag not in WHOLE:
+            for c in value.split():
+                if c in OUT_WORDS:
+                    word = "whole"
+                elif not word and any(w in OUT_WORDS for w in WORD.findall(c)):
+                    word = "part"
+        out |= name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
     return ".".join([tag, *names]), out, word
 
 
@@ -159,9 +209,13 @@ def _blocks(page: str, marks: list[Box]) -> Iterator[tuple[Box, str, int]]:
             return (stack[-1], whole, found)
         return None
 
-    while m := TOKEN.search(page, at):
+    scan = Scanner(page)
+    while m := START.search(page, at):
         piece = page[at : m.start()]
-        at = m.end()
+        if m[2]:
+            at, attributes, closed = scan.attributes(m.end())
+        else:
+            at = scan.after("-->" if m[0] == "<!--" else ">", m.end())
         if piece:
             parts.append(piece)
             if depth:
@@ -193,9 +247,9 @@ def _blocks(page: str, marks: list[Box]) -> Iterator[tuple[Box, str, int]]:
             if block:
                 yield block
             _implied(stack, tag)
-            if tag in VOID or (m[3] or "").endswith("/"):
+            if tag in VOID or closed:
                 continue
-            step, out, word = _opened(tag, m[3])
+            step, out, word = _opened(tag, attributes)
             if tag in BOXES or out or word or stack[-1].out or stack[-1].mark:  # all that opens inside boilerplate, so that its ends are not taken for others
                 stack.append(Box(tag, f"{stack[-1].path}/{step}", stack[-1].out or out, stack[-1], word))
                 if word:

@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from helpers import SF
 
 from folioscan.llm import host_text as H, queries
@@ -42,6 +44,31 @@ def test_boilerplate_blocks_end_with_their_own_tags():
     assert _texts("<table><tr><td class=ad>s<td>one<tr class=ad><td>s<tr><th class=ad>s<td>two</table><dl><dt class=ad>s<dd>three</dl>") == ["one", "two", "three"]
 
 
+def test_only_names_and_whole_values_of_attributes_decide():
+    other = "<div class=box><p>tiny</p></div>"
+    long_ = "many words " * 9
+    for box in ('div class="post" style="overflow:hidden"', 'article title="The hidden valley"', 'div data-id="sidebar"', "div data-hidden=1", 'div title="class=ad"',
+                "div data-x='hidden' class=post", 'div class="post" class="ad"', 'div x=hidden y="a > b" z'):
+        page = f"<body><{box}><p>{long_}</p></div></article>{other}</body>"
+        assert H.text_at(page, []) == long_.strip(), box
+    assert _texts('<p style="overflow:hidden">one</p><p title="hidden">two<p hidden=until-found>no<p HIDDEN>no<p aria-hidden = "true">no<p class = "a d">three') == ["one", "two", "three"]
+    assert _texts("<div class='x y' / id=ad>no</div><div/><p>one<br/>two<p class=a/>three") == ["one two", "three"]
+
+
+def test_broken_tags_are_not_text():
+    assert _texts('<p title="x>Lost?</p><p>two') == ["Lost?", "two"]
+    assert _texts('<p>one</p><a href="x>y</a> two') == ["one", "y two"]
+    assert _texts("<p>one</p><a <b") == ["one"] and _texts("a < b <3 <") == ["a < b <3 <"] and _texts("<p a=>x") == ["x"] and _texts("<p a=") == []
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<!", "&", "<", '<a x="', "<a x='>", "<p ", "</p", "<!--", "<script", "<p/", '<p x="y>'])
+def test_broken_pages_take_linear_time(piece):
+    page = "<p>one</p>" + piece * (5_000_000 // len(piece))
+    start = time.process_time()
+    assert H.text_at(page, []).startswith("one")
+    assert time.process_time() - start < 15
+
+
 def test_scripts_end_at_their_end_tags():
     for script in ("for(i=0;i<n;i++)f()", "a='<!--'", 'if(a<b)c="', "x<y>z", ""):
         assert _texts(f"<p>one</p><script>{script}</script><p>two</p><STYLE>p{{}}</style ><p>three") == ["one", "two", "three"]
