@@ -8,7 +8,7 @@ from ..functions import stems as stemming
 from ..functions import terms as T
 from ..functions import vectors as V
 from ..operators import cells, condense, fusion, keyword, knn, lookup, mmr
-from ..operators.scope import heading_like, in_scope, on_page
+from ..operators.scope import asked_documents, heading_like, on_page
 from ..plans import retrieve as retrieval
 from ..plans import search
 from ..session import write_table
@@ -225,7 +225,10 @@ def _(t):
 
 # Lookups
 
-ASKED = {"fx_asked": """SELECT *, query_id % 7 + 1 AS asked_page, 'tion ' || (query_id % 3 + 1) AS asked_section FROM fx_scoped_queries"""}
+ASKED = {
+    "fx_asked": """SELECT *, query_id % 7 + 1 AS asked_page, 'tion ' || (query_id % 3 + 1) AS asked_section FROM fx_scoped_queries""",
+    "fx_mixed": "SELECT * REPLACE (CASE WHEN query_id % 4 > 0 THEN doc_id END AS doc_id) FROM fx_scoped_queries",
+}
 SEEN = """c.user_id = q.user_id AND CASE WHEN q.doc_ids IS NOT NULL THEN list_contains(q.doc_ids, c.document_id)
  WHEN q.doc_id IS NOT NULL THEN c.document_id = q.doc_id ELSE true END"""
 
@@ -237,12 +240,15 @@ def _asked(t):
     )
 
 
-@query("flt_doc_scope", f"SELECT q.query_id, count(*) AS visible FROM fx_asked q JOIN fx_chunks c ON {SEEN} GROUP BY 1", views=ASKED)
+@query("flt_doc_scope", f"SELECT q.query_id, count(*) AS visible FROM fx_mixed q JOIN fx_chunks c ON {SEEN} GROUP BY 1", views=ASKED)
 def _(t):
     per_doc = t.chunks.groupBy("user_id", "document_id").agg(F.count("*").alias("n"))
-    pairs = per_doc.join(t.scoped_queries.select("query_id", "user_id", "doc_ids", "doc_id"), "user_id")
-    seen = pairs.where(in_scope(F.col("document_id"), F.col("doc_ids"), F.col("doc_id")))
-    return seen.groupBy("query_id").agg(F.sum("n").alias("visible"))
+    one = F.when(F.col("query_id") % 4 > 0, F.col("doc_id")).alias("doc_id")  # a quarter asks about all documents, unless it has a list
+    asked = t.scoped_queries.select("query_id", "user_id", "doc_ids", one)
+    limited, everywhere = asked_documents(asked, "bigint")
+    some = limited.join(per_doc, ["user_id", "document_id"]).select("query_id", "n")
+    whole = everywhere.join(per_doc.groupBy("user_id").agg(F.sum("n").alias("n")), "user_id").select("query_id", "n")
+    return some.unionByName(whole).groupBy("query_id").agg(F.sum("n").alias("visible"))
 
 
 @query("flt_page", """SELECT id, coalesce(list_contains(pages, 3), false) OR (pages IS NULL AND page_number = 3) AS on_page_3,

@@ -26,6 +26,20 @@ def in_scope(document_id: Column, doc_ids: Column, doc_id: Column) -> Column:
     )
 
 
+def asked_documents(queries: DataFrame, document_kind: str) -> tuple[DataFrame, DataFrame]:
+    """(questions over some documents, one row per question and ``document_id``; questions over all documents of their user).
+
+    An id list counts before a single id, an empty list asks about nothing. Joins on (user, document) meet the documents asked about and no others.
+    """
+    for name, kind in (("doc_ids", f"array<{document_kind}>"), ("doc_id", document_kind)):
+        column = F.col(name) if name in queries.columns else F.lit(None)
+        queries = queries.withColumn(name, column.cast(kind))
+    one = F.when(F.col("doc_id").isNotNull(), F.array("doc_id"))
+    held = queries.withColumn("_docs", F.coalesce(F.array_distinct("doc_ids"), one)).drop("doc_ids", "doc_id")
+    limited = held.where("_docs IS NOT NULL").withColumn("document_id", F.explode("_docs")).where("document_id IS NOT NULL")
+    return limited.drop("_docs"), held.where("_docs IS NULL").drop("_docs")
+
+
 def on_page(pages: Column, page_number: Column, wanted: Column) -> Column:
     """The passage touches the page: listed, or the only page when there is no list."""
     return F.coalesce(F.array_contains(pages, wanted), F.lit(False)) | (

@@ -237,6 +237,31 @@ def test_page_lookup_uses_list_before_single_page(spark):
     assert found == {(1, 2), (2, 3)}
 
 
+def test_patterns_meet_every_heading_that_holds_them(spark):
+    rng = random.Random(9)
+    headings = [(u, "".join(rng.choice("aAbcé %_1") for _ in range(rng.randint(0, 9)))) for u in (1, 2) for _ in range(150)]
+    patterns = {(u, "".join(rng.choice("abC%_É") for _ in range(rng.randint(0, 6)))) for u in (1, 2, 3) for _ in range(60)}
+    h = spark.createDataFrame(sorted(set(headings)), "user_id long, heading string")
+    p = spark.createDataFrame(sorted(patterns), "user_id long, asked_section string")
+    got = [tuple(r) for r in lookup.matched_headings(h, p).collect()]
+    like = {x: re.compile(".*" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in x[1].lower()) + ".*", re.S) for x in patterns}
+    want = {(u, t, x) for u, t in set(headings) for v, x in patterns if u == v and like[v, x].fullmatch(t.lower())}
+    assert len(got) == len(set(got)) and set(got) == want and any(len(x) > 3 for _, _, x in want)
+
+
+def test_lookups_over_some_documents_and_all(spark):
+    rows = [(100 * d + i, f"d{d}", f"u{d % 2}", i, None, i % 3, f"Part {i % 4}: {'ab'[d % 2]}") for d in range(8) for i in range(6)]
+    chunks = spark.createDataFrame(rows, "id long, document_id string, user_id string, chunk_index long, pages array<long>, page_number long, heading string")
+    asked = [(1, "u0", ["d0", "d2", "d1"], "d4"), (2, "u1", None, "d3"), (3, "u0", None, None), (4, "u1", [], "d3"), (5, "u9", None, None)]
+    queries = spark.createDataFrame([(q, u, ds, d, 2, "rt 2") for q, u, ds, d in asked], "query_id long, user_id string, doc_ids array<string>, doc_id string, asked_page long, asked_section string")
+    for found, holds in ((lookup.by_page(chunks, queries), lambda r: r[5] == 2), (lookup.by_section(chunks, queries), lambda r: "part 2" in r[6].lower())):
+        want = set()
+        for q, u, ds, d in asked:
+            seen = [r for r in rows if r[2] == u and (r[1] in ds if ds is not None else r[1] == d if d else True) and holds(r)]
+            want |= {(q, r[0]) for r in sorted(seen, key=lambda r: (r[3], r[1], r[0]))[:20]}
+        assert {(r.query_id, r.id) for r in found.collect()} == want and want
+
+
 def test_retrieval_takes_every_path(spark, tables):
     scope = tables.scoped_queries.where("query_id < 6").withColumn("n_docs", F.lit(1).cast("long"))
     texts = {0: "hi", 1: "what is on page 1", 2: "see section 1 of", 3: "teron", 4: "zzzz qqqq xxxx", 5: "summarise my document please now"}
