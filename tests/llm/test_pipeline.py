@@ -52,5 +52,5 @@ def test_empty_table(spark):
 
 def test_registered():
     names = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and "op2_perspectives" in oracle_sql()
