@@ -34,6 +34,7 @@ from .common import column, free_name, lengths, slices, small_batches
 
 CHUNK = 16384  # code points; texts up to this length are encoded in one go
 BLOCK = 64  # chunk matrices that are multiplied in one step
+CUT_CHUNKS = 128  # chunks of a text that are passed on at a time
 NONE = -np.inf
 
 _LOADED: dict = {}
@@ -238,14 +239,24 @@ def giant_ids(texts: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFram
     chunk row carries the characters around its ends that states can reach.
     """
     reach = pieces(model_path).longest
-    spread = texts.select("n", F.concat(F.lit(" "), "t").alias("t")).select(
-        "n", F.length("t").alias("size"), "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk))).alias("k")
-    ).select(
-        "n", F.col("k").cast("long").alias("k"),
-        F.greatest(F.lit(0), F.col("k") * chunk - reach).cast("long").alias("at"),
-        (F.col("k") * chunk).cast("long").alias("a"),
-        F.least(F.col("size"), (F.col("k") + 1) * chunk).cast("long").alias("b"), F.col("size").cast("long").alias("size"), "t",
-    ).select("n", "k", "at", "a", "b", "size", F.expr(f"substring(t, int(at + 1), int(b - at + {reach}))").alias("t"))
+
+    def cut(batches):
+        for batch in batches:
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = " " + t.as_py()
+                size = len(t)
+                starts = range(0, size, chunk)
+                for i in range(0, len(starts), CUT_CHUNKS):
+                    made = [
+                        (k, max(0, a - reach), a, min(size, a + chunk), t[max(0, a - reach) : min(size, a + chunk) + reach])
+                        for k, a in enumerate(starts[i : i + CUT_CHUNKS], i)
+                    ]
+                    longs = [pa.array([m[j] for m in made], pa.int64()) for j in range(4)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([n] * len(made), pa.int64()), *longs, pa.array([size] * len(made), pa.int64()), pa.array([m[4] for m in made], pa.string()),
+                    ], names=["n", "k", "at", "a", "b", "size", "t"])
+
+    spread = texts.select(F.col("n").cast("long").alias("n"), "t").mapInArrow(cut, "n long, k long, at long, a long, b long, size long, t string")
     spread = write_table(spread.repartition("n", "k"), "piece-chunks")
 
     def ends(model, r):

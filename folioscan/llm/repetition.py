@@ -3,8 +3,8 @@
 The words of many documents are numbered together and sorted once: prefix doubling ranks
 the suffixes of all documents of a slice at the same time, with the document as first key, so
 suffixes of different documents never compare equal. Only suffixes that still share their
-rank are sorted again. The ranks kept from each round give the longest common prefix of
-neighbours by binary lifting. The longest repeat that starts at a word is the larger of its
+rank are sorted again. The longest common prefixes of neighbours come from one more pass over
+the finished array, so memory is linear in the words. The longest repeat that starts at a word is the larger of its
 two neighbour prefixes; the union of these spans is what the maximal repeated substrings
 (the right ends of the prefix intervals) cover.
 """
@@ -21,8 +21,9 @@ from .common import attach
 
 BASE_WORDS = 5
 MIN_WORDS = 10  # a maximal repeat counts from this length on
-MAX_COVERED = 0.2  # of the words, by maximal repeats
+MAX_COVERED = 0.1  # of the words, by maximal repeats; half of what the base rule allows for short ones
 MAX_LONGEST = 100  # words of the longest repeat
+STEPS = 64  # words that neighbours are compared by one at a time
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 FIELDS = (
@@ -42,11 +43,9 @@ def numbered(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, bounds
 
 
-def longest_repeats(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, prefix shared with the suffix before, longest repeat starting at each word)."""
+def suffix_order(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, rank of each suffix) of all lists, by prefix doubling."""
     n = len(ids)
-    if not n:
-        return (np.zeros(0, np.int64),) * 3
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     end = bounds[1:][owner]
     key = owner * (ids.max() + 1) + ids
@@ -55,7 +54,7 @@ def longest_repeats(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
-    levels, step = [rank.copy()], 1
+    step = 1
     size = np.bincount(head, minlength=n)
     open_ = np.flatnonzero(size[rank] > 1)
     while len(open_):
@@ -70,21 +69,57 @@ def longest_repeats(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
         offset = np.maximum.accumulate(np.where(split, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         rank[open_] = first + offset
         step *= 2
-        levels.append(rank.copy())
         count = np.diff(np.append(np.flatnonzero(split), len(open_)))
         open_ = open_[np.repeat(count > 1, count)]
-    order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
-    shared = np.zeros(n, np.int64)  # shared[i]: words that suffix order[i] has in common with order[i - 1]
-    a, b = order[1:].copy(), order[:-1].copy()
-    live = np.flatnonzero(levels[0][a] == levels[0][b])
-    a, b, got = a[live], b[live], np.zeros(len(live), np.int64)
-    stop = np.minimum(end[a] - a, end[b] - b)
-    for level in range(len(levels) - 1, -1, -1):
-        same = (got < stop) & (levels[level][np.minimum(a + got, n - 1)] == levels[level][np.minimum(b + got, n - 1)])
-        got[same] += 1 << level
-    shared[live + 1] = got
-    longest = np.zeros(n, np.int64)
+    return order, rank
+
+
+def shared_prefixes(ids: np.ndarray, bounds: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Words that each suffix shares with the suffix before it in order, by place in the text.
+
+    Where the words before both are equal too, it is one less than at the place before. Only
+    the others are compared, word by word in step and the few long ones in blocks: they add
+    up to at most n log n words.
+    """
+    n = len(ids)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    end = bounds[1:][owner]
+    before = np.where(rank > 0, order[rank - 1], 0)
+    met = (rank > 0) & (owner[before] == owner)
+    place = np.arange(n)
+    first = bounds[:-1][owner]
+    follows = met & (place > first) & (before > first)
+    follows &= ids[place - 1] == ids[before - 1]
+    shared = np.zeros(n, np.int64)
+    live = np.flatnonzero(met & ~follows)
+    for k in range(STEPS):
+        a, b = live + k, before[live] + k
+        live = live[(a < end[live]) & (b < end[live]) & (ids[np.minimum(a, n - 1)] == ids[np.minimum(b, n - 1)])]
+        shared[live] = k + 1
+        if not len(live):
+            break
+    for i in live.tolist():
+        a, b, size = i + STEPS, int(before[i]) + STEPS, STEPS
+        stop = int(end[i])
+        while True:
+            m = min(size, stop - a, stop - b)
+            differ = ids[a : a + m] != ids[b : b + m]
+            if m < size or differ.any():
+                shared[i] = a - i + (int(differ.argmax()) if differ.any() else m)
+                break
+            a, b, size = a + m, b + m, size * 2
+    source = np.maximum.accumulate(np.where(follows, 0, place))
+    return shared[source] - (place - source)
+
+
+def longest_repeats(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, prefix shared with the suffix before, longest repeat starting at each word)."""
+    if not len(ids):
+        return (np.zeros(0, np.int64),) * 3
+    order, rank = suffix_order(ids, bounds)
+    shared = shared_prefixes(ids, bounds, order, rank)[order]
+    longest = np.empty(len(ids), np.int64)
     longest[order] = np.maximum(shared, np.append(shared[1:], 0))
     return order, shared, longest
 

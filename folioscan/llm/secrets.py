@@ -7,9 +7,10 @@ Three fixed patterns give the base spans. A battery of randomness tests adds spa
 2. Alphabet uniformity: the chi-squared statistic of its symbols, held against what text of
    that length would give (a noncentral chi-squared law whose centre grows with the length).
 3. Runs: how often the string changes between two symbol classes, again against text.
-4. Serial correlation of neighbouring symbol values: a candidate whose correlation is too far
-   from zero for a random string (counters, keyboard rows, repeated blocks) is no secret.
-5. The p-values of 2 and 3 are combined by Fisher's rule. The false discovery rate is controlled
+4. Serial correlation of neighbouring symbol values, against the wider spread that text gives.
+   A candidate whose correlation is too far from zero for any random string (counters,
+   keyboard rows, repeated blocks) is no secret at all.
+5. The p-values of 2, 3 and 4 are combined by Fisher's rule. The false discovery rate is controlled
    per length class (powers of two) over all candidates of all documents, because a
    short string can't give strong evidence: the p-values are counted in bins, and
    the Benjamini-Hochberg line gives each class the last bin that it accepts.
@@ -20,6 +21,8 @@ points. Documents are never shuffled; only bin counts are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,34 +52,55 @@ CLASS_ONE = {"hex": "abcdef", "base32": "234567", "base64": "abcdefghijklmnopqrs
 #: how far the symbol shares of text are from uniform (alphabet size times the sum of squared shares, minus 1)
 TEXT_SHIFT = {"hex": 0.6, "base32": 1.1, "base64": 3.2}
 TEXT_SWITCH = 0.2  # chance that text changes the class from one symbol to the next
+TEXT_SERIAL = 0.3  # spread of the serial correlation of text, over that of chance
+SERIAL_FLOOR = 1e-3  # of the p-value of the serial correlation: one value near zero proves little
 
 _BLOCK = 256
+_SYMBOLS = 4096  # of a string whose values are held at a time
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _running(values: Column) -> Column:
-    """Sums before each element. Two levels of blocks, so that arrays are not copied once per element."""
+def _in_blocks(values: Column, size: int | Column = _BLOCK) -> Column:
+    """The array as an array of blocks; one empty block if there is nothing."""
+    count = F.greatest(F.lit(1), F.ceil(F.size(values) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * size + 1, size))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Sums (or what ``add`` gives, from 0) before each element. Two levels of blocks, so that arrays are not copied once per element."""
     zero = F.lit(0).cast("long")
     none = F.array().cast("array<long>")
 
     def before(block: Column) -> Column:
         start = F.struct(zero.alias("s"), none.alias("o"))
-        return F.aggregate(block, start, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o")), lambda acc: acc["o"])
+        return F.aggregate(block, start, lambda acc, v: F.struct(add(acc["s"], v).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o")), lambda acc: acc["o"])
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, add))
+        return F.flatten(F.zip_with(blocks, before(sums), lambda b, at: F.transform(before(b), lambda x: add(x, at))))
 
-    count = F.greatest(F.lit(1), F.ceil(F.size(values) / _BLOCK).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a + v))
-    return F.flatten(F.zip_with(blocks, before(sums), lambda b, at: F.transform(before(b), lambda x: x + at)))
+    return _held(values, lambda v: _held(_in_blocks(v), joined))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of the leftmost matches that don't overlap, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    lengths = F.zip_with(between, found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-    starts = F.zip_with(_running(lengths), between, lambda at, g: at + F.length(g))
-    made = F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("match")))
-    empty = F.array().cast("array<struct<start:long,end:long,match:string>>")
-    return F.when(F.size(found) > 0, made).otherwise(empty)
+    def made(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        sizes = F.zip_with(between, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("own"), m.alias("match")))
+
+        def placed(sizes: Column) -> Column:
+            at = _running(F.transform(sizes, lambda x: x["gap"] + x["own"]))
+            return F.zip_with(at, sizes, lambda p, x: F.struct(
+                (p + x["gap"]).alias("start"), (p + x["gap"] + x["own"]).alias("end"), x["match"].alias("match"),
+            ))
+
+        return F.when(F.size(found) > 0, _held(sizes, placed)).otherwise(F.array().cast("array<struct<start:long,end:long,match:string>>"))
+
+    return _held(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), made)
 
 
 def _kind(spans: Column, number: int) -> Column:
@@ -101,8 +125,35 @@ def _normal(z: Column) -> Column:
     return F.greatest(F.when(z < 0, tail).otherwise(1.0 - tail), F.lit(1e-30))
 
 
+def _serial(plain: Column, alphabet: str) -> Column:
+    """Sums over the symbol values of a string: s1, s2 (squares), pairs (products of neighbours), head, tail. Some thousand symbols at a time."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+    def sums(values: Column) -> Column:
+        count = F.size(values)
+        return F.struct(
+            total(values).alias("s1"), total(F.transform(values, lambda v: v * v)).alias("s2"),
+            total(F.zip_with(F.slice(values, 1, count - 1), F.slice(values, 2, count - 1), lambda a, b: a * b)).alias("pairs"),
+            F.element_at(values, 1).alias("head"), F.element_at(values, -1).alias("tail"),
+        )
+
+    def block(part: Column) -> Column:
+        values = F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+        return _held(values, sums)
+
+    def after(acc: Column, b: Column) -> Column:
+        return F.struct(
+            (acc["s1"] + b["s1"]).alias("s1"), (acc["s2"] + b["s2"]).alias("s2"), (acc["pairs"] + acc["tail"] * b["head"] + b["pairs"]).alias("pairs"),
+            F.coalesce(acc["head"], b["head"]).alias("head"), b["tail"].alias("tail"),
+        )
+
+    none = F.expr("named_struct('s1', 0D, 's2', 0D, 'pairs', 0D, 'head', cast(null as double), 'tail', 0D)")
+    parts = F.regexp_extract_all(plain, F.lit(f"[^ ]{{1,{_SYMBOLS}}}"), F.lit(0))
+    return F.aggregate(F.transform(parts, block), none, after)
+
+
 def _tests(token: Column, encoding: str) -> Column:
-    """Fisher's p-value of uniformity and runs; 1 where the serial correlation is off."""
+    """Fisher's p-value of uniformity, runs and serial correlation; 1 where the correlation is off."""
     alphabet, one, k = ALPHABETS[encoding], CLASS_ONE[encoding], len(ALPHABETS[encoding])
     plain = F.lower(token) if encoding == "hex" else F.translate(token, "-_", "+/") if encoding == "base64" else token
     n = F.length(token).cast("double")
@@ -112,22 +163,23 @@ def _tests(token: Column, encoding: str) -> Column:
     )
     chi = squares * k / n - n
     shift = n * TEXT_SHIFT[encoding]
-    p_chi = _normal((chi - (k - 1 + shift)) / F.sqrt(2 * (k - 1 + 2 * shift)))
+    z_chi = (chi - (k - 1 + shift)) / F.sqrt(2 * (k - 1 + 2 * shift))
     classes = F.translate(plain, alphabet, "".join("1" if c in one else "0" for c in alphabet))
     switches = sum((F.length(classes) - F.length(F.replace(classes, F.lit(x), F.lit("")))) / 2.0 for x in ("01", "10"))
-    p_runs = _normal(-(switches - TEXT_SWITCH * (n - 1)) / F.sqrt(TEXT_SWITCH * (1 - TEXT_SWITCH) * (n - 1)))
-    values = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    count = F.size(values)
-    pairs = total(F.zip_with(F.slice(values, 1, count - 1), F.slice(values, 2, count - 1), lambda a, b: a * b))
-    s1, s2 = total(values), total(F.transform(values, lambda v: v * v))
-    ends = F.element_at(values, 1) + F.element_at(values, -1)
-    mean = s1 / n
-    spread = s2 - n * mean * mean
-    rho = (pairs - mean * (2 * s1 - ends) + (n - 1) * mean * mean) / spread
-    z = (rho + 1 / n) * F.sqrt(n)
-    x = -F.log(p_chi) - F.log(p_runs)
-    return F.when((spread <= 0) | (F.abs(z) > SERIAL_Z), F.lit(1.0)).otherwise(F.exp(-x) * (1 + x))
+    z_runs = -(switches - TEXT_SWITCH * (n - 1)) / F.sqrt(TEXT_SWITCH * (1 - TEXT_SWITCH) * (n - 1))
+    serial = _held(_serial(plain, alphabet), lambda v: F.struct(
+        (v["s2"] - v["s1"] * v["s1"] / n).alias("spread"),
+        (v["pairs"] - v["s1"] / n * (2 * v["s1"] - v["head"] - v["tail"]) + (n - 1) * F.pow(v["s1"] / n, F.lit(2.0))).alias("product"),
+    ))
+    z_serial = _held(serial, lambda v: F.when(v["spread"] > 0, F.abs(v["product"] / v["spread"] + 1 / n) * F.sqrt(n)))
+
+    def combined(z: Column) -> Column:
+        p_serial = F.greatest(2 * _normal(z["serial"] / F.sqrt(1 + TEXT_SERIAL * TEXT_SERIAL * n)) - 1, F.lit(SERIAL_FLOOR))
+        x = -F.log(_normal(z["chi"])) - F.log(_normal(z["runs"])) - F.log(p_serial)
+        fisher = _held(x, lambda x: F.exp(-x) * (1 + x + x * x / 2))
+        return F.when(z["serial"] <= SERIAL_Z, fisher).otherwise(F.lit(1.0))
+
+    return _held(F.struct(z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial")), combined)
 
 
 def p_value(token: Column) -> Column:
@@ -197,14 +249,24 @@ def listed(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
     """The text with each group of overlapping spans replaced by ``mask``; null stays null."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.array().cast("array<string>").alias("out"), zero.alias("at"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    def cut(ends: Column, spans: Column) -> Column:
+        # what stays before each mask: from the last end so far to the start
+        kept = F.filter(
+            F.zip_with(_running(ends, lambda a, b: F.greatest(a, b)), spans, lambda at, s: F.struct(at.alias("a"), s["start"].alias("b"))), lambda g: g["b"] >= g["a"],
+        )
+        # texts are cut in two steps, as a cut goes through its text from the start
+        blocks = _held(kept, lambda k: _in_blocks(k, F.ceil(F.sqrt(F.size(k))).cast("int")))
+        part = lambda t, a, b, first: F.substring(t, (a - first + 1).cast("int"), (b - a).cast("int"))
+        zero = F.lit(0).cast("long")
+        wide = F.transform(blocks, lambda k: F.struct(
+            k.alias("k"), k[0]["a"].alias("first"), part(text, k[0]["a"], F.element_at(k, -1)["b"], zero).alias("t"),
+        ))
+        before = F.transform(wide, lambda w: F.array_join(F.transform(w["k"], lambda g: part(w["t"], g["a"], g["b"], w["first"])), mask))
+        rest = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(before, mask), F.lit(mask), rest)
+
+    done = _held(F.array_sort(spans), lambda s: _held(F.transform(s, lambda x: x["end"]), lambda ends: cut(ends, s)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 

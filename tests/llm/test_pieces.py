@@ -50,6 +50,14 @@ def test_query_equals_the_library(spark, model):
         assert list(r.ids) == model.model.encode(texts[r.doc_id] or "") and r.round_trip and r.n_pieces == len(r.ids)
 
 
+def test_a_text_of_20_mb_is_cut_and_encoded(spark, model):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)) + " é日\n"
+    text *= 20_000_000 // len(text)
+    row = S.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert list(row.ids) == model.model.encode(text)
+
+
 def test_awkward_rows(spark, model):
     df = documents(spark)
     rows = S.decoded(S.encoded(df, PATH), PATH).collect()

@@ -62,6 +62,31 @@ def test_one_long_repeat_is_rejected_by_the_method_alone(spark):
     assert not row.base_failed and row.longest_repeat == 120 and row.n_maximal == 2 and not row.kept
 
 
+def test_the_covered_limit_rejects_by_itself(spark):
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    long_, short = fresh(30), [fresh(6) for _ in range(5)]
+    many = " ".join([long_, fresh(340), long_])  # 60 of 400 words
+    few = " ".join([*short, fresh(340), *(x + " " + fresh(1) for x in short)])  # as many, in repeats of six words
+    rows = spark.createDataFrame([(1, many), (2, few)], "doc_id long, text string")
+    a, b = (r.quality for r in R.judged(rows).orderBy("doc_id").collect())
+    assert (a.n_repeat_words, a.covered_words, a.longest_repeat, a.base_failed, a.kept) == (60, 60, 30, False, False)
+    assert (b.n_repeat_words, b.covered_words, b.base_failed, b.kept) == (60, 0, False, True)
+
+
+def test_a_paragraph_repeated_for_20_mb_takes_linear_memory():
+    import resource
+
+    rng = random.Random(4)
+    paragraph = [rng.randbytes(3).hex().encode() for _ in range(200)]
+    ids, bounds = R.numbered([paragraph * 14_400])
+    held = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    order, rank = R.suffix_order(ids, bounds)
+    shared = R.shared_prefixes(ids, bounds, order, rank)
+    assert shared.max() == len(ids) - 200 and np.array_equal(np.sort(shared[rank == 0]), [0])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - held < 1_500_000
+
+
 def test_awkward_rows(spark):
     df = documents(spark)
     got = R.judged(df, "quality").collect()

@@ -71,6 +71,34 @@ def test_places_of_very_many_matches(spark):
     assert row.n_hex == 3000 and row.base_sha256 == hashlib.sha256(listed(base(text)).encode()).hexdigest()
 
 
+def test_a_log_of_20_mb_is_masked(spark):
+    line = "é 2024 worker started with token=abcdefgh12 and went on " + "x " * 970 + "\n"
+    text = line * 10_000
+    row = S.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == text.replace("token=abcdefgh12", S.MASK)
+
+
+def test_a_random_string_of_1_mb(spark):
+    rng = random.Random(3)
+    blob = "".join(rng.choices(S.ALPHABETS["base64"], k=1 << 20))
+    sums = lambda v: (sum(v), sum(x * x for x in v), sum(a * b for a, b in zip(v, v[1:])), v[0], v[-1])
+    short = blob[:10_000]
+    df = spark.createDataFrame([(1, short), (2, blob)], "doc_id long, text string")
+    got = df.where("doc_id = 1").select(S._serial(S.F.col("text"), S.ALPHABETS["base64"]).alias("s")).first().s
+    assert tuple(got) == sums([S.ALPHABETS["base64"].index(c) + 1 for c in short])
+    assert {r.doc_id: r.spans for r in S.digest(df).collect()}[2] == f"random:0:{len(blob)}"
+
+
+def test_serial_correlation_is_part_of_the_evidence(spark):
+    rng = random.Random(4)
+    alphabet = S.ALPHABETS["base64"]
+    drawn = ["".join(rng.choice(alphabet) for _ in range(64)) for _ in range(60)]
+    near = ["".join(sorted(x[:6])) + x[6:] for x in drawn]  # the same symbols and almost the same runs
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(drawn, near))], "i long, a string, b string")
+    rows = df.select(S.p_value(S.F.col("a")).alias("p"), S.p_value(S.F.col("b")).alias("q")).collect()
+    assert any(r.p != r.q and r.q < 1 for r in rows) and sum(r.p < 1e-3 for r in rows) >= 57
+
+
 def test_awkward_rows(spark):
     df = documents(spark)
     got = S.digest(df).collect()
