@@ -8,7 +8,7 @@ from ..functions import lines as L
 from ..functions import text as X
 from ..functions.embedding import embedded, hashed_vectors
 from ..operators import chunking, structure
-from ..operators.postings import read_postings, write_postings
+from ..operators.keyword import lexicon
 from ..plans import ingest
 from ..plans.search import search_user
 from ..session import fresh_path
@@ -213,6 +213,6 @@ def _(t):
     as_texts = asked.select(F.col("query_id").alias("id"), F.col("user_id").alias("document_id"), F.col("query_text").alias("content"))
     vectors = embedded(as_texts, embed).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     stored = tables.read_chunks(t.spark, path)
-    write_postings(stored, f"{path}/_postings")
-    found = search_user(stored, asked.join(vectors, "query_id"), postings=read_postings(t.spark, f"{path}/_postings"))
+    words = lexicon(tables.read_chunks(t.spark, path, vectors=False))
+    found = search_user(stored, asked.join(vectors, "query_id"), postings=words)
     return found.select("query_id", "id", "document_id", "v_rank", "k_rank", "rrf_score", "position")

@@ -77,17 +77,17 @@ def _stored_vectors(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def read_chunks(spark: SparkSession, path: str, user_id=None, document_ids=None) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, user_id=None, document_ids=None, vectors: bool = True) -> DataFrame:
     """Stored passages. User and documents prune directories and reach the scan as filters.
 
     Vectors that were written back later are put in, the newest of a passage. The bucket count is the one that was stored with the passages; a store without it is
-    filtered by user alone.
+    filtered by user alone. Without ``vectors`` only those stored with the passages are there, and nothing is joined.
     """
     chunks = spark.read.parquet(path)
     buckets = stored_buckets(spark, path)
-    vectors = _stored_vectors(spark, path)
-    if vectors is not None:
-        later = vectors.groupBy("bucket", "id").agg(F.max_by("embedding", F.struct("written_ms", F.xxhash64("embedding"))).alias("_later"))
+    written = _stored_vectors(spark, path) if vectors else None
+    if written is not None:
+        later = written.groupBy("bucket", "id").agg(F.max_by("embedding", F.struct("written_ms", F.xxhash64("embedding"))).alias("_later"))
         chunks = chunks.join(later, ["bucket", "id"], "left").withColumn("embedding", F.coalesce("embedding", "_later")).drop("_later")
     if user_id is not None:
         value = F.lit(user_id).cast(chunks.schema["user_id"].dataType)
