@@ -44,15 +44,8 @@ def _(t):
 @query("prj_evidence", """SELECT m.id AS message_id, e.position, e.chunk_id, e.document_id, e.page_number, e.filename, e.section,
  e.content AS snippet FROM fx_messages m JOIN fx_evidence e ON e.message_id = m.id WHERE m.turn % 3 > 0 OR e.position = 0""")
 def _(t):
-    rows = t.evidence.select(
-        "message_id",
-        F.struct("position", F.struct(F.col("chunk_id").alias("id"), "document_id", "content", "page_number", "filename",
-                                      F.col("section").alias("heading"), "rrf_score")).alias("c"),
-    )
-    lists = rows.groupBy(F.col("message_id").alias("id")).agg(F.array_sort(F.collect_list("c")).alias("c"))
-    stored = t.messages.join(lists, "id").select(
-        "id", "role", "turn", conversations.evidence_of(F.transform("c", lambda x: x["col2"])).alias("retrieved_chunks")
-    )
+    asked = t.messages.select("id", "role", "turn").join(t.asked.withColumnRenamed("message_id", "id"), "id")
+    stored = t.with_evidence(asked).select("id", "role", "turn", conversations.evidence_of(F.col("evidence")).alias("retrieved_chunks"))
     held = conversations.sources_of(F.col("retrieved_chunks"))
     given = stored.withColumn("sources", F.when(F.col("turn") % 3 == 0, F.slice(held, 1, 1)))
     shown = conversations.with_sources(given)

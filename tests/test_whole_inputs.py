@@ -60,3 +60,23 @@ def test_look_ups_take_five_passages(spark):
     rows = [(1, "what is on page 4", 3), (2, "explain the theory of everything in this book please", 3), (3, "what does chapter 2 say about it", 9)]
     got = retrieve.labelled_questions(spark.createDataFrame(rows, "query_id long, query_text string, n_docs long"))
     assert [r.k for r in got.orderBy("query_id").collect()] == [5, 12, 5]
+
+
+def test_evidence_moves_no_passage(spark):
+    """Whole texts meet the few messages; passages are neither joined with vectors nor collected by message."""
+    from folioscan.catalog import queries
+    from folioscan.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (t.evidence, queries()["prj_evidence"](spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "embedding" not in plan and "ollect_list" not in plan and "hashpartitioning" not in plan
+    got = {(r.message_id, r.chunk_id): r for r in t.evidence.collect()}
+    rows = t.asked.join(t.bare_chunks, "document_id").collect()
+    want = {(r.message_id, r.id): r for r in rows}
+    assert len(got) == t.evidence.count() == len(rows) and got.keys() == want.keys()
+    for key, r in got.items():
+        c = want[key]
+        assert (r.document_id, r.page_number, r.filename, r.section, r.content, r.position) == (c.document_id, c.page_number, c.filename, c.heading, c.content, c.chunk_index)
+        assert abs(r.rrf_score - 1 / (61 + c.chunk_index)) < 1e-15
+    assert "embedding" not in t.bare_chunks.columns
