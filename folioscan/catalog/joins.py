@@ -81,7 +81,7 @@ CASCADE = """SELECT 'documents' AS name, count(*) AS n, sum(id)::BIGINT AS ids F
 
 
 def cascade_tables(t) -> dict:
-    return {"documents": t.documents, "chunks": t.chunks.drop("embedding"), "conversations": t.conversations,
+    return {"documents": t.documents, "chunks": t.bare_chunks, "conversations": t.conversations,
             "conversation_documents": t.conversation_documents, "messages": t.messages, "summaries": t.summary_log,
             "flashcard_decks": t.decks, "flashcards": t.cards}
 

@@ -133,12 +133,10 @@ def _(t):
  UNION ALL SELECT m.conversation_id, 'assistant', m.content, m.created_ms + 1, n FROM fx_messages m
  JOIN (SELECT message_id, count(*) AS n FROM fx_evidence GROUP BY 1) e ON e.message_id = m.id)""")
 def _(t):
-    kept = t.evidence.groupBy(F.col("message_id").alias("id")).agg(F.collect_list(F.struct(
-        F.col("chunk_id").alias("id"), "document_id", "content", "page_number", "filename", F.col("section").alias("heading"), "rrf_score",
-    )).alias("retrieved"))
-    exchanges = t.messages.join(kept, "id").select(
+    said = t.messages.select("id", "conversation_id", "user_id", "content", "created_ms")
+    exchanges = t.with_evidence(said.join(t.asked.withColumnRenamed("message_id", "id"), "id")).select(
         "conversation_id", "user_id", F.concat(F.lit("q "), F.col("id").cast("string")).alias("question"),
-        F.col("content").alias("answer"), "retrieved", F.col("created_ms").alias("asked_ms"),
+        F.col("content").alias("answer"), F.col("evidence").alias("retrieved"), F.col("created_ms").alias("asked_ms"),
     )
     out = _twice(sinks.message_table(t.spark, fresh_path(t.spark, "messages")), sinks.message_rows(exchanges), F.col("role") == "user")
     n = F.when(F.col("retrieved_chunks").isNotNull(), F.size("retrieved_chunks").cast("long"))

@@ -1,8 +1,9 @@
 """Tables with one row per key, changed by upserts and deletes that rewrite only the buckets they touch.
 
-Rows lie in directories by bucket, a hash of the columns ``by``. A change reads the touched buckets, writes
-what they hold afterwards to the work folder, and puts it in their place by a dynamic partition
-overwrite; other buckets are not read or written. The newest row of a key wins by ``order`` whatever order
+Rows lie in directories by bucket, a hash of the columns ``by``. A change reads the touched buckets and puts
+what they hold afterwards in their place by a dynamic partition overwrite, which moves its files there once all are
+written; other buckets are not read or written. New rows are shuffled once, to their bucket; stored rows lie in
+theirs and meet only the keys of a change. The newest row of a key wins by ``order`` whatever order
 batches arrive in, so a batch that is written again changes nothing. A rewritten bucket keeps
 one row without content, so that a bucket whose last row goes is overwritten as well.
 """
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..operators.toplists import best_row
 from ..session import write_table
+from ..sizing import fits, join_sized
 
 BUCKETS = 16
+PARTS = 8  # tasks and files of a bucket in one change
 LIVE = "_live"
 
 
@@ -46,27 +49,37 @@ class KeyedTable:
         return self.spark.read.parquet(self.path).where(LIVE).drop("bucket", LIVE)
 
     def _put(self, rows: DataFrame, touched: list[int]) -> None:
-        """``rows`` (with their bucket) become all that the touched buckets hold."""
-        empty = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
+        """``rows`` (with their bucket, and near others of it) become all that the touched buckets hold."""
+        empty = self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
         held = rows.withColumn(LIVE, F.lit(True)).unionByName(empty.withColumn(LIVE, F.lit(False)), allowMissingColumns=True)
-        ready = write_table(held, "changed-buckets")
-        even = ready.hint("rebalance", F.col("bucket"))
-        even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The newest row of each key, dealt by bucket in ``PARTS`` parts; the aggregate needs no other shuffle."""
+        order = F.struct(*self.order) if self.order else F.lit(0)
+        dealt = rows.withColumn("bucket", self._bucket()).withColumn("_part", F.pmod(F.hash(*self.keys), F.lit(PARTS)))
+        return best_row(dealt.repartition("bucket", "_part"), [*self.keys, "bucket", "_part"], order).drop("_part")
+
+    def _without(self, rows: DataFrame, keys: DataFrame, newer: bool) -> DataFrame:
+        """``rows`` but those whose key ``keys`` has with a later (``newer``) row, or with one as late."""
+        there = keys.select(*[F.col(k).alias(f"_{k}") for k in self.keys], F.struct(*self.order, F.lit(0)).alias("_order"))
+        own = F.struct(*self.order, F.lit(0))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys]
+        later = F.col("_order") > own if newer else F.col("_order") >= own
+        return rows.join(F.broadcast(there) if fits(there) else there, [*same, later], "left_anti")
 
     def upsert(self, rows: DataFrame) -> None:
         """Insert rows, or replace those with the same key that are not newer. The touched buckets are never more than the table has."""
-        order = F.struct(*self.order) if self.order else F.lit(0)
-        batch = write_table(best_row(rows, list(self.keys), order).withColumn("bucket", self._bucket()), "upserted-rows")
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
-        if not touched:
-            return
         stored = self._stored()
-        if stored is not None:
+        if stored is None:
+            self._put(self._newest(rows), list(range(self.buckets)))
+            return
+        batch = write_table(self._newest(rows), "upserted-rows")
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
+        if touched:
             held = stored.where(F.col("bucket").isin(touched) & F.col(LIVE)).drop(LIVE)
-            newer = F.struct(*self.order, "_new")  # of equally new rows the one that comes later
-            both = held.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-            batch = best_row(both, [*self.keys, "bucket"], newer).drop("_new")
-        self._put(batch, touched)
+            kept = self._without(held, batch, False)  # of equally new rows the one that comes later
+            self._put(kept.unionByName(self._without(batch, held, True)), touched)
 
     def delete(self, gone: DataFrame) -> None:
         """Delete the rows that agree with a row of ``gone`` in all of its columns."""
@@ -77,7 +90,7 @@ class KeyedTable:
         touched = [r[0] for r in stored.where(LIVE).join(lost, lost.columns, "left_semi").select("bucket").distinct().collect()]
         if touched:
             held = stored.where(F.col("bucket").isin(touched) & F.col(LIVE)).drop(LIVE)
-            self._put(held.join(lost, lost.columns, "left_anti"), touched)
+            self._put(join_sized(held, lost, lost.columns, "left_anti"), touched)
 
 
 def delete_cascade(tables: dict[str, KeyedTable], gone: DataFrame) -> None:

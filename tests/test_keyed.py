@@ -86,3 +86,25 @@ def test_cascade_takes_what_hangs_on_a_document(spark, tmp_path):
         "documents": ["d2"], "chunks": ["p2"], "conversations": ["c2", "c3"], "conversation_documents": ["c3"], "messages": ["m2", "m3"],
         "summaries": ["s3"], "flashcard_decks": ["f3"], "flashcards": ["k3"],
     }
+
+
+def test_a_first_batch_is_written_once_and_stored_rows_are_not_shuffled(spark, tmp_path):
+    from folioscan.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    held = table(spark, tmp_path / "t")
+    held.upsert(spark.createDataFrame([(f"k{i}", "x", 1, i, "old") for i in range(40)], SCHEMA))
+    assert set(os.listdir(shared_dir(spark))) == before
+    seen = []
+    put = KeyedTable._put
+    try:
+        KeyedTable._put = lambda self, rows, touched: (seen.append(rows), put(self, rows, touched))[1]
+        held.upsert(spark.createDataFrame([("k7", "x", 2, 0, "new"), ("k8", "x", 0, 0, "late")], SCHEMA))
+        held.delete(spark.createDataFrame([("k9",)], "id string"))
+    finally:
+        KeyedTable._put = put
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
+    assert not [n for n in set(os.listdir(shared_dir(spark))) - before if n.startswith("changed")]
+    assert [r.note for r in held.read().where("id in ('k7', 'k8', 'k9')").orderBy("id").collect()] == ["new", "old"]
