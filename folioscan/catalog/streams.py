@@ -45,12 +45,12 @@ def _(t):
 @query("st_finalize", """SELECT document_id, CASE WHEN document_id % 7 = 3 THEN 'partial' ELSE 'ready' END AS status, count(*) AS chunk_count
  FROM fx_chunks WHERE document_id % 11 <> 5 GROUP BY 1""")
 def _(t):
-    done = t.chunks.select("document_id", F.lit("embedded").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("partial"))
+    done = t.bare_chunks.select("document_id", F.lit("embedded").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("partial"))
     d = F.col("document_id")
-    told = t.chunks.groupBy("document_id").agg(F.count("*").alias("n")).select(
+    told = t.bare_chunks.groupBy("document_id").agg(F.count("*").alias("n")).select(
         "document_id", F.lit("expected").alias("kind"), (F.col("n") + F.when(d % 11 == 5, 1).otherwise(0)).alias("n"), (d % 7 == 3).alias("partial")
     )
-    return appended(keyed.completed(replay(t, done.unionByName(told), "completion")), "completed")
+    return jobs.finalized(replay(t, done.unionByName(told), "completion"))
 
 
 @query("st_progress", "SELECT document_id, count(*) AS chunk_count FROM fx_chunks GROUP BY 1")

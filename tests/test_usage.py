@@ -137,3 +137,27 @@ def test_embedding_in_small_batches(spark, tables):
     out = {r.id: r.embedding for r in embedded(some, embed, "long", 3).collect()}
     for r in some.collect():
         assert out[r.id] == pytest.approx(list(embed([r.content])[0]))
+
+
+def test_finalized_counts_like_the_keyed_processor(spark, tmp_path):
+    rows = [(1, "embedded", 2, False), (1, "expected", 3, False), (2, "expected", 1, True), (1, "embedded", 1, False),
+            (2, "embedded", 1, False), (3, "expected", 2, False), (3, "embedded", 1, False), (4, "expected", 0, False), (1, "embedded", 5, False)]
+    path = str(tmp_path / "f")
+    schema = "document_id long, kind string, n long, partial boolean"
+    for r in rows:
+        df = spark.createDataFrame([r], schema)
+        df.coalesce(1).write.mode("append").parquet(path)
+    out = jobs.finalized(stream_of(spark, path, df.schema, files_per_batch=1))
+    assert {tuple(r) for r in out.select("document_id", "status", "chunk_count").collect()} == {(1, "ready", 3), (2, "partial", 1), (4, "ready", 0)}
+
+
+def test_passages_of_one_delivery_are_not_compared(spark, tables, tmp_path):
+    from folioscan.catalog.sources import upload_bodies
+
+    bodies = upload_bodies(tables).where("id < 30").select("body")
+    path = str(tmp_path / "one")
+    bodies.coalesce(1).write.parquet(path)
+    out = jobs.ingested(stream_of(spark, path, bodies.schema), tables.pages.where("document_id < 40"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan  # only repeated documents reach the aggregate
+    assert out.count() == out.select("id").distinct().count() > 0
