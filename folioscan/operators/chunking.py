@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import last_sentence, sentence_count, strip
+from ..session import small_batches
 from . import carry
 from .toplists import best_row
 
@@ -88,6 +89,7 @@ def split_sections(text: Column, content_type: Column, size: int = CHUNK_SIZE, o
 
 def cut_sections(sections: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per passage with its number inside the section; no passage crosses a section."""
+    small_batches(sections.sparkSession)
     pieces = split_sections(F.col("text"), F.col("content_type"), size, overlap)
     keep = [c for c in sections.columns if c != "text"]
     return (

@@ -19,7 +19,7 @@ from ..functions.text import last_sentence, sentence_count, strip
 from ..operators import carry
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, passage_content, split_text
 from ..operators.structure import _sections_of, classified_pages, page_windows
-from ..session import write_table
+from ..session import small_batches, write_table
 
 SUMMARY_BLOCK = 4096
 PASSAGE = "struct<section_no:bigint,content_type:string,heading:string,piece_no:bigint,raw:string>"
@@ -69,6 +69,7 @@ def page_passages(
     pages: DataFrame, keep: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """One row per page: its passages in order, and what later pages need to know."""
+    small_batches(pages.sparkSession)
     found = pages.select(*keep, "page_number", _sections_of(F.col("text")).alias("_s"))
     too_long = F.transform(
         "_s", lambda s: F.when((s["kind"] != "heading") & (F.length(s["text"]) > size), s["text"])

@@ -80,3 +80,22 @@ def test_evidence_moves_no_passage(spark):
         assert (r.document_id, r.page_number, r.filename, r.section, r.content, r.position) == (c.document_id, c.page_number, c.filename, c.heading, c.content, c.chunk_index)
         assert abs(r.rrf_score - 1 / (61 + c.chunk_index)) < 1e-15
     assert "embedding" not in t.bare_chunks.columns
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    from folioscan.operators import chunking
+    from folioscan.plans import ingest
+
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", "one two three. " * 400
+    rows = spark.createDataFrame([(i, "prose", text) for i in range(3)], "document_id long, content_type string, text string")
+    want = chunking.split_text(text)
+    before = spark.conf.get(key)
+    try:
+        for make in (lambda: chunking.cut_sections(rows), lambda: ingest.page_passages(rows.withColumn("page_number", F.lit(1)), ["document_id"])):
+            spark.conf.unset(key)
+            out = make()
+            assert spark.conf.get(key) == f"{4 << 20}b" and out.count() >= 3
+        got = chunking.cut_sections(rows).where("document_id = 1").orderBy("piece_no").collect()
+        assert [r.raw for r in got] == want
+    finally:
+        spark.conf.set(key, before)
